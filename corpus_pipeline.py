@@ -12,7 +12,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return queries.bpe.encode_digests(docs, queries.BYTE_BPE)
+    return queries.bpe.encode(docs, queries.BYTE_BPE)
 
 
 STAGES: list[tuple[str, Stage]] = [("bpe", encoded)]

@@ -71,8 +71,7 @@ def powers(n: int) -> np.ndarray:
     """1, b, b**2, ... modulo 2**64."""
     global _POWERS
     while len(_POWERS) < n:
-        step = _POWERS[-1] * _BASE
-        _POWERS = np.concatenate([_POWERS, _POWERS * step])
+        _POWERS = np.concatenate([_POWERS, _POWERS * (_POWERS[-1:] * _BASE)])
     return _POWERS[:n]
 
 
@@ -97,16 +96,16 @@ def word_spans(s: TextSlice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, np.searchsorted(starts, s.offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; spans are in order and don't overlap."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    first = np.concatenate([[0], np.cumsum(lengths)])
-    at = np.arange(first[-1]) - np.repeat(first[:-1], lengths)
-    body = data[at + np.repeat(starts, lengths)] if first[-1] != len(data) else data
-    terms = (body.astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()) + 1)[at]
-    return mixed(np.add.reduceat(terms, first[:-1]) + lengths.astype(np.uint64))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 17) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, worked out for so many spans at once; no span is empty."""
+    out = np.empty(len(starts), np.uint64)
+    for k in range(0, len(starts), at_once):
+        begin, lengths = starts[k : k + at_once], (ends - starts)[k : k + at_once]
+        first = np.cumsum(lengths) - lengths
+        at = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+        terms = (data[at + np.repeat(begin, lengths)].astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()) + 1)[at]
+        out[k : k + at_once] = mixed(np.add.reduceat(terms, first) + lengths.astype(np.uint64))
+    return out
 
 
 def window_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:

@@ -11,7 +11,6 @@ library does; any text may be arbitrarily long. Repeated rows are encoded each o
 
 from __future__ import annotations
 
-import hashlib
 import json
 import sys
 import unicodedata
@@ -352,13 +351,6 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     return id_text(docs, key, text).mapInArrow(_mapped(path, make, pa.schema(fields)), f"{key} long, n_tokens long, ids binary, decoded string")
 
 
-def encode_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """As encode, with the SHA-256 of ids and of the decoded text in place of both, so that neither leaves the worker."""
-    fields = [(key, pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    make = lambda bpe, ids: (hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest())
-    return id_text(docs, key, text).mapInArrow(_mapped(path, make, pa.schema(fields)), f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
 def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and n_tokens, one row per row of docs."""
     fields = [(key, pa.int64()), ("n_tokens", pa.int64())]
