@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,11 @@ def id_text(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), *(F.col(c) for c in more))
 
 
+def objects(values) -> pd.Series:
+    """Strings or bytes as a column; pandas would make numbers of an empty one."""
+    return pd.Series(list(values), dtype=object)
+
+
 @dataclass
 class TextSlice:
     """Rows lo..hi of a batch. data: their UTF-8 bytes; offsets: len(rows) + 1 places in data; valid: false where the text is null."""

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import TextSlice, id_text, mixed, span_hashes, text_slices, window_hashes, within_rows, word_spans
+from .batches import TextSlice, id_text, objects, span_hashes, text_slices, window_hashes, within_rows, word_spans
 from .shared import kept, partitions
 
 WINDOW = 20
@@ -169,7 +169,7 @@ def _send_anchors(settings: Settings, buckets: int):
                 _, some, _, _ = _unique_anchors(Chunk(row, settings))
                 e = _bucket_edges(some, buckets)
                 full = np.flatnonzero(np.diff(e))
-                yield pd.DataFrame({"bucket": full.astype(np.int32), "chunk": np.full(len(full), row.chunk), "hashes": [_six_bytes(some[e[k] : e[k + 1]]) for k in full]})
+                yield pd.DataFrame({"bucket": full.astype(np.int32), "chunk": np.full(len(full), row.chunk), "hashes": objects(_six_bytes(some[e[k] : e[k + 1]]) for k in full)})
 
     return run
 
@@ -180,7 +180,7 @@ def _answer_anchors(df: pd.DataFrame) -> pd.DataFrame:
     all_ = np.sort(np.concatenate(parts))
     twice = all_[1:][all_[1:] == all_[:-1]]
     masks = [np.packbits(_has(twice, p)).tobytes() for p in parts]
-    return pd.DataFrame({"chunk": df["chunk"], "bucket": df["bucket"], "mask": masks})
+    return pd.DataFrame({"chunk": df["chunk"], "bucket": df["bucket"], "mask": objects(masks)})
 
 
 def _has(sorted_values: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -197,8 +197,8 @@ def _send_windows(settings: Settings, buckets: int):
             _, a, b, _, _ = _unique_windows(chunk, _repeated(chunk, masks, buckets))
             e = _bucket_edges(a, buckets)
             full = np.flatnonzero(np.diff(e))
-            out.append(pd.DataFrame({"bucket": full.astype(np.int32), "chunk": np.full(len(full), row.chunk), "hashes": [a[e[k] : e[k + 1]].tobytes() + b[e[k] : e[k + 1]].astype(np.uint32).tobytes() for k in full]}))
-        return pd.concat(out) if out else pd.DataFrame({"bucket": np.zeros(0, np.int32), "chunk": np.zeros(0, np.int64), "hashes": []})
+            out.append(pd.DataFrame({"bucket": full.astype(np.int32), "chunk": np.full(len(full), row.chunk), "hashes": objects(a[e[k] : e[k + 1]].tobytes() + b[e[k] : e[k + 1]].astype(np.uint32).tobytes() for k in full)}))
+        return pd.concat(out) if out else pd.DataFrame({"bucket": np.zeros(0, np.int32), "chunk": np.zeros(0, np.int64), "hashes": objects([])})
 
     return run
 
@@ -214,7 +214,7 @@ def _answer_windows(df: pd.DataFrame) -> pd.DataFrame:
     later = np.zeros(len(a), bool)
     later[order[1:]] = (sa[1:] == sa[:-1]) & (sb[1:] == sb[:-1])
     cuts = np.cumsum(sizes)[:-1]
-    return pd.DataFrame({"chunk": df["chunk"], "bucket": df["bucket"], "mask": [np.packbits(m).tobytes() for m in np.split(later, cuts)]})
+    return pd.DataFrame({"chunk": df["chunk"], "bucket": df["bucket"], "mask": objects(np.packbits(m).tobytes() for m in np.split(later, cuts))})
 
 
 def _cut(settings: Settings, buckets: int):
@@ -225,7 +225,7 @@ def _cut(settings: Settings, buckets: int):
             at, a, _, which, new = _unique_windows(chunk, _repeated(chunk, masks[masks["kind"] == 0], buckets))
             earlier = _reply_bits(masks[masks["kind"] == 1], _bucket_edges(a, buckets))
             out.append(_kept_texts(chunk, at[~new | earlier[which]]))
-        return pd.concat(out) if out else pd.DataFrame({"key": [], "n_words": [], "n_removed": [], "kept": []})
+        return pd.concat(out) if out else pd.DataFrame({"key": pd.Series([], dtype="Int64"), "n_words": np.zeros(0, np.int64), "n_removed": np.zeros(0, np.int64), "kept": objects([])})
 
     return run
 
@@ -249,7 +249,7 @@ def _kept_texts(chunk: Chunk, repeats: np.ndarray) -> pd.DataFrame:
     at = first[total]
     kept_ = [body[at[i] : max(at[i], at[i + 1] - 1)].tobytes().decode() for i in range(len(chunk.keys))]
     n_words = np.diff(chunk.first)
-    return pd.DataFrame({"key": pd.Series(chunk.keys).astype("Int64").mask(pd.Series(chunk.nulls)), "n_words": n_words, "n_removed": n_words - np.diff(total), "kept": kept_})
+    return pd.DataFrame({"key": pd.Series(chunk.keys).astype("Int64").mask(pd.Series(chunk.nulls)), "n_words": n_words, "n_removed": n_words - np.diff(total), "kept": objects(kept_)})
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
