@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, substrings, vectors
+from . import bpe, language, simhash, substrings, vectors
 from .batches import table
 
 #: Where the vocabulary files of public tokenizers are; nothing is copied from there.
@@ -20,6 +20,12 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    samples = language.learn(docs.filter(~language.held_out("doc_id")))
+    return language.predict(docs, samples).select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -48,5 +54,5 @@ def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_embedding_near_dedup": op2_embedding_near_dedup, "op5_substring_dedup": op5_substring_dedup, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op10_bpe_encoding": op10_bpe_encoding}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_embedding_near_dedup": op2_embedding_near_dedup, "op4_language_id": op4_language_id, "op5_substring_dedup": op5_substring_dedup, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op10_bpe_encoding": op10_bpe_encoding}
 SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL}
