@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, simhash, substrings, vectors
+from . import bpe, language, simhash, substrings, toxicity, vectors
 from .batches import table
 
 #: Where the vocabulary files of public tokenizers are; nothing is copied from there.
@@ -20,6 +20,13 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), language.held_out("doc_id")
+    labels = table(spark, sf_dir, "labels")
+    net = toxicity.learn(docs.filter(~held_out), labels.filter(~held_out))
+    return toxicity.score(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     samples = language.learn(docs.filter(~language.held_out("doc_id")))
@@ -54,5 +61,5 @@ def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_embedding_near_dedup": op2_embedding_near_dedup, "op4_language_id": op4_language_id, "op5_substring_dedup": op5_substring_dedup, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op10_bpe_encoding": op10_bpe_encoding}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_toxicity": op3_toxicity, "op4_language_id": op4_language_id, "op5_substring_dedup": op5_substring_dedup, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op10_bpe_encoding": op10_bpe_encoding}
 SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL}
