@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, simhash, substrings, toxicity, vectors
+from . import bpe, decontamination, language, simhash, substrings, toxicity, vectors
 from .batches import table
 
 #: Where the vocabulary files of public tokenizers are; nothing is copied from there.
@@ -16,6 +16,10 @@ TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -61,5 +65,5 @@ def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_toxicity": op3_toxicity, "op4_language_id": op4_language_id, "op5_substring_dedup": op5_substring_dedup, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op10_bpe_encoding": op10_bpe_encoding}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_toxicity": op3_toxicity, "op4_language_id": op4_language_id, "op5_substring_dedup": op5_substring_dedup, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op10_bpe_encoding": op10_bpe_encoding}
 SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL}
