@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language, simhash, substrings, toxicity, vectors
+from . import bpe, decontamination, language, simhash, substrings, toxicity, vectors, warc
 from .batches import table
 
 #: Where the vocabulary files of public tokenizers are; nothing is copied from there.
@@ -55,6 +55,20 @@ FROM d LEFT JOIN got USING (doc_id)
 """
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.written(table(spark, sf_dir, "pages"))
+    return warc.read(spark, folder, payloads=False).drop("url")
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+w AS (SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top <> page_id THEN top END AS refers_to
+FROM p LEFT JOIN w USING (d)
+"""
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -65,5 +79,5 @@ def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_toxicity": op3_toxicity, "op4_language_id": op4_language_id, "op5_substring_dedup": op5_substring_dedup, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op10_bpe_encoding": op10_bpe_encoding}
-SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_toxicity": op3_toxicity, "op4_language_id": op4_language_id, "op5_substring_dedup": op5_substring_dedup, "op6_warc": op6_warc, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op10_bpe_encoding": op10_bpe_encoding}
+SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op6_warc": OP6_SQL}
