@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language, simhash, substrings, toxicity, vectors, warc
+from . import bpe, decontamination, language, lines, simhash, substrings, toxicity, vectors, warc
 from .batches import table
 
 #: Where the vocabulary files of public tokenizers are; nothing is copied from there.
@@ -74,10 +74,29 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.remove_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+OP9_SQL = """
+WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents),
+lined AS (SELECT doc_id, p, line, trim(line, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS t FROM raw),
+num AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM lined WHERE t <> ''),
+win AS (SELECT *, t AS a, lead(t) OVER w AS b, lead(t, 2) OVER w AS c FROM num WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS k FROM win WHERE c IS NOT NULL) WHERE k > 1),
+gone AS (SELECT DISTINCT num.doc_id, num.p FROM num JOIN rep ON rep.doc_id = num.doc_id AND num.i BETWEEN rep.i AND rep.i + 2),
+body AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.p) AS body FROM lined l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.p = l.p WHERE g.p IS NULL GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed, sha256(CASE WHEN d.text IS NOT NULL THEN coalesce(b.body, '') END) AS text_sha256
+FROM documents d LEFT JOIN body b USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM num GROUP BY doc_id) n USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
+"""
+
+
 def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_toxicity": op3_toxicity, "op4_language_id": op4_language_id, "op5_substring_dedup": op5_substring_dedup, "op6_warc": op6_warc, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op10_bpe_encoding": op10_bpe_encoding}
-SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op6_warc": OP6_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_toxicity": op3_toxicity, "op4_language_id": op4_language_id, "op5_substring_dedup": op5_substring_dedup, "op6_warc": op6_warc, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op9_line_dedup": op9_line_dedup, "op10_bpe_encoding": op10_bpe_encoding}
+SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op9_line_dedup": OP9_SQL}
