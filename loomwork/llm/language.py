@@ -31,6 +31,8 @@ SAMPLE_DOCS = 200
 SAMPLE_LETTERS = 40_000
 OWN_SYMBOLS = 128
 SHARED_SYMBOLS = 32
+LEAST_LETTERS = 40
+MARGIN = 1.25
 SLICE = 16 << 20
 UNKNOWN = "und"
 
@@ -91,6 +93,7 @@ class Model:
         self.languages = list(texts)
         count = Counter(int(c) for v in texts.values() for c in v if c)
         own = [c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:OWN_SYMBOLS]]
+        self.even_bits = float(np.log2(len(own) + 1))
         self.width = 1 + len(own) + SHARED_SYMBOLS
         self.symbol = (1 + len(own) + np.arange(sys.maxunicode + 1) % SHARED_SYMBOLS).astype(np.uint8)
         self.symbol[0] = 0
@@ -198,6 +201,27 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], key: str = "d
     return id_text(docs, key, text).mapInArrow(run, "key long, lang_pred string, score double").withColumnRenamed("key", key)
 
 
+def in_learned_language(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str = "text", least: int = LEAST_LETTERS) -> DataFrame:
+    """Rows of docs, with all their columns, whose text has a letter and is in some learned language: a text of `least` letters or more must
+    need fewer bits a letter, its last piece aside, than MARGIN times what letters drawn evenly would. Keeps all rows with a letter if there's nothing to learn from."""
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(samples)
+        for batch in batches:
+            parts = [np.zeros(0, bool)]
+            for s in text_slices(batch.column(place), SLICE):
+                if model.languages:
+                    bits, size = model.bits(s)
+                    spared = ((bits - model.cost[:, None]) / np.maximum(size, 1)).min(axis=0)
+                    parts.append((size > 0) & ((size < least) | (spared < MARGIN * model.even_bits)))
+                else:
+                    parts.append(np.array([bool((letters_of(s.text(i).decode()) > 0).any()) for i in range(s.rows)], bool))
+            yield batch.filter(pa.array(np.concatenate(parts)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: str):
     """True for a fifth of the rows, by the CRC-32 of the id as text; these teach nothing."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language, lines, simhash, substrings, toxicity, vectors, warc
+from . import bpe, decontamination, language, lines, simhash, substrings, token_counts, toxicity, vectors, warc
 from .batches import table
 
 #: Where the vocabulary files of public tokenizers are; nothing is copied from there.
@@ -69,6 +69,10 @@ FROM p LEFT JOIN w USING (d)
 """
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -98,5 +102,19 @@ def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op2_embedding_near_dedup": op2_embedding_near_dedup, "op3_toxicity": op3_toxicity, "op4_language_id": op4_language_id, "op5_substring_dedup": op5_substring_dedup, "op6_warc": op6_warc, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op9_line_dedup": op9_line_dedup, "op10_bpe_encoding": op10_bpe_encoding}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    q.__name__: q
+    for q in (
+        op1_decontamination,
+        op2_embedding_near_dedup,
+        op3_toxicity,
+        op4_language_id,
+        op5_substring_dedup,
+        op6_warc,
+        op7_token_counts,
+        op8_simhash_near_dedup,
+        op9_line_dedup,
+        op10_bpe_encoding,
+    )
+}
 SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op9_line_dedup": OP9_SQL}
