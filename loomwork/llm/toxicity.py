@@ -31,8 +31,8 @@ STRIDE = 16
 WORDS, TRIGRAMS = 1 << 14, 1 << 12
 WIDTH = 12
 HIDDEN = 12
-TOXIC_DOCS, CLEAN_DOCS = 1500, 3000
-SAMPLE_CHARS = 20_000
+TOXIC_DOCS, CLEAN_DOCS = 1200, 2400
+SAMPLE_CHARS = 10_000
 EPOCHS = 8
 SEED = 7
 
@@ -62,8 +62,8 @@ class Inputs:
         ends = np.flatnonzero(inside & (after == 0)) + 1
         self.first = np.searchsorted(starts, s.offsets)
         self.words = (span_hashes(low, starts, ends) % np.uint64(WORDS)).astype(np.int32)
-        code = (before.astype(np.uint32) << 16) | (low.astype(np.uint32) << 8) | after
-        self.grams = ((code * np.uint32(0x9E3779B1)) >> np.uint32(20)).astype(np.int32)[inside]
+        code = (before[inside].astype(np.uint32) << 16) | (low[inside].astype(np.uint32) << 8) | after[inside]
+        self.grams = ((code * np.uint32(0x9E3779B1)) >> np.uint32(20)).astype(np.int16)
         self.sizes = ends - starts
         self.gram_at = np.cumsum(self.sizes) - self.sizes
 
@@ -88,14 +88,11 @@ class Network:
             self.p |= {f"in_{side}": small(d, 3 * h, s=d**-0.5), f"bias_{side}": np.zeros(3 * h, np.float32), f"rec_{side}": small(h, 3 * h, s=h**-0.5)}
         self.scale, self.shift, self.share = 1.0, 0.0, None
 
-    def word_inputs(self, x: Inputs) -> np.ndarray:
-        out = np.empty((len(x.words), 2 * WIDTH), np.float32)
-        out[:, :WIDTH] = self.p["word"][x.words]
-        for k in range(0, len(x.words), 1 << 15):
-            some = slice(k, k + (1 << 15))
-            lo, hi = x.gram_at[k], x.gram_at[some][-1] + x.sizes[some][-1]
-            out[some, WIDTH:] = np.add.reduceat(self.p["gram"][x.grams[lo:hi]], x.gram_at[some] - lo, axis=0) / x.sizes[some, None]
-        return out
+    def word_inputs(self, x: Inputs, lo: int, hi: int) -> np.ndarray:
+        """Inputs of words lo..hi."""
+        at, size = x.gram_at[lo:hi], x.sizes[lo:hi]
+        grams = np.add.reduceat(self.p["gram"][x.grams[at[0] : at[-1] + size[-1]]], at - at[0], axis=0) / size[:, None].astype(np.float32)
+        return np.concatenate([self.p["word"][x.words[lo:hi]], grams], axis=1)
 
     def run(self, pre: dict[str, np.ndarray], mask: np.ndarray, keep: bool = False):
         """Logits of windows. pre: for both sides time x windows x 3 h; mask: time x windows."""
@@ -160,18 +157,17 @@ class Network:
         return loss, g, d_x
 
     def logits(self, x: Inputs, first: np.ndarray, end: np.ndarray, at_once: int = 1024) -> np.ndarray:
-        """Logits of windows of the slice."""
-        if not len(first):
-            return np.zeros(0, np.float32)
-        inputs = self.word_inputs(x)
-        pre = {side: inputs @ self.p[f"in_{side}"] + self.p[f"bias_{side}"] for side in "fb"}
-        out = []
+        """Logits of windows of the slice, in order; the words of so many windows are held at a time."""
+        out = [np.zeros(0, np.float32)]
         for k in range(0, len(first), at_once):
+            lo = int(first[k])
+            hi = min(int(first[k : k + at_once][-1]) + WINDOW, len(x.words))
+            inputs = self.word_inputs(x, lo, hi)
             at = first[k : k + at_once] + np.arange(WINDOW)[:, None]
             mask = (at < end[k : k + at_once]).astype(np.float32)
             steps = int(mask.any(axis=1).sum())
-            at, mask = np.minimum(at[:steps], len(x.words) - 1), mask[:steps]
-            out.append(self.run({side: v[at] for side, v in pre.items()}, mask))
+            at, mask = np.minimum(at[:steps], hi - 1) - lo, mask[:steps]
+            out.append(self.run({side: (inputs @ self.p[f"in_{side}"] + self.p[f"bias_{side}"])[at] for side in "fb"}, mask))
         return np.concatenate(out)
 
     def scores(self, s: TextSlice) -> np.ndarray:
@@ -235,9 +231,7 @@ def train(texts: list[bytes], label: np.ndarray, share: float, epochs: int = EPO
     rng = np.random.default_rng(seed + 1)
     odds = log_odds(x, label)
     net.p["word"][:, 0] = np.clip(odds / 4, -1, 1)
-    at = np.minimum(first + np.arange(WINDOW)[:, None], len(x.words) - 1)
-    inside = first + np.arange(WINDOW)[:, None] < end
-    worth = np.where(inside, odds[x.words[at]], -9).max(axis=0)
+    worth = np.maximum.reduceat(odds[x.words], first)  # of all words up to the next window
     adam = Adam(net.p, 0.01)
     for epoch in range(epochs):
         if epoch == epochs // 2:
