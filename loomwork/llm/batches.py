@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,24 @@ def objects(values) -> pd.Series:
     return pd.Series(list(values), dtype=object)
 
 
+def frugal(run: Callable) -> Callable:
+    """A map over batches after which the worker, which Spark keeps for later tasks, gives back the memory that it freed."""
+
+    @wraps(run)
+    def mapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            del batches
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return mapped
+
+
 @dataclass
 class TextSlice:
     """Rows lo..hi of a batch. data: their UTF-8 bytes; offsets: len(rows) + 1 places in data; valid: false where the text is null."""

@@ -25,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import TextSlice, id_text, text_slices
+from .batches import TextSlice, frugal, id_text, text_slices
 
 SAMPLE_DOCS = 200
-SAMPLE_LETTERS = 40_000
+SAMPLE_LETTERS = 20_000
 OWN_SYMBOLS = 128
 SHARED_SYMBOLS = 32
 LEAST_LETTERS = 40
 MARGIN = 1.25
-SLICE = 16 << 20
+SLICE = 8 << 20
 UNKNOWN = "und"
 
 
@@ -98,21 +98,23 @@ class Model:
         self.symbol = (1 + len(own) + np.arange(sys.maxunicode + 1) % SHARED_SYMBOLS).astype(np.uint8)
         self.symbol[0] = 0
         self.symbol[own] = np.arange(1, len(own) + 1)
-        tables, first, base = [], [], 0
-        for letters in texts.values():
-            moves = suffix_automaton(self.symbol[letters].tolist())
-            t = np.full((len(moves), self.width), -1, np.int64)
-            for s, m in enumerate(moves):
-                for c, to in m.items():
-                    t[s, c] = to
-            fresh = np.where(t[0] < 0, 0, t[0])  # a symbol that the sample lacks is a piece of its own
-            out = np.where(t < 0, fresh[None, :] * self.width * 2 + 1, t * self.width * 2) + 2 * base
-            out[0] |= 1
-            tables.append(out.ravel())
+        moves = [suffix_automaton(self.symbol[letters].tolist()) for letters in texts.values()]
+        states = sum(map(len, moves))
+        self.table = np.empty(states * self.width, np.int32 if states * self.width < 1 << 29 else np.int64)
+        first, base = [], 0
+        for automaton in moves:
+            part = self.table[base : base + len(automaton) * self.width].reshape(len(automaton), self.width)
+            start = np.zeros(self.width, self.table.dtype)  # a symbol that the sample lacks is a piece of its own
+            for c, to in automaton[0].items():
+                start[c] = to
+            part[:] = (start * self.width + base) * 2 + 1
+            for s, m in enumerate(automaton):
+                if m:
+                    part[s, list(m)] = np.fromiter(m.values(), self.table.dtype, len(m)) * (2 * self.width) + 2 * base
+            part[0] |= 1
             first.append(base)
-            base += out.size
-        flat = np.concatenate(tables) if tables else np.zeros(0, np.int64)
-        self.table = flat.astype(np.int32) if base < 1 << 29 else flat
+            base += part.size
+            automaton.clear()
         self.start = np.array([self.table[f] >> 1 for f in first], self.table.dtype)  # as after a blank
         self.cost = np.array([np.log2(len(v) + 1) for v in texts.values()])
 
@@ -141,9 +143,8 @@ class Model:
         row = np.repeat(self.start[:, None], len(order), axis=1)
         pieces = np.ones((len(self.languages), len(order)), np.int32)
         live = np.searchsorted(-left, -np.arange(int(left[0]) if len(left) else 0), side="left")
-        offset = sym.astype(self.table.dtype)
         for k, n in enumerate(live.tolist()):
-            v = self.table.take(row[:, :n] + offset.take(at[:n] + k))
+            v = self.table.take(row[:, :n] + sym.take(at[:n] + k))
             pieces[:, :n] += v & 1
             np.right_shift(v, 1, out=row[:, :n])
         out = np.empty(pieces.shape)
@@ -162,7 +163,7 @@ class Model:
         return [UNKNOWN if n else self.languages[b] for n, b in zip(none, best)], np.where(none, 0.0, 1 / share.sum(axis=0))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _model(samples: tuple[tuple[str, str], ...]) -> Model:
     return Model(dict(samples))
 
@@ -198,7 +199,7 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], key: str = "d
                 lang, score = model.predict(s)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.rows), pa.array(lang, pa.string()), pa.array(score)], schema=schema)
 
-    return id_text(docs, key, text).mapInArrow(run, "key long, lang_pred string, score double").withColumnRenamed("key", key)
+    return id_text(docs, key, text).mapInArrow(frugal(run), "key long, lang_pred string, score double").withColumnRenamed("key", key)
 
 
 def in_learned_language(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str = "text", least: int = LEAST_LETTERS) -> DataFrame:
@@ -219,7 +220,7 @@ def in_learned_language(docs: DataFrame, samples: tuple[tuple[str, str], ...], t
                     parts.append(np.array([bool((letters_of(s.text(i).decode()) > 0).any()) for i in range(s.rows)], bool))
             yield batch.filter(pa.array(np.concatenate(parts)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def held_out(key: str):

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import id_text, text_slices, word_spans
+from .batches import frugal, id_text, text_slices, word_spans
 from .components import components
 from .shared import kept
 
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 fp = text_fingerprints(_LOWER[s.data], s.offsets, *word_spans(s))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.rows), pa.array(fp.view(np.int64))], schema=schema)
 
-    return id_text(docs, key, text).mapInArrow(run, "key long, fp long")
+    return id_text(docs, key, text).mapInArrow(frugal(run), "key long, fp long")
 
 
 def _signed(x: int) -> int:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import TextSlice, id_text, span_hashes, text_slices
+from .batches import TextSlice, frugal, id_text, span_hashes, text_slices
 
 WINDOW = 32
 STRIDE = 16
@@ -307,5 +307,5 @@ def score(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text"
             for s in text_slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.rows), pa.array(model.scores(s).astype(np.float64))], schema=schema)
 
-    out = id_text(docs, key, text).mapInArrow(run, "key long, score double")
+    out = id_text(docs, key, text).mapInArrow(frugal(run), "key long, score double")
     return out.select(F.col("key").alias(key), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

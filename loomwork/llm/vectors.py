@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import objects
+from .batches import frugal, objects
 from .components import components
 from .shared import kept
 
@@ -197,7 +197,7 @@ def _class_links(classes: DataFrame, dim: int, kind: str, threshold: float, targ
     """node, n and label for classes of vectors of one length."""
     family = plan(dim, classes.count(), threshold, target)
     probes = min(family.probes, len(family.choices))
-    sent = kept(classes.mapInPandas(_sent(family, kind), "node string, vec binary, n_copies long, codes binary, buckets array<long>"))
+    sent = kept(classes.mapInPandas(frugal(_sent(family, kind)), "node string, vec binary, n_copies long, codes binary, buckets array<long>"))
     rows = sent.select("node", "vec", "n_copies", "codes", F.posexplode("buckets").alias("at", "code")).withColumn("t", F.floor(F.col("at") / probes).cast("int")).drop("at")
     sizes = sent.select(F.posexplode("buckets").alias("at", "code")).groupBy(F.floor(F.col("at") / probes).cast("int").alias("t"), "code").agg(F.count("*").alias("n"))
     met = kept(sizes.filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))

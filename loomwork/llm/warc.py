@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import frugal
 from .shared import new_folder
 
 REVISIT = 1000
@@ -179,7 +180,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     plain = rows.select("number", digest, F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers"))
     shard, n = _shards(rows, shard_bytes)
     dealt = plain.unionByName(marks).select(shard.alias("shard"), "number", "digest", "kind", "url", "payload", "refers").repartition(n, "shard")
-    said = dealt.sortWithinPartitions("shard", "number", "digest", "kind", "url").mapInArrow(_write(folder, roll_bytes), MANIFEST)
+    said = dealt.sortWithinPartitions("shard", "number", "digest", "kind", "url").mapInArrow(frugal(_write(folder, roll_bytes)), MANIFEST)
     said.write.json(f"{folder}/manifest")  # Spark commits it whole, after all tasks
     return manifest(spark, folder)
 
@@ -257,7 +258,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """page_id, payload_bytes, payload_digest (hex), record_type, refers_to, url and, if asked for, payload of all archives that the manifest lists; digests are verified."""
     files = manifest(spark, folder)
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * payloads
-    return files.repartition(max(1, min(files.count(), 100_000)), "file").mapInPandas(_read(folder, payloads), schema)
+    return files.repartition(max(1, min(files.count(), 100_000)), "file").mapInPandas(frugal(_read(folder, payloads)), schema)
 
 
 def written(pages: DataFrame, **settings) -> str:
