@@ -148,9 +148,9 @@ def p11_symbol_class(sym: DataFrame) -> DataFrame:
     return sym.select("k", validation.symbol_class(F.col("n"), 2).alias("class"))
 
 
-@query("SELECT k FROM drives WHERE contains(regexp_replace(upper(n), '[^A-Z0-9]', '', 'g'), 'R7')", drives="SELECT c_custkey AS k, c_name AS n FROM customer")
+@query("SELECT k FROM drives WHERE contains(regexp_replace(upper(n), '[^A-Z0-9]', '', 'g'), 'R00000007')", drives="SELECT c_custkey AS k, c_name AS n FROM customer")
 def p9_fuzzy_lookup(drives: DataFrame) -> DataFrame:
-    return validation.fuzzy_lookup(drives.withColumn("n", F.upper("n")), "n", "r 7").select("k")
+    return validation.fuzzy_lookup(drives.withColumn("n", F.upper("n")), "n", "r#00000007").select("k")
 
 
 @query(
