@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import length_histogram
+from .shared import kept
 
 SPAN = 256
 
@@ -50,5 +51,5 @@ def quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """suffix_sums of docs' encoded lengths."""
-    return suffix_sums(length_histogram(docs, path, key, text))
+    """suffix_sums of docs' encoded lengths; documents are encoded once."""
+    return suffix_sums(kept(length_histogram(docs, path, key, text)))
