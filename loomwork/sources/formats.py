@@ -219,6 +219,80 @@ def cue_sheet(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("sector", msf_sectors(F.col("msf"))).drop("msf")
 
 
+_HASH_LINE = re.compile(r'<rom\s+name="([^"]*)"\s+size="(\d+)"\s+crc="([0-9a-fA-F]+)"\s+md5="([0-9a-fA-F]+)"\s+sha1="([0-9a-fA-F]+)"')
+
+
+def _dump_log(text: str) -> Iterator[tuple]:
+    seen: dict[str, list] = {}
+    for m in _HASH_LINE.finditer(text):
+        seen.setdefault(m[1], [int(m[2]), *(x.lower() for x in m.groups()[2:])])
+    for k, (name, row) in enumerate(seen.items()):
+        yield (k, name, *row)
+
+
+def dump_log(spark: SparkSession, path: str) -> DataFrame:
+    """Hashes of tracks that dumping logs list as rom elements: ord, name, size, crc, md5, sha1; the first of repeated names counts."""
+    return _whole(spark, path, "ord long, name string, size long, crc string, md5 string, sha1 string", _dump_log)
+
+
+def log_fields(spark: SparkSession, path: str) -> DataFrame:
+    """field and value of lines `field: value` of logs, in lower case and without blanks at their ends; the first of repeated fields counts."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    field, value = (F.trim(F.regexp_extract("line", r"^\s*([^:\[\]<>]{1,60}?)\s*:\s+(\S.*?)\s*$", k)) for k in (1, 2))
+    return lines.select("path", "n", F.lower(field).alias("field"), value.alias("value")).filter("field <> ''").groupBy("path", "field").agg(F.min_by("value", "n").alias("value"))
+
+
+def error_addresses(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct addresses that log lines with the word error give as LBA, in order."""
+    hit = F.regexp_extract("value", r"(?i)error.*?\bLBA\D{0,4}(\d+)", 1)
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), hit.try_cast("long").alias("lba")).filter("lba IS NOT NULL").distinct().orderBy("path", "lba")
+
+
+def _gdi(text: str) -> Iterator[tuple]:
+    for line in text.splitlines()[1:]:
+        m = re.match(r'\s*(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+(?:"([^"]*)"|(\S+))\s+(-?\d+)', line)
+        if m:
+            yield int(m[1]), int(m[2]), m[3] == "4", int(m[4]), m[5] or m[6], int(m[7])
+
+
+def gdi(spark: SparkSession, path: str) -> DataFrame:
+    """Tracks of GDI layouts: track, start, is_data, sector_size, file, offset."""
+    return _whole(spark, path, "track long, start long, is_data boolean, sector_size long, file string, offset long", _gdi)
+
+
+def _ini(text: str) -> Iterator[tuple]:
+    section = ""
+    for line in text.splitlines():
+        if m := re.match(r"\s*\[([^\]]*)\]", line):
+            section = m[1]
+        elif m := re.match(r"\s*([^=;#]+?)\s*=\s*(.*?)\s*$", line):
+            yield section, m[1], m[2]
+
+
+def sections(spark: SparkSession, path: str) -> DataFrame:
+    """section, name, value of files of bracketed sections, as CCD layouts are."""
+    return _whole(spark, path, "section string, name string, value string", _ini)
+
+
+def checksum_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of binary checksum databases: ord, disc ids id1, id2 and cddb (hexadecimal), and for each track confidence, crc and crc2; little-endian: a byte for the number of tracks, three ids of four bytes, nine bytes a track. A record that is cut off ends its file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for at, b in zip(df["path"], df["content"]):
+                rows, k, n = [], 0, 0
+                while k + 13 <= len(b) and k + 13 + 9 * b[k] <= len(b):
+                    ids = [b[k + i : k + i + 4][::-1].hex() for i in (1, 5, 9)]
+                    for t in range(b[k]):
+                        r = b[k + 13 + 9 * t : k + 22 + 9 * t]
+                        rows.append((at, n, *ids, t + 1, r[0], int.from_bytes(r[1:5], "little"), int.from_bytes(r[5:9], "little")))
+                    k, n = k + 13 + 9 * b[k], n + 1
+                yield pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object if i in (0, 2, 3, 4) else "int64") for i, c in enumerate(("path", "ord", "id1", "id2", "cddb", "track", "confidence", "crc", "crc2"))})
+
+    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+    return raw.mapInPandas(run, "path string, ord long, id1 string, id2 string, cddb string, track long, confidence long, crc long, crc2 long")
+
+
 #: Beginnings of files that tell their kind: place, bytes in hexadecimal, kind. Fixed values.
 MAGIC = (
     (0, "504B0304", "zip"),

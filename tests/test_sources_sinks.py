@@ -74,6 +74,22 @@ def test_logs(spark, tmp_path):
     assert sorted(rows(got, "seq")) == [(0,), (1,)]
 
 
+def test_dump_logs_and_layouts(spark, tmp_path):
+    for name in ("log", "gdi", "ccd", "bin"):
+        (tmp_path / name).mkdir()
+    rom = '<rom name="t1.bin" size="7" crc="AB" md5="CD" sha1="EF" />'
+    path = put(tmp_path / "log", a__txt=f"Disc Type: CD-ROM\nspeed:  8x\nDisc type: other\nread error at LBA: 55\nERROR, LBA 7 x\nerror LBA 55\n{rom}\n{rom.replace('7', '8')}\n")
+    assert rows(formats.dump_log(spark, path), "ord", "name", "size", "crc", "md5", "sha1") == [(0, "t1.bin", 7, "ab", "cd", "ef")]
+    fields = dict(rows(formats.log_fields(spark, path), "field", "value"))
+    assert fields["disc type"] == "CD-ROM" and fields["speed"] == "8x"
+    assert rows(formats.error_addresses(spark, path), "lba") == [(7,), (55,)]
+    assert rows(formats.gdi(spark, put(tmp_path / "gdi", d__gdi='2\n1 0 4 2352 "t 1.bin" 0\n2 600 0 2352 t2.raw 0\n')), "track", "start", "is_data", "file") == [(1, 0, True, "t 1.bin"), (2, 600, False, "t2.raw")]
+    assert rows(formats.sections(spark, put(tmp_path / "ccd", d__ccd="[Disc]\nEntries = 3\n; no\n[Entry 0]\nPoint=0xa0\n")), "section", "name", "value") == [("Disc", "Entries", "3"), ("Entry 0", "Point", "0xa0")]
+    record = bytes([2]) + bytes.fromhex("010000000200000003000000") + bytes([9]) + (70000).to_bytes(4, "little") + bytes(4) + bytes([1]) + bytes([5, 0, 0, 0, 6, 0, 0, 0])
+    got = formats.checksum_records(spark, put(tmp_path / "bin", d__bin=record + record[:-1]))
+    assert rows(got, "ord", "id1", "cddb", "track", "confidence", "crc", "crc2") == [(0, "00000001", "00000003", 1, 9, 70000, 0), (0, "00000001", "00000003", 2, 1, 5, 6)]
+
+
 def test_kinds(spark):
     df = spark.createDataFrame([(bytearray(b"PK\x03\x04x"),), (bytearray(b"RIFF0000WAVE"),), (bytearray(b""),), (None,)], "content binary")
     assert [r[0] for r in df.select(formats.kind_of("content")).collect()] == ["zip", "wav", "unknown", "unknown"]
