@@ -38,8 +38,8 @@ from .shared import new_folder
 REVISIT = 1000
 SHARD_BYTES = 16 << 20
 ROLL_BYTES = 4 << 20
-#: Equal ranges of numbers whose payload is summed up to place shards.
-RANGES = 1 << 12
+#: Equal ranges of numbers whose payload is summed up to place shards; also the most shards that there are.
+RANGES = 1 << 14
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "warc-record")
 
@@ -168,6 +168,13 @@ def _shards(rows: DataFrame, shard_bytes: int):
     return F.coalesce(F.element_at(F.lit(cuts), at + 1), F.lit(shard + 1)), shard + 2
 
 
+def _slots(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions a number that repartition() deals to it, so that shards don't share a partition by chance."""
+    asked = spark.range(40 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id"))
+    found = {r["p"]: r["id"] for r in asked.collect()}
+    return [found.get(p, p) for p in range(n)]
+
+
 def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes the archives and their manifest into a folder that has none yet; the manifest's rows."""
     spark = pages.sparkSession
@@ -179,7 +186,8 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     marks = long_.distinct().join(winners, "digest").select("number", "digest", F.lit(0).alias("kind"), F.lit("").alias("url"), F.lit("").alias("payload"), "refers")
     plain = rows.select("number", digest, F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers"))
     shard, n = _shards(rows, shard_bytes)
-    dealt = plain.unionByName(marks).select(shard.alias("shard"), "number", "digest", "kind", "url", "payload", "refers").repartition(n, "shard")
+    slot = F.element_at(F.lit(_slots(spark, n)), F.col("shard") + 1).cast("long")
+    dealt = plain.unionByName(marks).select(shard.alias("shard"), "number", "digest", "kind", "url", "payload", "refers").withColumn("slot", slot).repartition(n, "slot").drop("slot")
     said = dealt.sortWithinPartitions("shard", "number", "digest", "kind", "url").mapInArrow(frugal(_write(folder, roll_bytes)), MANIFEST)
     said.write.json(f"{folder}/manifest")  # Spark commits it whole, after all tasks
     return manifest(spark, folder)
