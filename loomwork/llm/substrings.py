@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import TextSlice, frugal, id_text, objects, span_hashes, text_slices, window_hashes, within_rows, word_spans
-from .shared import kept, partitions
+from .shared import kept, partitions, release
 
 WINDOW = 20
 PERIOD = 13
@@ -257,14 +257,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     settings = Settings(window, period, cover)
     spark = docs.sparkSession
     n = partitions(spark)
-    spread = id_text(docs, key, text).repartitionByRange(n, "key").sortWithinPartitions("key", "text")
-    chunks = kept(spread.mapInArrow(frugal(_chunked), _CHUNK))
+    chunks = kept(id_text(docs, key, text).repartitionByRange(n, "key").sortWithinPartitions("key", "text").mapInArrow(frugal(_chunked), _CHUNK))
+    release(spark)
     size = chunks.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(2 * n, size // BUCKET_BYTES + 1)
     by_chunk = chunks.groupBy("chunk")
     sent = chunks.mapInPandas(frugal(_send_anchors(settings, buckets)), "bucket int, chunk long, hashes binary")
     answer = "chunk long, bucket int, mask binary"
     anchors = kept(sent.groupBy("bucket").applyInPandas(_answer_anchors, answer))
+    release(spark)
     windows = by_chunk.cogroup(anchors.groupBy("chunk")).applyInPandas(_send_windows(settings, buckets), "bucket int, chunk long, hashes binary")
     answers = windows.groupBy("bucket").applyInPandas(_answer_windows, answer)
     both = anchors.withColumn("kind", F.lit(0)).unionByName(answers.withColumn("kind", F.lit(1)))
