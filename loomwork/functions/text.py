@@ -5,10 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Regions that a name's tag may list. Fixed values.
-REGIONS = "USA Europe Japan World Asia Australia Brazil Canada China France Germany Italy Korea Netherlands Spain Sweden Taiwan UK".split()
-#: The language that a region's releases have if no tag says. Fixed values.
-DEFAULT_LANGUAGE = {"USA": "en", "Europe": "en", "World": "en", "UK": "en", "Australia": "en", "Canada": "en", "Japan": "ja", "France": "fr", "Germany": "de", "Italy": "it", "Spain": "es", "Korea": "ko", "China": "zh", "Brazil": "pt", "Netherlands": "nl", "Sweden": "sv"}
+#: Fixed values of the naming convention: each region with the language of its releases where no tag says.
+REGION_LANGUAGE = {
+    "World": "EN",
+    "USA": "EN",
+    "Europe": "EN",
+    "Japan": "JA",
+    "Australia": "EN",
+    "Canada": "EN",
+    "UK": "EN",
+    "Ireland": "EN",
+    "Germany": "DE",
+    "France": "FR",
+    "Spain": "ES",
+    "Italy": "IT",
+    "Netherlands": "NL",
+    "Sweden": "SV",
+    "Norway": "NO",
+    "Denmark": "DA",
+    "Finland": "FI",
+    "Portugal": "PT",
+    "Brazil": "PT",
+    "Mexico": "ES",
+    "Korea": "KO",
+    "China": "ZH",
+    "Taiwan": "ZH",
+    "Hong Kong": "ZH",
+    "Russia": "RU",
+    "Poland": "PL",
+    "Greece": "EL",
+    "Asia": "EN",
+}
+#: Fixed values of the naming convention: languages that a tag may list.
+LANGUAGES = "En Ja Fr De Es It Nl Pt Sv No Da Fi Zh Ko Pl Ru El Cs Hu Ca Gd Tr".split()
+
+
+def _map(pairs: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))
+
+
+def _looked_up(tag: Column, known: dict[str, str]) -> Column:
+    """A tag's parts as known in lower case; null if one isn't."""
+    parts = F.transform(F.split(tag, "[,+]"), lambda p: F.try_element_at(_map(known), F.lower(F.trim(p))))
+    return F.when(F.forall(parts, lambda p: p.isNotNull()), parts)
+
+
+def _first_of(tags_: Column, known: dict[str, str]) -> Column:
+    """The first tag whose parts are all known, in their known form; null if there's none."""
+    return F.get(F.filter(F.transform(tags_, lambda x: _looked_up(x, known)), lambda x: x.isNotNull()), F.lit(0))
 
 
 def alnum(c: Column) -> Column:
@@ -24,17 +68,13 @@ def tags(name: Column) -> Column:
 def parsed_name(name: Column) -> Column:
     """title, regions, languages, revision, version, disc, prerelease and unlicensed of a release's name, by its tags.
 
-    A tag is one of regions, or of two-letter languages, if all its parts are; Rev takes a number, or a letter as its place in the alphabet;
-    v1.2 is 12 (tenths, halves to even). Without a language tag the first region's language holds. The title is the name without tags.
+    A tag is one of regions, or of languages, if all its parts are, whatever their case; Rev takes a number, or a letter as its place in the alphabet;
+    v1.2 is 12 (tenths, halves to even). Without a language tag the first region's language holds, or EN. The title is the name without tags.
     """
     t = tags(name)
-    parts = lambda x: F.transform(F.split(x, "[,+]"), lambda p: F.trim(p))
-    all_in = lambda x, ok: F.forall(parts(x), ok)
-    known = F.array(*map(F.lit, REGIONS))
-    regions = F.coalesce(F.get(F.transform(F.filter(t, lambda x: all_in(x, lambda p: F.array_contains(known, p))), parts), F.lit(0)), F.array().cast("array<string>"))
-    tagged = F.get(F.transform(F.filter(t, lambda x: all_in(x, lambda p: p.rlike("^[A-Z][a-z]$"))), lambda x: F.transform(parts(x), F.lower)), F.lit(0))
-    default = F.element_at(F.create_map(*(F.lit(x) for kv in DEFAULT_LANGUAGE.items() for x in kv)), F.get(regions, F.lit(0)))
-    languages = F.coalesce(tagged, F.when(default.isNotNull(), F.array(default)), F.array().cast("array<string>"))
+    regions = F.coalesce(_first_of(t, {r.lower(): r for r in REGION_LANGUAGE}), F.array().cast("array<string>"))
+    default = F.coalesce(F.try_element_at(_map(REGION_LANGUAGE), F.get(regions, F.lit(0))), F.lit("EN"))
+    languages = F.coalesce(_first_of(t, {x.lower(): x.upper() for x in LANGUAGES}), F.array(default))
     first = lambda pattern: F.get(F.filter(F.transform(t, lambda x: F.regexp_extract(x, pattern, 1)), lambda x: x != ""), F.lit(0))
     rev = first(r"^Rev ([0-9]+|[A-Za-z])$")
     revision = F.coalesce(F.when(rev.rlike("^[0-9]+$"), rev.try_cast("int")), F.ascii(F.upper(rev)) - 64, F.lit(0))
@@ -56,7 +96,7 @@ def tagged_name(name: Column) -> Column:
     """A stricter reading of the same tags: title before the first parenthesis, the first region tag only, languages if a tag has two or more, disc of how many, the version as written, and flags."""
     t = tags(name)
     parts = lambda x: F.transform(F.split(x, "[,+]"), lambda p: F.trim(p))
-    known = F.array(*map(F.lit, REGIONS))
+    known = F.array(*map(F.lit, REGION_LANGUAGE))
     region = F.get(F.filter(t, lambda x: F.exists(parts(x), lambda p: F.array_contains(known, p))), F.lit(0))
     languages = F.get(F.filter(t, lambda x: (F.size(parts(x)) >= 2) & F.forall(parts(x), lambda p: p.rlike("^[A-Z][a-z]$"))), F.lit(0))
     first = lambda pattern, g=1: F.get(F.filter(F.transform(t, lambda x: F.regexp_extract(x, pattern, g)), lambda x: x != ""), F.lit(0))

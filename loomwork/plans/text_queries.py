@@ -15,7 +15,7 @@ NAMES = """SELECT p_partkey AS k, concat('Part ', p_partkey, ' (', CASE p_partke
 
 @query(
     """SELECT k, concat('Part ', k) AS title, CASE k % 4 WHEN 0 THEN 'USA,Europe' WHEN 1 THEN 'Japan' WHEN 2 THEN 'France' ELSE 'World' END AS regions,
- CASE WHEN k % 3 = 0 THEN 'en,fr' WHEN k % 3 = 1 THEN 'de' ELSE CASE k % 4 WHEN 1 THEN 'ja' WHEN 2 THEN 'fr' ELSE 'en' END END AS languages,
+ CASE WHEN k % 3 = 0 THEN 'EN,FR' WHEN k % 3 = 1 THEN 'DE' ELSE CASE k % 4 WHEN 1 THEN 'JA' WHEN 2 THEN 'FR' ELSE 'EN' END END AS languages,
  CASE k % 5 WHEN 0 THEN k % 7 WHEN 1 THEN 2 ELSE 0 END AS revision, CASE WHEN k % 6 = 0 THEN 12 ELSE 0 END AS version, CASE WHEN k % 8 = 0 THEN 2 ELSE 0 END AS disc, k % 9 = 0 AS prerelease, k % 9 = 1 AS unlicensed FROM names""",
     names=NAMES,
 )

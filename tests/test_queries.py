@@ -166,9 +166,11 @@ def test_scalar_functions(spark):
     df = spark.createDataFrame([("00:02:10", "1234567890123", "US-ABC-12-34567", "IFPI L123 x"), ("bad", "1", None, "none")], "m string, mcn string, isrc string, sid string")
     got = df.select(text.msf_sectors(F.col("m")), text.valid_mcn(F.col("mcn")), text.valid_isrc(F.col("isrc")), text.sid_code(F.col("sid"))).collect()
     assert [tuple(r) for r in got] == [(160, True, True, "L123"), (None, False, False, None)]
-    name = spark.createDataFrame([("A Game (Disc 1 of 2) (v1.25) (Rev AB) (En,xx)",), (None,), ("",), ("Plain",)], "n string")
+    name = spark.createDataFrame([("A Game (Disc 1 of 2) (v1.25) (Rev AB) (En,xx)",), (None,), ("",), ("Plain",), ("B (hong kong, usa) (en+DE)",)], "n string")
     first = name.select(text.parsed_name(F.col("n")).alias("p")).collect()[0].p
-    assert (first.title, first.disc, first.version, first.revision, first.languages) == ("A Game", 1, 12, 0, [])
+    assert (first.title, first.disc, first.version, first.revision, first.languages) == ("A Game", 1, 12, 0, ["EN"])
+    last = name.select(text.parsed_name(F.col("n")).alias("p")).collect()[-1].p
+    assert (last.title, last.regions, last.languages) == ("B", ["Hong Kong", "USA"], ["EN", "DE"])
     assert df.select(text.arrhenius(F.lit(25.0))).first()[0] == pytest.approx(1)
 
 
