@@ -39,7 +39,7 @@ UNKNOWN = "und"
 
 @lru_cache(maxsize=1)
 def folded() -> np.ndarray:
-    """Of each code point its lower-case letter, or 0 if it is no letter."""
+    """Of each code point its lower-case letter, or 0 if it is no letter; marks go with the letters that they stand on."""
     out = np.zeros(sys.maxunicode + 1, np.int32)
     for c in range(sys.maxunicode + 1):
         if unicodedata.category(chr(c))[0] in "LM":
@@ -48,6 +48,12 @@ def folded() -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def lettered() -> np.ndarray:
+    """Whether each code point is a letter in the strict sense, not a mark."""
+    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
 def letters_of(text: str) -> np.ndarray:
     """Folded letters, with one 0 for each run of other characters; none at the start."""
     low = folded()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
@@ -119,17 +125,21 @@ class Model:
         self.cost = np.array([np.log2(len(v) + 1) for v in texts.values()])
 
     def symbols(self, s: TextSlice) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of all rows, and where each row's begin (rows + 1 values)."""
+        """Symbols of all rows, and where each row's begin (rows + 1 values); a row without a letter has none."""
         parts, sizes = [], []
         for lo in range(0, s.rows, 256):
             hi = min(lo + 256, s.rows)
             raw = s.data[s.offsets[lo] : s.offsets[hi]]
-            low = folded()[np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)]
+            points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+            low = folded()[points]
             char = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[s.offsets[lo : hi + 1] - s.offsets[lo]]
             keep = low > 0
             after = np.concatenate([[False], keep[:-1]])
             after[char[:-1][char[:-1] < len(low)]] = False  # a row doesn't begin with a blank
             keep |= after
+            letters = np.diff(np.concatenate([[0], np.cumsum(lettered()[points])])[char])
+            if (letters == 0).any():
+                keep &= np.repeat(letters > 0, np.diff(char))
             parts.append(self.symbol[low[keep]])
             sizes.append(np.diff(np.concatenate([[0], np.cumsum(keep)])[char]))
         return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
@@ -217,7 +227,7 @@ def in_learned_language(docs: DataFrame, samples: tuple[tuple[str, str], ...], t
                     spared = ((bits - model.cost[:, None]) / np.maximum(size, 1)).min(axis=0)
                     parts.append((size > 0) & ((size < least) | (spared < MARGIN * model.even_bits)))
                 else:
-                    parts.append(np.array([bool((letters_of(s.text(i).decode()) > 0).any()) for i in range(s.rows)], bool))
+                    parts.append(np.array([any(lettered()[ord(c)] for c in s.text(i).decode()) for i in range(s.rows)], bool))
             yield batch.filter(pa.array(np.concatenate(parts)))
 
     return docs.mapInArrow(frugal(run), docs.schema)

@@ -58,6 +58,12 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert ids >= set(langs) and not ids & {1, 2, 3}
 
 
+def test_marks_alone_are_no_letters():
+    model = language.Model(dict(samples(random.Random(3))))
+    for s in text_slices(pa.array(["\u0301\u0302", "a\u0301", None, "1 \u0301 2"]), 1 << 24):
+        assert [x == "und" for x in model.predict(s)[0]] == [True, False, True, True]
+
+
 def test_nothing_to_learn_from(spark):
     table = docs(spark, ODD)
     own = language.learn(table)
