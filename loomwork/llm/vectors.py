@@ -8,8 +8,11 @@ at exactly the threshold meet with probability TARGET (nearer pairs meet oftener
 by its cosine in double precision, so none below the threshold is ever linked.
 
 Equal vectors are one class, compared once. A pair that meets several times counts where it meets first. What comes
-out of a bucket are counts and a label for each member, not pairs; a bucket above BLOCK members is dealt out in pairs of
-blocks to different tasks.
+out of a bucket are counts and a label for each member, not pairs.
+
+A bucket above BLOCK members has a pivot. Vectors within half the threshold's angle of one pivot are a core: all of them
+link with one another, so these links are counted by the core's size, however large it is. The rest of such a bucket is dealt out in pairs of
+blocks to different tasks, and blocks of one core aren't paired.
 
 Rows: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and neither do rows
 without a number; vectors of different lengths never link; rows that repeat a number count each on their own, under one number;
@@ -148,9 +151,10 @@ def _verify(kind: str, tables: int, threshold: float) -> Callable[[pd.DataFrame]
         df = df.sort_values(["t", "code", "i", "j", "node"], kind="stable", ignore_index=True)
         x = _vectors(df["vec"], kind)
         codes = np.frombuffer(b"".join(df["codes"]), np.int64).reshape(len(df), tables, -1)
-        keys = df[["t", "code", "i", "j"]].to_numpy()
+        keys = df[["t", "code", "i", "j"]].to_numpy(dtype=object)
         cut = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
-        node, size, block = df["node"].to_numpy(dtype=object), df["n_copies"].to_numpy(), df["block"].to_numpy()
+        core = pd.factorize(df["core"])[0]  # -1 for none
+        node, size, block = df["node"].to_numpy(dtype=object), df["n_copies"].to_numpy(), df["block"].to_numpy(dtype=object)
         out = []
         for lo, hi in zip(cut, [*cut[1:], len(df)]):
             if hi - lo < 2:
@@ -162,6 +166,8 @@ def _verify(kind: str, tables: int, threshold: float) -> Callable[[pd.DataFrame]
             if bi == bj:
                 a, b = a[a < b], b[a < b]
             a, b = left[a], right[b]
+            other = (core[a] != core[b]) | (core[a] < 0)  # links within a core are counted without being looked at
+            a, b = a[other], b[other]
             if not len(a):
                 continue
             first = np.concatenate([_first_meeting(codes[a[k : k + 50_000]], codes[b[k : k + 50_000]], t, code) for k in range(0, len(a), 50_000)])
@@ -193,19 +199,57 @@ def _sent(family: CrossPolytope, kind: str):
     return run
 
 
+def _cores(rows: DataFrame, big: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """node and core of vectors within half the threshold's angle of a pivot, the least node of a big bucket; two with one core link for certain. Of several pivots the least counts."""
+    least = float(np.sqrt((1 + threshold) / 2)) + 1e-9
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series((_vectors(a, kind) * _vectors(b, kind)).sum(axis=1) >= least)
+
+    inside = rows.select("t", "code", "node", "vec").join(big.select("t", "code"), ["t", "code"])
+    pivots = inside.groupBy("t", "code").agg(F.min(F.struct("node", "vec")).alias("p")).select("t", "code", F.col("p.node").alias("core"), F.col("p.vec").alias("pivot"))
+    return inside.join(pivots, ["t", "code"]).filter(near("vec", "pivot")).groupBy("node").agg(F.min("core").alias("core"))
+
+
+def _dealt(rows: DataFrame, met: DataFrame) -> DataFrame:
+    """Rows of big buckets, once for each pair i, j of blocks that theirs is part of. Rows of one core that fill half a block have blocks of their own, which aren't paired with one another."""
+    met = met.select("t", "code")
+    kinds = rows.filter("core IS NOT NULL").groupBy("t", "code", "core").agg(F.count("*").alias("m")).filter(F.col("m") >= BLOCK / 2).select("t", "code", F.col("core").alias("own"))
+    named = rows.join(met, ["t", "code"]).join(kinds.withColumnsRenamed({"t": "t2", "code": "code2"}), F.expr("t = t2 AND code = code2 AND core = own"), "left").drop("t2", "code2").withColumn("own", F.coalesce("own", F.lit("")))
+    sizes = named.groupBy("t", "code", "own").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    lists = sizes.groupBy("t", "code").agg(F.collect_list(F.struct(F.col("own").alias("k"), F.col("blocks").alias("n"))).alias("kinds"))
+    placed = named.join(sizes, ["t", "code", "own"]).join(lists, ["t", "code"]).withColumn("block", F.expr("concat(own, '#', pmod(xxhash64(node, 7), blocks))"))
+    others = "flatten(transform(filter(kinds, x -> x.k <> own OR own = ''), x -> transform(sequence(0, x.n - 1), b -> concat(x.k, '#', b))))"
+    return placed.withColumn("other", F.explode(F.expr(others))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+
+
 def _class_links(classes: DataFrame, dim: int, kind: str, threshold: float, target: float) -> DataFrame:
     """node, n and label for classes of vectors of one length."""
     family = plan(dim, classes.count(), threshold, target)
     probes = min(family.probes, len(family.choices))
     sent = kept(classes.mapInPandas(frugal(_sent(family, kind)), "node string, vec binary, n_copies long, codes binary, buckets array<long>"))
-    rows = sent.select("node", "vec", "n_copies", "codes", F.posexplode("buckets").alias("at", "code")).withColumn("t", F.floor(F.col("at") / probes).cast("int")).drop("at")
-    sizes = sent.select(F.posexplode("buckets").alias("at", "code")).groupBy(F.floor(F.col("at") / probes).cast("int").alias("t"), "code").agg(F.count("*").alias("n"))
-    met = kept(sizes.filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
-    total = met.agg(F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0)).alias("n")).first()["n"]
-    placed = rows.join(met, ["t", "code"]).withColumn("block", F.expr("cast(pmod(xxhash64(node, 7), blocks) as int)"))
-    dealt = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    grouped = dealt.withColumn("g", F.expr(f"pmod(xxhash64(t, code, i, j), {max(1, total // GROUP_ROWS)})")).select("g", "t", "code", "i", "j", "block", "node", "vec", "n_copies", "codes")
-    return grouped.groupBy("g").applyInPandas(_verify(kind, family.tables, threshold), "node string, n long, label string")
+    table = F.floor(F.col("at") / probes).cast("int").alias("t")
+    sizes = sent.select(F.posexplode("buckets").alias("at", "code")).groupBy(table, "code").agg(F.count("*").alias("n"))
+    met = kept(sizes.filter("n > 1"))
+    total = met.agg(F.coalesce(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK)), F.lit(0)).alias("n")).first()["n"]
+    spread = lambda df: df.select("node", "vec", "n_copies", "codes", "core", F.posexplode("buckets").alias("at", "code")).withColumn("t", table).drop("at")
+    big, links = met.filter(F.col("n") > BLOCK), None
+    rows = spread(sent.withColumn("core", F.lit(None).cast("string")))
+    if not big.isEmpty():
+        cores = kept(_cores(rows, big, kind, threshold))
+        rows = spread(sent.join(cores, "node", "left"))
+        members = cores.join(sent.select("node", "n_copies"), "node")
+        whole = members.groupBy("core").agg(F.sum("n_copies").alias("s"))
+        links = members.join(whole, "core").select("node", (F.col("s") - F.col("n_copies")).alias("n"), F.col("core").alias("label"))
+    one = F.lit("#")
+    columns = ["t", "code", "i", "j", "block", "node", "core", "vec", "n_copies", "codes"]
+    dealt = rows.join(met.filter(F.col("n") <= BLOCK).select("t", "code"), ["t", "code"]).withColumns({"i": one, "j": one, "block": one}).select(*columns)
+    if links is not None:
+        dealt = dealt.unionByName(_dealt(rows, big).select(*columns))
+    grouped = dealt.withColumn("g", F.expr(f"pmod(xxhash64(t, code, i, j), {max(1, total // GROUP_ROWS)})"))
+    found = grouped.groupBy("g").applyInPandas(_verify(kind, family.tables, threshold), "node string, n long, label string")
+    return found if links is None else found.unionByName(links)
 
 
 def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
