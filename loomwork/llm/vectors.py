@@ -261,14 +261,17 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     bad = F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == F.lit(float("inf")))) | ~F.exists(v, lambda e: e != 0)
     clean = F.transform(v, lambda e: F.when(e == 0, F.lit(0).cast(item)).otherwise(e))  # no negative zero
     named = kept(rows.select(F.col(key).cast("long").alias("key"), F.when(~bad & F.col(key).isNotNull(), clean).alias("v")).withColumn("node", F.md5(F.col("v").cast("string"))))
-    classes = kept(named.filter("node IS NOT NULL").groupBy("node").agg(F.first("v").alias("v"), F.count("*").alias("n_copies"), F.min("key").alias("least")))
+    each = named.filter("node IS NOT NULL").groupBy("node").agg(F.first("v").alias("v"), F.count("*").alias("n_copies"), F.min("key").alias("least"))
+    # A class goes by its least key, which sorts as text as it does as a number, and its digest: the least name of a component has its least key.
+    name = F.concat(F.lpad(F.hex(F.col("least").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), "node")
+    classes = kept(each.withColumn("digest", F.col("node")).withColumn("node", name))
     found = spark.createDataFrame([], "node string, n long, label string")
     for d in sorted(r["d"] for r in classes.select(F.size("v").alias("d")).distinct().collect()):
         found = found.unionByName(_class_links(classes.filter(F.size("v") == d).select("node", "v", "n_copies"), d, kind, threshold, target))
     found = kept(found)
     label = components(found, "node", "label").withColumnRenamed("component", "c")
-    one = classes.drop("v").join(found.groupBy("node").agg(F.sum("n").alias("n")), "node", "left").join(label, "node", "left").withColumn("c", F.coalesce("c", "node"))
-    one = one.join(one.groupBy("c").agg(F.min("least").alias("component")), "c")
-    one = one.select("node", (F.col("n_copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component")
+    one = classes.drop("v").join(found.groupBy("node").agg(F.sum("n").alias("n")), "node", "left").join(label, "node", "left")
+    first = F.conv(F.substring(F.coalesce("c", "node"), 1, 16), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+    one = one.select(F.col("digest").alias("node"), (F.col("n_copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), first.alias("component"))
     out = named.select("key", "node").join(one, "node", "left").withColumn("component", F.coalesce("component", "key"))
     return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("key") == F.col("component"), F.lit(True)).alias("kept"))
