@@ -141,6 +141,8 @@ def _reply_bits(masks: pd.DataFrame, edges: np.ndarray) -> np.ndarray:
     out = np.zeros(int(edges[-1]), bool)
     for bucket, mask in zip(masks["bucket"], masks["mask"]):
         lo, hi = edges[bucket], edges[bucket + 1]
+        if len(mask) != (hi - lo + 7) // 8:
+            raise ValueError(f"a mask of {len(mask)} bytes for {hi - lo} hashes")
         out[lo:hi] = np.unpackbits(np.frombuffer(mask, np.uint8), count=hi - lo).astype(bool)
     return out
 
@@ -205,7 +207,7 @@ def _send_windows(settings: Settings, buckets: int):
 
 def _answer_windows(df: pd.DataFrame) -> pd.DataFrame:
     """For each chunk's windows of this bucket a bit: an earlier chunk has it."""
-    df = df.sort_values("chunk")
+    df = df.sort_values("chunk", ignore_index=True)  # a fresh index: columns of the answer are matched by it
     sizes = [len(x) // 12 for x in df["hashes"]]
     a = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(df["hashes"], sizes)])
     b = np.concatenate([np.frombuffer(x, np.uint32, n, 8 * n) for x, n in zip(df["hashes"], sizes)])

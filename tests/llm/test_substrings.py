@@ -1,8 +1,11 @@
 import random
 import re
 
+import duckdb
+import numpy as np
+import pandas as pd
 import pytest
-from loomwork.llm import substrings
+from loomwork.llm import queries, substrings
 
 from .helpers import ODD, docs
 
@@ -57,3 +60,44 @@ def test_covers():
     assert substrings.covers(13, (0, 1, 3, 9)) and substrings.covers(7, (0, 1, 3)) and not substrings.covers(8, (0, 1, 3))
     with pytest.raises(ValueError):
         substrings.Settings(10, 13, (0, 1, 3, 9))
+
+
+@pytest.fixture
+def dealt(spark):
+    """Many partitions, none of them put together: the rows of a bucket come from several tasks, in no order."""
+    held = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def passages_and_own_words(rnd, n):
+    passages = [[f"p{rnd.randint(0, 10**6)}" for _ in range(45)] for _ in range(10)]
+    rows = []
+    for i in range(n):
+        text = []
+        for _ in range(rnd.randint(0, 4)):
+            text += [f"w{rnd.randint(0, 10**6)}" for _ in range(rnd.randint(0, 30))] + rnd.choice(passages)
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_chunks_from_several_partitions(dealt):
+    same(dealt, passages_and_own_words(random.Random(8), 240))
+
+
+def test_against_sql_over_several_partitions(dealt, tmp_path):
+    rows = passages_and_own_words(random.Random(9), 240)
+    docs(dealt, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.op5_substring_dedup(dealt, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(duck.sql(queries.OP5_SQL).fetchall())
+
+
+def test_a_mask_of_another_length_fails():
+    with pytest.raises(ValueError, match="mask"):
+        substrings._reply_bits(pd.DataFrame({"bucket": [0], "mask": [b"\xff\xff"]}), np.array([0, 3]))
