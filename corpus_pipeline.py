@@ -15,6 +15,9 @@ from loomwork.llm import bpe, decontamination, language, lines, simhash
 from loomwork.llm.batches import table
 from loomwork.llm.queries import BYTE_BPE
 
+#: Words from which one or two lines that repeat are deleted too.
+LONG_WORDS = 50
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -25,8 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9; n_chars follows the text."""
-    out = lines.remove_repeated_runs(docs).drop("n_lines", "n_removed")
+    """Operator 9, and runs of fewer lines if they have LONG_WORDS words together; n_chars follows the text."""
+    out = lines.remove_repeated_runs(docs, long_words=LONG_WORDS).drop("n_lines", "n_removed")
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

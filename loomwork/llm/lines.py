@@ -5,6 +5,7 @@ consecutive lines the least hash is its fingerprint, so two equal runs of that m
 Fingerprints that occur once are put aside; around the others the windows that hold them are compared in full, which extends a
 match both ways, window by window. Of equal windows the one that starts first stays (smaller id, then earlier place); the
 lines of all others are deleted, so a repeated run goes from its first line to its last.
+With long_words, fewer lines are a window too if they have so many words together, so a long line that repeats alone goes as well.
 
 Fingerprints and windows are counted in each task before they are shuffled; a run that a third of all documents share
 costs a row for each place, never a pair. A document's text moves once, when its deletions join it.
@@ -38,35 +39,51 @@ def _places(raw: Column) -> Column:
     return F.filter(F.transform(raw, lambda x, i: F.when(_trimmed(x) != "", i)), lambda i: i.isNotNull())
 
 
+def _words(line: Column) -> Column:
+    return F.size(F.filter(F.split(line, "[ \\t\\r\\f\\x0B]+"), lambda x: x != ""))
+
+
+def _long_windows(lines: Column, n: int, long_words: int) -> Column:
+    """Of each window of n lines and long_words words or more the same as _windows."""
+    of = lambda w: F.aggregate(F.slice(lines, w["start"] + 1, n), F.lit(0), lambda sum_, x: sum_ + x["words"])
+    return F.filter(_windows(F.transform(lines, lambda x: x["hash"]), n), lambda w: of(w) >= long_words)
+
+
 def _windows(hashes: Column, n: int) -> Column:
-    """Of each window its start, fingerprint and two hashes."""
+    """Of each window its start, lines, fingerprint and two hashes."""
     part = lambda i: [F.element_at(hashes, i + 1 + k) for k in range(n)]
     return F.transform(
         F.when(F.size(hashes) >= n, F.sequence(F.lit(0), F.size(hashes) - n)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(i.alias("start"), (F.least(*part(i)) if n > 1 else part(i)[0]).alias("f"), F.xxhash64(*part(i)).alias("w"), F.hash(*part(i)).alias("v")),
+        lambda i: F.struct(i.alias("start"), F.lit(n).alias("lines"), (F.least(*part(i)) if n > 1 else part(i)[0]).alias("f"), F.xxhash64(*part(i)).alias("w"), F.hash(*part(i)).alias("v")),
     )
 
 
-def repeated_starts(docs: DataFrame, n: int = MIN_LINES) -> DataFrame:
-    """Of docs (k, h, text; h tells apart texts of one k): k, h and starts, the places in lines that count at which a window begins that has begun before."""
-    hashes = let(F.split("text", "\n", -1), lambda raw: F.transform(F.filter(F.transform(raw, _trimmed), lambda x: x != ""), lambda x: F.xxhash64(x)))
-    rows = docs.filter("text IS NOT NULL").select("k", "h", F.inline(let(hashes, lambda x: _windows(x, n))))
+def repeated_starts(docs: DataFrame, n: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
+    """Of docs (k, h, text; h tells apart texts of one k): k, h and starts, the places in lines that count at which a window begins that has begun before, and the window's lines."""
+    trimmed = lambda raw: F.filter(F.transform(raw, _trimmed), lambda x: x != "")
+    if long_words is None:
+        windows = let(F.split("text", "\n", -1), lambda raw: let(F.transform(trimmed(raw), lambda x: F.xxhash64(x)), lambda x: _windows(x, n)))
+    else:
+        hashed = lambda raw: F.transform(trimmed(raw), lambda x: F.struct(F.xxhash64(x).alias("hash"), _words(x).alias("words")))
+        all_ = lambda x: F.concat(_windows(F.transform(x, lambda y: y["hash"]), n), *(_long_windows(x, k, long_words) for k in range(1, n)))
+        windows = let(F.split("text", "\n", -1), lambda raw: let(hashed(raw), all_))
+    rows = docs.filter("text IS NOT NULL").select("k", "h", F.inline(windows))
     prints = rows.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f")
     near = rows.join(prints, "f", "left_semi")
     place = F.struct("k", "h", "start")
-    first = near.groupBy("w", "v").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = near.join(first, ["w", "v"]).filter(place > F.col("first")).select("k", "h", "start")
+    first = near.groupBy("w", "v", "lines").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = near.join(first, ["w", "v", "lines"]).filter(place > F.col("first")).select("k", "h", F.struct("start", "lines").alias("start"))
     return later.groupBy("k", "h").agg(F.collect_set("start").alias("starts"))
 
 
-def remove_repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def remove_repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """docs with the text less its repeated runs, and as last columns n_lines (that count) and n_removed."""
     rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    starts = repeated_starts(rows.select("k", "h", "text"), min_lines).select(F.col("k").alias("k2"), F.col("h").alias("h2"), "starts")
+    starts = repeated_starts(rows.select("k", "h", "text"), min_lines, long_words).select(F.col("k").alias("k2"), F.col("h").alias("h2"), "starts")
     both = rows.join(starts, F.expr("k <=> k2 AND h = h2"), "left")
 
     def cut(raw: Column) -> Column:
-        gone = lambda places: F.flatten(F.transform("starts", lambda s: F.slice(places, s + 1, min_lines)))
+        gone = lambda places: F.flatten(F.transform("starts", lambda s: F.slice(places, s["start"] + 1, s["lines"])))
         kept = lambda bad: F.array_join(F.filter(raw, lambda x, i: ~F.array_contains(bad, i)), "\n")
         return let(_places(raw), lambda places: let(F.array_distinct(gone(places)), lambda bad: F.struct(kept(bad).alias("text"), F.size(places).alias("n_lines"), F.size(bad).alias("n_removed"))))
 

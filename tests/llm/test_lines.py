@@ -44,3 +44,11 @@ def test_odd_rows(spark):
     twice = lines.remove_repeated_runs(docs(spark, [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "a\nb\nc")])).collect()
     assert sorted((r.doc_id, r.text) for r in twice) == [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "")]
     assert lines.remove_repeated_runs(docs(spark, [])).count() == 0
+
+
+def test_long_lines_that_repeat_alone(spark):
+    long, half = " ".join(f"w{i}" for i in range(50)), [" ".join(f"{c}{i}" for i in range(25)) for c in "ab"]
+    rows = [(1, long), (2, f"own\n {long}\r\nother"), (3, long), (4, "\n\n".join(half)), (5, "\n".join(["x", *half, "y"])), (6, half[0]), (7, f"{half[1]}\n{half[0]}"), (8, f"{long} more\n{long}")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.remove_repeated_runs(docs(spark, rows), long_words=50).collect()}
+    assert got == {1: (long, 0), 2: ("own\nother", 1), 3: ("", 1), 4: ("\n\n".join(half), 0), 5: ("x\ny", 2), 6: (half[0], 0), 7: (f"{half[1]}\n{half[0]}", 0), 8: (f"{long} more", 1)}
+    assert {r.doc_id: r.n_removed for r in lines.remove_repeated_runs(docs(spark, rows)).collect()} == dict.fromkeys(range(1, 9), 0)
