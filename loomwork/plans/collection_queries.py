@@ -293,7 +293,7 @@ def a21_folded_verdict(checks: DataFrame) -> DataFrame:
     return statistics.folded_verdict(checks, "k", "s")
 
 
-SETS = "SELECT l_suppkey AS k, l_partkey AS e FROM lineitem WHERE l_partkey % 10 = 0"
+SETS = "SELECT l_suppkey AS k, l_partkey AS e FROM lineitem"
 PAIRS = """WITH s AS (SELECT DISTINCT k, e FROM sets), n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
  c AS (SELECT x.k AS a, y.k AS b, count(*) AS c FROM s x JOIN s y ON x.e = y.e AND x.k < y.k GROUP BY ALL)"""
 
@@ -308,7 +308,7 @@ def u3_overlap_pairs(sets: DataFrame) -> DataFrame:
     return similarity.similar_pairs(sets, "k", "e", 0.1, similarity.overlap())
 
 
-LINKS = "SELECT DISTINCT o_custkey AS a, o_custkey + 1 + o_orderkey % 3 AS b FROM orders WHERE o_orderkey % 5 = 0"
+LINKS = "SELECT DISTINCT o_custkey AS a, o_custkey + 1 + o_orderkey % 3 AS b FROM orders"
 REACH = """WITH two AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SELECT k AS s, k AS t FROM nodes UNION SELECT s, b FROM reach JOIN two ON t = a) SELECT s AS k, min(t) AS "group" FROM reach GROUP BY s"""
 
 

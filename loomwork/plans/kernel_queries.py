@@ -38,7 +38,7 @@ def g6_first_fit(items: DataFrame) -> DataFrame:
     return similarity.first_fit(items, "g", "k", "n", 20_000, 100)
 
 
-@query(None, sets="SELECT l_suppkey AS k, l_partkey AS e FROM lineitem WHERE l_partkey % 10 = 0", nodes="SELECT s_suppkey AS k FROM supplier")
+@query(None, sets="SELECT l_suppkey AS k, l_partkey AS e FROM lineitem", nodes="SELECT s_suppkey AS k FROM supplier")
 def g3_upgma(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     pairs = similarity.similar_pairs(sets, "k", "e", 0.08)
     group = similarity.groups(pairs, nodes, "k")
@@ -50,7 +50,7 @@ def g3_upgma(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """WITH s AS (SELECT k, o, i AS pos, substring(b, CAST(2 * i - 1 AS BIGINT), 2) AS b FROM (SELECT k, o, b, unnest(range(1, length(b) // 2 + 1)) AS i FROM (SELECT k, o, hex(encode(v)) AS b FROM reads))),
  n AS (SELECT k, pos, b, count(*) AS n, min(o) AS o FROM s GROUP BY ALL), w AS (SELECT k, pos, b, row_number() OVER (PARTITION BY k, pos ORDER BY n DESC, o) AS r FROM n)
  SELECT k, string_agg(b, '' ORDER BY pos) AS voted FROM w WHERE r = 1 GROUP BY k""",
-    reads="SELECT conv_id AS k, turn AS o, substring(text, 1, 40) AS v FROM conversations",
+    reads="SELECT conv_id AS k, turn AS o, text AS v FROM conversations",
 )
 def a9_byte_vote(reads: DataFrame) -> DataFrame:
     out = statistics.byte_vote(reads.withColumn("v", F.col("v").cast("binary")), ["k"], "v", "o")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import validation
 from .registry import query
 
-TRACKS = "SELECT l_orderkey AS set, l_linenumber AS number, concat('f', l_suppkey % 3) AS file, l_partkey % 40 AS start, CASE WHEN l_partkey % 9 = 0 THEN 2048 ELSE 2352 END AS sector_size FROM lineitem WHERE l_orderkey < 3000"
+TRACKS = "SELECT l_orderkey AS set, l_linenumber AS number, concat('f', l_suppkey % 3) AS file, l_partkey % 40 AS start, CASE WHEN l_partkey % 9 = 0 THEN 2048 ELSE 2352 END AS sector_size FROM lineitem"
 FILES = "SELECT o_orderkey AS set, concat('f', o_custkey % 3) AS file, (o_custkey % 40) * 2352 + CASE WHEN o_custkey % 5 = 0 THEN 7 ELSE 0 END AS size FROM orders"
 
 
@@ -30,7 +30,7 @@ def v1_track_set(tracks: DataFrame, files: DataFrame) -> DataFrame:
  SELECT layout AS target, 'duplicate_track_index' AS "check", 2 AS severity, concat(track, '.', i) AS detail FROM idx GROUP BY layout, track, i HAVING count(*) > 1
  UNION ALL SELECT layout, 'track_jump', 1, CAST(track AS VARCHAR) FROM q WHERE track <> b + 1 UNION ALL SELECT layout, 'first_track', 1, CAST(track AS VARCHAR) FROM q WHERE b IS NULL AND track <> 1
  UNION ALL SELECT layout, 'index_order', 2, concat(track, '.', i) FROM (SELECT *, lag(sector) OVER (PARTITION BY layout, track ORDER BY i, sector) AS b FROM idx) WHERE sector <= b UNION ALL SELECT layout, 'no_index_1', 2, CAST(track AS VARCHAR) FROM q WHERE NOT has1""",
-    idx="SELECT l_orderkey AS layout, l_linenumber AS track, l_suppkey % 2 AS i, l_partkey AS sector FROM lineitem WHERE l_orderkey < 3000",
+    idx="SELECT l_orderkey AS layout, l_linenumber AS track, l_suppkey % 2 AS i, l_partkey AS sector FROM lineitem",
 )
 def v2_layout(idx: DataFrame) -> DataFrame:
     return validation.layout_findings(idx.withColumnRenamed("i", "index"))

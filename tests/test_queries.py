@@ -194,3 +194,18 @@ def test_streams(spark, tmp_path):
         q = windows.compare_snapshots(spark.readStream.schema(snaps).parquet(f"{tmp_path}/snap"), f"{tmp_path}/known", matching.drift, lambda df, k: seen.append({r.path: r.status for r in df.collect()}), f"{tmp_path}/sc")
         q.awaitTermination()
     assert seen == [{"a": "added", "b": "added"}, {"a": "rot_suspected", "b": "removed", "c": "added"}]
+
+
+def test_no_rows_or_bytes_are_left_out(spark, tmp_path):
+    """Rows that a filter by key, or a prefix, would leave out."""
+    lines_ = [(5001, n, s, p) for n, (s, p) in enumerate([(1, 11), (1, 12), (2, 11), (2, 12)])]
+    spark.createDataFrame(lines_, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(5001, 4), (5002, 5)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(4,), (5,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1,), (2,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(1, 0, "x" * 60)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    assert [(r.a, r.b, r.similarity) for name in ("j8_jaccard_pairs", "u3_overlap_pairs") for r in run(name)] == [(1, 2, 1.0)] * 2
+    assert run("g3_upgma") and run("v1_track_set") and run("v2_layout")
+    assert [r.voted for r in run("a9_byte_vote")] == ["78" * 60]
+    assert {r.k: r.group for r in run("g2_groups")} == {4: 4, 5: 4, 7: 4, 8: 8}
