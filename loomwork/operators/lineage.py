@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the folder that the cluster names in spark.checkpoint.dir; a new folder where that is unset, as in tests."""
+    """df, computed once and written to the folder that the cluster names in spark.checkpoint.dir; a new folder where that is unset and all runs on this machine, as in tests."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not where and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
