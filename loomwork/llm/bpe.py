@@ -16,6 +16,7 @@ import sys
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ class PairTable:
     """Pairs of tokens to values in an open-addressed table, looked up for whole arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int):
-        self.mask = np.int64((1 << bits) - 1)
+        self.mask, self.shift = np.int64((1 << bits) - 1), np.int64(min(40, 64 - bits))
         self.keys = np.full(1 << bits, -1, dtype=np.int64)
         self.values = np.full(1 << bits, NEVER, dtype=np.int64)
         self.probes = 0
@@ -64,7 +65,7 @@ class PairTable:
             left, at = left[~won], (at[~won] + 1) & self.mask
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.int64(-7046029254386353131)) >> np.int64(40)) & self.mask
+        return ((keys * np.int64(-7046029254386353131)) >> self.shift) & self.mask
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         at = self.slot(keys)
@@ -82,11 +83,10 @@ class PairTable:
 
 
 class Bpe:
-    """The encoder and decoder of one byte-level vocabulary file."""
+    """The encoder and decoder of one byte-level vocabulary, given as the bytes of its file."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, vocabulary: bytes):
+        spec = json.loads(vocabulary)
         model, letters = spec["model"], byte_letters()
         plain = {bytes(letters[c] for c in piece): i for piece, i in model["vocab"].items()}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -107,7 +107,7 @@ class Bpe:
         left = np.array([vocab[a] for a, _ in merges], dtype=np.int64)
         right = np.array([vocab[b] for _, b in merges], dtype=np.int64)
         self.made = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
-        self.merge_rank = PairTable(left * self.size + right, np.arange(len(merges), dtype=np.int64), 19)
+        self.merge_rank = PairTable(left * self.size + right, np.arange(len(merges), dtype=np.int64), max(19, (2 * len(merges)).bit_length()))
         self.rank = np.full(self.size, -1, dtype=np.int64)
         self.left, self.right = np.full(self.size, -1, dtype=np.int64), np.full(self.size, -1, dtype=np.int64)
         self.rank[self.made], self.left[self.made], self.right[self.made] = np.arange(len(merges)), left, right
@@ -326,13 +326,20 @@ class Bpe:
 
 
 @lru_cache(maxsize=1)
+def _built(vocabulary: bytes) -> Bpe:
+    return Bpe(vocabulary)
+
+
 def encoder(path: str) -> Bpe:
-    return Bpe(path)
+    return _built(Path(path).read_bytes())
+
 
+def _mapped(docs: DataFrame, path: str, make: Callable[[Bpe, np.ndarray], list], schema: pa.Schema, count_only: bool = False) -> Callable:
+    """The driver reads the vocabulary's file and sends its bytes, a few megabytes whatever the documents are, so executors need no such file."""
+    held = docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
-def _mapped(path: str, make: Callable[[Bpe, np.ndarray], list], schema: pa.Schema, count_only: bool = False) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = _built(held.value)
         for batch in batches:
             keys = batch.column(0)
             for s in text_slices(batch.column(1)):
@@ -348,13 +355,13 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     """key, n_tokens, ids (little-endian unsigned 32-bit integers) and the decoded text, one row per row of docs."""
     fields = [(key, pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())]
     make = lambda bpe, ids: (ids.astype("<u4").tobytes(), bpe.decode(ids).decode())
-    return id_text(docs, key, text).mapInArrow(_mapped(path, make, pa.schema(fields)), f"{key} long, n_tokens long, ids binary, decoded string")
+    return id_text(docs, key, text).mapInArrow(_mapped(docs, path, make, pa.schema(fields)), f"{key} long, n_tokens long, ids binary, decoded string")
 
 
 def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and n_tokens, one row per row of docs."""
     fields = [(key, pa.int64()), ("n_tokens", pa.int64())]
-    return id_text(docs, key, text).mapInArrow(_mapped(path, None, pa.schema(fields), True), f"{key} long, n_tokens long")
+    return id_text(docs, key, text).mapInArrow(_mapped(docs, path, None, pa.schema(fields), True), f"{key} long, n_tokens long")
 
 
 def length_histogram(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontamination, language, lines, simhash, substrings, token_counts, toxicity, vectors, warc
 from .batches import table
 
-#: Where the vocabulary files of public tokenizers are; nothing is copied from there.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+#: The vocabulary file on the driver; nothing is copied from there into the repository.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
