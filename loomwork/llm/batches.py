@@ -89,18 +89,6 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[TextSlice
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS = np.ones(1, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-
-
-def powers(n: int) -> np.ndarray:
-    """1, b, b**2, ... modulo 2**64."""
-    global _POWERS
-    while len(_POWERS) < n:
-        _POWERS = np.concatenate([_POWERS, _POWERS * (_POWERS[-1:] * _BASE)])
-    return _POWERS[:n]
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """The finaliser of MurmurHash3 on 64 bits."""
     h = h ^ (h >> np.uint64(33))
@@ -122,14 +110,35 @@ def word_spans(s: TextSlice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, np.searchsorted(starts, s.offsets)
 
 
+#: Places in a span whose values are looked up.
+_NEAR = 64
+_KEY = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _drawn(places: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """A value for each letter at each place, as good as drawn at random."""
+    return mixed(mixed((places.astype(np.uint64) << np.uint64(8) | letters.astype(np.uint64)) + _KEY) ^ _KEY)
+
+
+_DRAWN = _drawn(np.repeat(np.arange(_NEAR), 256), np.tile(np.arange(256), _NEAR))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 17) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, worked out for so many spans at once; no span is empty."""
+    """A 64-bit hash of the bytes of each span, worked out for so many spans at once; no span is empty.
+
+    Each letter at each place has a value of its own, and their sum is mixed (tabulation hashing): unlike a polynomial modulo
+    2**64 it has no texts that collide by its structure.
+    """
     out = np.empty(len(starts), np.uint64)
     for k in range(0, len(starts), at_once):
         begin, lengths = starts[k : k + at_once], (ends - starts)[k : k + at_once]
         first = np.cumsum(lengths) - lengths
         at = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-        terms = (data[at + np.repeat(begin, lengths)].astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()) + 1)[at]
+        letters = data[at + np.repeat(begin, lengths)]
+        terms = _DRAWN[(np.minimum(at, _NEAR - 1) << 8) + letters]
+        if lengths.max() > _NEAR:
+            far = np.flatnonzero(at >= _NEAR)
+            terms[far] = _drawn(at[far], letters[far])
         out[k : k + at_once] = mixed(np.add.reduceat(terms, first) + lengths.astype(np.uint64))
     return out
 
@@ -139,7 +148,7 @@ def window_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     m = len(words) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    p = mixed(powers(n + 1 + seed)[1 + seed :] + np.uint64(seed))
+    p = mixed((np.arange(n, dtype=np.uint64) + np.uint64(1 + (seed << 32))) * _KEY)
     total = np.zeros(m, np.uint64)
     for k in range(n):
         total += words[k : k + m] * (p[k] | np.uint64(1))

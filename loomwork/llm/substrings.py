@@ -259,7 +259,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     settings = Settings(window, period, cover)
     spark = docs.sparkSession
     n = partitions(spark)
-    chunks = kept(id_text(docs, key, text).repartitionByRange(n, "key").sortWithinPartitions("key", "text").mapInArrow(frugal(_chunked), _CHUNK))
+    begin = F.substring("text", 1, 64)  # so that rows of one key, or without any, are dealt out too; it is ordered as the text is
+    chunks = kept(id_text(docs, key, text).repartitionByRange(n, "key", begin).sortWithinPartitions("key", "text").mapInArrow(frugal(_chunked), _CHUNK))
     release(spark)
     size = chunks.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(2 * n, size // BUCKET_BYTES + 1)
