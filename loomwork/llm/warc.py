@@ -1,17 +1,20 @@
 """A deterministic sharded WARC writer, and a reader.
 
-Pages are dealt to shards by ranges of their number that hold about SHARD_BYTES of payload each, sorted within, and
-written as one gzip member a record; a file is closed once its compressed size reaches ROLL_BYTES. Headers are generated
-anew: record ids are name-based UUIDs of number and digest, dates a parameter, digests SHA-1 in base 32. The same rows give the same bytes.
+Pages are dealt to shards by ranges of number and digest, sorted within, and written as one gzip member a record; a file is
+closed once its compressed size reaches ROLL_BYTES. Ranges are cut at quantiles, by bytes of payload, of a sample of rows
+that a hash of the rows alone picks, so they hold about SHARD_BYTES each however the numbers are spread, and the same rows give
+the same shards. Headers are generated anew: record ids are name-based UUIDs of number and digest, dates a parameter,
+digests SHA-1 in base 32. The same rows give the same bytes.
 
-A file is written under a temporary name and renamed when whole; a task that runs twice writes the same file again. When all
-files of a run are there, a manifest lists them with size, SHA-1 and number of records, itself renamed into place: an archive
-without one isn't whole, and files that a failed attempt left aren't listed.
+Each attempt of a task writes files under names of its own. Those of the attempts that Spark commits are then
+renamed, which may be tried any number of times, and when all of them are there, a manifest lists them with size, SHA-1
+and number of records: an archive without one isn't whole. What other attempts left is deleted last.
 
-Of records with equal payloads of at least REVISIT bytes, that with the largest number is a response, others revisit it.
+Of records with equal payloads of at least REVISIT bytes, that with the largest number is a response, others revisit it. The reader
+checks every digest, and that each revisit names a response of its digest and length.
 
-Rows: a null payload is empty; rows without a number come last, in a shard of their own, and are all responses; rows that repeat
-a number are all written, and of copies under the largest number the first is the response; extra columns are ignored. An
+Rows: a null payload is empty; rows without a number come last, dealt to shards of their own by digest, and are all responses; rows that repeat
+a number are all written, and of copies under the largest number the first is the response; numbers may lie anywhere in 64 bits; extra columns are ignored. An
 empty table gives a manifest without files.
 """
 
@@ -19,9 +22,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +36,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .batches import frugal
-from .shared import new_folder
+from .shared import kept, new_folder
 
 REVISIT = 1000
 SHARD_BYTES = 16 << 20
 ROLL_BYTES = 4 << 20
-#: Equal ranges of numbers whose payload is summed up to place shards; also the most shards that there are.
-RANGES = 1 << 14
+#: Shards above which they grow instead; a shard is written as a stream, so its size costs no memory.
+MOST_SHARDS = 10_000
+#: Sampled rows a shard, about; at most MOST_SHARDS times this many reach the driver.
+SAMPLES = 20
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "warc-record")
 
@@ -94,9 +99,9 @@ class Roller:
     def add(self, body: bytes) -> None:
         if self.out is None:
             self.name = f"part-{self.shard:06d}-{self.n:05d}.warc.gz"
-            self.temp = f"{self.path}/_temporary/{self.name}.{self.attempt}"
+            self.temp = f"_temporary/{self.name}.{self.attempt}"
             self.fs.create_dir(f"{self.path}/_temporary", recursive=True)
-            self.out, self.sha, self.size, self.records = self.fs.open_output_stream(self.temp, compression=None), hashlib.sha1(), 0, 0
+            self.out, self.sha, self.size, self.records = self.fs.open_output_stream(f"{self.path}/{self.temp}", compression=None), hashlib.sha1(), 0, 0
             self.add(squeezed(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(_SPACE, self.name)}>\r\nWARC-Date: {DATE}\r\nWARC-Filename: {self.name}\r\nContent-Type: application/warc-fields\r\nContent-Length: 0\r\n\r\n\r\n\r\n".encode()))
             self.records = 0
         self.out.write(body)
@@ -109,11 +114,7 @@ class Roller:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            to = f"{self.path}/{self.name}"
-            if self.fs.get_file_info(to).type != fs.FileType.NotFound:
-                self.fs.delete_file(to)  # an earlier attempt's, the same bytes
-            self.fs.move(self.temp, to)
-            self.done.append((self.name, self.size, self.sha.hexdigest(), self.records))
+            self.done.append((self.name, self.temp, self.size, self.sha.hexdigest(), self.records))
             self.out, self.n = None, self.n + 1
 
 
@@ -121,7 +122,7 @@ def _write(folder: str, roll_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by shard, number, digest and kind; a mark (kind 0) stands before the pages that it is about."""
         roller, mark, first, said = None, None, False, []
-        attempt = str(TaskContext.get().taskAttemptId())
+        attempt = f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 for shard, number, digest, kind, url, payload, refers in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns)):
@@ -142,30 +143,65 @@ def _write(folder: str, roll_bytes: int):
             roller.close()
             said += roller.done
         if said:
-            name, size, sha, n = zip(*said)
-            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(size, pa.int64()), pa.array(sha), pa.array(n, pa.int64())], names=["file", "bytes", "sha1", "records"])
+            name, temp, size, sha, n = zip(*said)
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(temp), pa.array(size, pa.int64()), pa.array(sha), pa.array(n, pa.int64())], names=["file", "temp", "bytes", "sha1", "records"])
+
+    return run
+
+
+def renamed(folder: str, name: str, temp: str) -> None:
+    """Gives a whole file its name. The file may have it already, from an attempt before; no file is ever deleted or replaced."""
+    system, path = opened(folder)
+    if system.get_file_info(f"{path}/{name}").type != fs.FileType.NotFound:
+        return
+    try:
+        system.move(f"{path}/{temp}", f"{path}/{name}")
+    except OSError:
+        if system.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
+            raise
+
+
+def _rename(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, temp in zip(batch.column("file").to_pylist(), batch.column("temp").to_pylist()):
+                renamed(folder, name, temp)
+            yield batch.drop_columns(["temp"])
 
     return run
 
 
 MANIFEST = "file string, bytes long, sha1 string, records long"
+_SAID = "file string, temp string, bytes long, sha1 string, records long"
 
 
 def _shards(rows: DataFrame, shard_bytes: int):
-    """A column of the shard of each row, and how many there are: cuts among equal ranges of numbers, by summed payload."""
-    lo, hi = rows.agg(F.min("number"), F.max("number")).first()
-    if lo is None:
-        return F.lit(0), 1
-    width = (hi - lo) // RANGES + 1
-    at = F.expr(f"cast((number - {lo}L) div {width}L as int)")
-    sums = dict(rows.filter("number IS NOT NULL").groupBy(at.alias("at")).agg(F.sum(F.octet_length("payload") + 200).alias("n")).collect())  # RANGES rows at most
-    shard, total, cuts = 0, 0, []
-    for k in range(RANGES):
-        if total >= shard_bytes:
-            shard, total = shard + 1, 0
-        cuts.append(shard)
-        total += sums.get(k, 0)
-    return F.coalesce(F.element_at(F.lit(cuts), at + 1), F.lit(shard + 1)), shard + 2
+    """A column of the shard of each row (number, digest, url), and how many there are."""
+    size = F.octet_length("payload") + 200
+    whole = rows.agg(*(F.coalesce(F.sum(F.when(c, x)), F.lit(0)).alias(n) for c, x, n in ((F.col("number").isNotNull(), size, "bytes"), (F.col("number").isNull(), size, "others"), (F.col("number").isNotNull(), F.lit(1), "rows")))).first()
+    n, spare = (min(MOST_SHARDS, -(-whole[c] // shard_bytes)) for c in ("bytes", "others"))
+    each = max(1, whole["rows"] // max(1, n * SAMPLES))
+    picked = rows.filter("number IS NOT NULL").filter(F.pmod(F.xxhash64("number", "payload"), F.lit(each)) == 0)
+    found = sorted(map(tuple, picked.groupBy("number", F.sha1(F.encode("payload", "UTF-8"))).agg(F.sum(size)).collect())) if n > 1 else []  # about n * SAMPLES rows
+    total, cuts = 0, []
+    weight = sum(x[2] for x in found)
+    for number, digest, some in found:
+        if total * n >= (len(cuts) + 1) * weight:
+            cuts.append((number, digest))
+        total += some
+    numbers, digests = np.array([c[0] for c in cuts], np.int64), [c[1] for c in cuts]
+
+    @F.pandas_udf("int")
+    def at(number: pd.Series, digest: pd.Series) -> pd.Series:
+        x = number.to_numpy(np.int64)
+        out, hi = np.searchsorted(numbers, x, "left"), np.searchsorted(numbers, x, "right")
+        for k in np.flatnonzero(hi > out):
+            out[k] = bisect_right(digests, digest[k], out[k], hi[k])
+        return pd.Series(out.astype(np.int32))
+
+    first = len(cuts) + 1
+    known = at(F.coalesce("number", F.lit(0)), "digest") if cuts else F.lit(0)
+    return F.when(F.col("number").isNull(), F.lit(first) + F.pmod(F.xxhash64("digest", "url"), F.lit(max(1, spare))).cast("int")).otherwise(known), first + max(1, spare)
 
 
 def _slots(spark: SparkSession, n: int) -> list[int]:
@@ -188,8 +224,14 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     shard, n = _shards(rows, shard_bytes)
     slot = F.element_at(F.lit(_slots(spark, n)), F.col("shard") + 1).cast("long")
     dealt = plain.unionByName(marks).select(shard.alias("shard"), "number", "digest", "kind", "url", "payload", "refers").withColumn("slot", slot).repartition(n, "slot").drop("slot")
-    said = dealt.sortWithinPartitions("shard", "number", "digest", "kind", "url").mapInArrow(frugal(_write(folder, roll_bytes)), MANIFEST)
-    said.write.json(f"{folder}/manifest")  # Spark commits it whole, after all tasks
+    said = dealt.sortWithinPartitions("shard", "number", "digest", "kind", "url").mapInArrow(frugal(_write(folder, roll_bytes)), _SAID)
+    said.write.json(f"{folder}/_committed")  # of each task the attempt that Spark commits
+    files = spark.read.schema(_SAID).json(f"{folder}/_committed")
+    files.repartition(max(1, min(n, files.count())), "file").mapInArrow(_rename(folder), MANIFEST).write.json(f"{folder}/manifest")
+    system, path = opened(folder)
+    for left in ("_temporary", "_committed"):
+        if system.get_file_info(f"{path}/{left}").type != fs.FileType.NotFound:
+            system.delete_dir(f"{path}/{left}")
     return manifest(spark, folder)
 
 
@@ -263,10 +305,16 @@ def _file(folder: str, name: str, sha1: str, payloads: bool, at_once: int = 512)
 
 
 def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """page_id, payload_bytes, payload_digest (hex), record_type, refers_to, url and, if asked for, payload of all archives that the manifest lists; digests are verified."""
+    """page_id, payload_bytes, payload_digest (hex), record_type, refers_to, url and, if asked for, payload of all archives that the manifest lists; digests and references are verified."""
     files = manifest(spark, folder)
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * payloads
-    return files.repartition(max(1, min(files.count(), 100_000)), "file").mapInPandas(frugal(_read(folder, payloads)), schema)
+    files = files.repartition(max(1, min(files.count(), 100_000)), "file")
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
+    index = kept(files.mapInPandas(frugal(_read(folder, False)), schema))
+    known = index.filter("record_type = 'response'").select("page_id", "payload_digest", "payload_bytes")
+    asked = index.filter("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest", "payload_bytes").distinct()
+    if not asked.join(known, ["page_id", "payload_digest", "payload_bytes"], "left_anti").isEmpty():
+        raise ValueError("a revisit refers to no response of its digest and length")
+    return files.mapInPandas(frugal(_read(folder, True)), schema + ", payload binary") if payloads else index
 
 
 def written(pages: DataFrame, **settings) -> str:

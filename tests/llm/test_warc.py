@@ -58,3 +58,61 @@ def test_damage_is_seen(spark):
 
 def test_empty(spark):
     assert warc.read(spark, warc.written(pages(spark, []))).count() == 0
+
+
+def sizes(spark, folder):
+    return [r.records for r in warc.manifest(spark, folder).collect()]
+
+
+def test_shards_follow_the_rows_however_numbers_are_spread(spark):
+    body = "x" * 400
+    for more in ([], [(1 << 60, "u", body)], [(-(1 << 63), "u", body), ((1 << 63) - 1, "u", body)], [(7, "u", f"{body}{i}") for i in range(700)], [(None, "u", f"{body}{i}") for i in range(700)]):
+        rows = [(i, "u", f"{body}{i}") for i in range(1000)] + more
+        folder = warc.written(pages(spark, rows), shard_bytes=30_000)
+        n = sizes(spark, folder)
+        assert sum(n) == len(rows) and len(n) >= 15 and max(n) <= 200
+        got = warc.read(spark, folder, payloads=False).collect()
+        assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in got) == brute(rows)
+
+
+def test_attempts_that_run_twice_or_die(spark, tmp_path):
+    import pyarrow as pa
+
+    rows = [(0, i, "d0" * 20, 1, "u", f"page {i}", None) for i in range(50)]
+    names = ["shard", "number", "digest", "kind", "url", "payload", "refers"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], pa.schema([("shard", pa.int32()), ("number", pa.int64()), ("digest", pa.string()), ("kind", pa.int32()), ("url", pa.string()), ("payload", pa.string()), ("refers", pa.int64())]))
+    folder = str(tmp_path)
+
+    def attempt(x):
+        (out,) = warc._write(folder, 1000)(iter([batch]))
+        return [tuple(out.to_pydict()[c][k] for c in ("file", "temp", "bytes", "sha1", "records")) for k in range(out.num_rows)]
+
+    first, second = spark.sparkContext.parallelize([1, 2], 2).map(attempt).collect()
+    assert len(first) > 1 and [(a[0], *a[2:]) for a in first] == [(b[0], *b[2:]) for b in second] and not {a[1] for a in first} & {b[1] for b in second}
+    for name, temp, *_ in first:
+        warc.renamed(folder, name, temp)
+    whole = {name: (tmp_path / name).read_bytes() for name, *_ in first}
+    for name, temp, *_ in [*second, *first]:  # a second commit, and one that is tried again, leave the files as they are
+        warc.renamed(folder, name, temp)
+    assert {name: (tmp_path / name).read_bytes() for name, *_ in first} == whole
+    with pytest.raises(OSError):
+        warc.renamed(folder, "other.warc.gz", first[0][1])
+
+
+def test_nothing_but_the_archive_is_left(spark):
+    folder = Path(warc.written(pages(spark, ROWS)).removeprefix("file://"))
+    assert {p.name for p in folder.iterdir() if not p.name.endswith(".gz")} == {"manifest"}
+
+
+def test_a_revisit_needs_its_response(spark):
+    rows = [(i, "u", "é" * 600) for i in (1, 2, 3)]
+    folder = Path(warc.written(pages(spark, rows)).removeprefix("file://"))
+    assert warc.read(spark, str(folder)).count() == 3
+    names = [r.file for r in warc.manifest(spark, str(folder)).collect()]
+    parts = [x for n in names for x in warc.records(iter([(folder / n).read_bytes()]))]
+    assert sum(h["warc-type"] == "revisit" for h, _ in parts) == 2
+    body = b"".join(warc.squeezed("\r\n".join(["WARC/1.1", *(f"{k}: {v}" for k, v in h.items())]).encode() + b"\r\n\r\n" + b + b"\r\n\r\n") for h, b in parts if h["warc-type"] != "response")
+    (folder / names[0]).write_bytes(body)
+    spark.createDataFrame([(names[0], len(body), hashlib.sha1(body).hexdigest(), 2)], warc.MANIFEST).write.mode("overwrite").json(f"{folder}/manifest")
+    with pytest.raises(ValueError, match="no response"):
+        warc.read(spark, str(folder))
