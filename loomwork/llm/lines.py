@@ -1,14 +1,15 @@
 """Line dedup by winnowing (Schleimer, Wilkerson and Aiken), in DataFrame functions alone.
 
 Lines are compared without white space at their ends; blank lines don't count and stay. Of each window of MIN_LINES
-consecutive lines the least hash is its fingerprint, so two equal runs of that many lines have a fingerprint in common at the same place.
-Fingerprints that occur once are put aside; around the others the windows that hold them are compared in full, which extends a
-match both ways, window by window. Of equal windows the one that starts first stays (smaller id, then earlier place); the
-lines of all others are deleted, so a repeated run goes from its first line to its last.
+consecutive lines the least hash, of equal ones the first, is selected with its place: an anchor. Two equal windows select the same line,
+so anchors whose hash occurs once are put aside. The others' places are joined, for each window that selected them, with the
+first place where an equal window was selected, and the match is extended from the anchor both ways, line by line. Where a match isn't the first
+(smaller id, then earlier place) its lines are deleted, so of equal windows the one that starts first stays, and a repeated run goes from its first line to its last.
 With long_words, fewer lines are a window too if they have so many words together, so a long line that repeats alone goes as well.
 
-Fingerprints and windows are counted in each task before they are shuffled; a run that a third of all documents share
-costs a row for each place, never a pair. A document's text moves once, when its deletions join it.
+A match is extended to MIN_LINES - 1 lines each way; a longer run has an anchor in each of its windows, so its matches overlap.
+Anchors and windows are counted in each task before they are shuffled, and those of a line or window that is
+frequent are dealt to several tasks; a run that a third of all documents share costs a row for each place, never a pair. A document's text moves once, when its deletions join it.
 
 Rows: a null text stays null and has no lines; a text of fewer lines stays as it is; a null id comes first; rows that repeat both id and text are
 one document and all get its result; rows that repeat an id with other texts are in an order by the text's hash. Other columns are passed on, whatever their names.
@@ -21,6 +22,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import join_spread
+
 MIN_LINES = 3
 _BLANKS = " \t\r\f\v"
 
@@ -43,52 +46,77 @@ def _words(line: Column) -> Column:
     return F.size(F.filter(F.split(line, "[ \\t\\r\\f\\x0B]+"), lambda x: x != ""))
 
 
-def _long_windows(lines: Column, n: int, long_words: int) -> Column:
-    """Of each window of n lines and long_words words or more the same as _windows."""
-    of = lambda w: F.aggregate(F.slice(lines, w["start"] + 1, n), F.lit(0), lambda sum_, x: sum_ + x["words"])
-    return F.filter(_windows(F.transform(lines, lambda x: x["hash"]), n), lambda w: of(w) >= long_words)
+def _windows(n: int, long_words: int | None) -> list[tuple[int, int]]:
+    """Of all windows that hold a line: how far it is from their start, and their length."""
+    return [(o, size) for size in range(1 if long_words else n, n + 1) for o in range(size)]
+
+
+def _reach(near: Column, n: int, step: int) -> Column:
+    """How many lines in a row, to the right or left of the middle one, don't take the minimum from it: of equal lines the first has it."""
+    middle, out = F.get(near, F.lit(n - 1)), F.lit(n - 1)
+    for k in reversed(range(1, n)):
+        other = F.get(near, F.lit(n - 1 + step * k))
+        out = F.when((other["hash"] > middle["hash"]) if step < 0 else (other["hash"] >= middle["hash"]), out).otherwise(k - 1)
+    return out
+
+
+def _anchor(near: Column, place: Column, n: int, long_words: int | None) -> Column:
+    """A line's place, hash and the hashes around it, and the windows that have their minimum there."""
+
+    def chosen(left: Column, right: Column) -> Column:
+        of = lambda o, size: F.aggregate(F.slice(near, n - o, size), F.lit(0), lambda sum_, x: sum_ + x["words"])
+        fits = lambda o, size: (F.lit(o) <= left) & (F.lit(size - 1 - o) <= right) & ((of(o, size) >= long_words) if size < n else F.lit(True))
+        all_ = [F.when(fits(o, size), F.struct(F.lit(o).alias("o"), F.lit(size).alias("size"))) for o, size in _windows(n, long_words)]
+        return F.filter(F.array(*all_), lambda w: w.isNotNull())
+
+    windows = let(_reach(near, n, -1), lambda left: let(_reach(near, n, 1), lambda right: chosen(left, right)))
+    return F.struct(place.alias("p"), F.get(near, F.lit(n - 1))["hash"].alias("f"), F.transform(near, lambda x: x["hash"]).alias("near"), windows.alias("windows"))
+
+
+def _anchors(lines: Column, n: int, long_words: int | None) -> Column:
+    """Of lines (hash, words) those that are the minimum of some window."""
+    around = lambda i: F.array(*(F.get(lines, i + k) for k in range(1 - n, n)))
+    return F.filter(F.transform(lines, lambda x, i: _anchor(around(i), i, n, long_words)), lambda a: F.size(a["windows"]) > 0)
 
 
-def _windows(hashes: Column, n: int) -> Column:
-    """Of each window its start, lines, fingerprint and two hashes."""
-    part = lambda i: [F.element_at(hashes, i + 1 + k) for k in range(n)]
-    return F.transform(
-        F.when(F.size(hashes) >= n, F.sequence(F.lit(0), F.size(hashes) - n)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(i.alias("start"), F.lit(n).alias("lines"), (F.least(*part(i)) if n > 1 else part(i)[0]).alias("f"), F.xxhash64(*part(i)).alias("w"), F.hash(*part(i)).alias("v")),
-    )
+def _alike(n: int, step: int) -> Column:
+    """By how many lines the match of two anchors reaches on, to the right or left."""
+    out = F.lit(n - 1)
+    for k in reversed(range(1, n)):
+        at = F.lit(n - 1 + step * k)
+        out = F.when(F.get("near", at) == F.get("first.near", at), out).otherwise(k - 1)
+    return out
 
 
-def repeated_starts(docs: DataFrame, n: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
-    """Of docs (k, h, text; h tells apart texts of one k): k, h and starts, the places in lines that count at which a window begins that has begun before, and the window's lines."""
-    trimmed = lambda raw: F.filter(F.transform(raw, _trimmed), lambda x: x != "")
-    if long_words is None:
-        windows = let(F.split("text", "\n", -1), lambda raw: let(F.transform(trimmed(raw), lambda x: F.xxhash64(x)), lambda x: _windows(x, n)))
-    else:
-        hashed = lambda raw: F.transform(trimmed(raw), lambda x: F.struct(F.xxhash64(x).alias("hash"), _words(x).alias("words")))
-        all_ = lambda x: F.concat(_windows(F.transform(x, lambda y: y["hash"]), n), *(_long_windows(x, k, long_words) for k in range(1, n)))
-        windows = let(F.split("text", "\n", -1), lambda raw: let(hashed(raw), all_))
-    rows = docs.filter("text IS NOT NULL").select("k", "h", F.inline(windows))
-    prints = rows.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f")
-    near = rows.join(prints, "f", "left_semi")
-    place = F.struct("k", "h", "start")
-    first = near.groupBy("w", "v", "lines").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = near.join(first, ["w", "v", "lines"]).filter(place > F.col("first")).select("k", "h", F.struct("start", "lines").alias("start"))
-    return later.groupBy("k", "h").agg(F.collect_set("start").alias("starts"))
+def repeated_runs(docs: DataFrame, n: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
+    """Of docs (k, h, text; h tells apart texts of one k): k, h and runs, each the place among lines that count at which a run begins that has occurred before, and its lines."""
+    hashed = lambda raw: F.transform(F.filter(F.transform(raw, _trimmed), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("hash"), (_words(x) if long_words else F.lit(0)).alias("words")))
+    found = let(F.split("text", "\n", -1), lambda raw: let(hashed(raw), lambda x: _anchors(x, n, long_words)))
+    anchors = docs.filter("text IS NOT NULL").select("k", "h", F.inline(found))
+    prints = anchors.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1")
+    met = join_spread(anchors, prints, ["f"], ["k", "h", "p"]).select("k", "h", "p", "near", F.inline("windows"))
+    met = met.withColumn("lines", F.slice("near", F.lit(n) - F.col("o"), F.col("size")))
+    place = F.struct("k", "h", "p", "near")
+    firsts = met.groupBy("lines").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    pairs = join_spread(met, firsts, ["lines"], ["k", "h", "p"]).filter(place > F.col("first"))
+    run = F.struct((F.col("p") - F.col("back")).alias("start"), (F.col("back") + F.col("on") + 1).alias("lines"))
+    runs = pairs.select("k", "h", "p", _alike(n, -1).alias("back"), _alike(n, 1).alias("on")).select("k", "h", run.alias("run"))
+    return runs.groupBy("k", "h").agg(F.collect_set("run").alias("runs"))
 
 
 def remove_repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """docs with the text less its repeated runs, and as last columns n_lines (that count) and n_removed."""
     rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    starts = repeated_starts(rows.select("k", "h", "text"), min_lines, long_words).select(F.col("k").alias("k2"), F.col("h").alias("h2"), "starts")
-    both = rows.join(starts, F.expr("k <=> k2 AND h = h2"), "left")
+    runs = repeated_runs(rows.select("k", "h", "text"), min_lines, long_words).select(F.col("k").alias("k2"), F.col("h").alias("h2"), "runs")
+    both = rows.join(runs, F.expr("k <=> k2 AND h = h2"), "left")
 
     def cut(raw: Column) -> Column:
-        gone = lambda places: F.flatten(F.transform("starts", lambda s: F.slice(places, s["start"] + 1, s["lines"])))
-        kept = lambda bad: F.array_join(F.filter(raw, lambda x, i: ~F.array_contains(bad, i)), "\n")
+        gone = lambda places: F.flatten(F.transform("runs", lambda s: F.slice(places, s["start"] + 1, s["lines"])))
+        kept = lambda bad: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(raw) - 1), bad), lambda i: F.get(raw, i)), "\n")
         return let(_places(raw), lambda places: let(F.array_distinct(gone(places)), lambda bad: F.struct(kept(bad).alias("text"), F.size(places).alias("n_lines"), F.size(bad).alias("n_removed"))))
 
     whole = lambda raw: F.struct(F.col("text").alias("text"), F.size(_places(raw)).alias("n_lines"), F.lit(0).alias("n_removed"))
-    out = let(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda raw: F.when(F.col("starts").isNull(), whole(raw)).otherwise(cut(raw)))
+    out = let(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda raw: F.when(F.col("runs").isNull(), whole(raw)).otherwise(cut(raw)))
     done = both.select("row", out.alias("out"))
     columns = [F.col("out.text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns]
     return done.select(*columns, F.col("out.n_lines").cast("long").alias("n_lines"), F.col("out.n_removed").cast("long").alias("n_removed"))

@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, as in tests, a new folder which the session then keeps."""
+    """spark.checkpoint.dir; where that is unset and all runs on this machine, as in tests, a new folder which the session then keeps."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="checkpoints-")
+        if held.isDefined():
+            where = held.get()
+        elif spark.sparkContext.master.startswith("local"):
+            where = tempfile.mkdtemp(prefix="checkpoints-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -44,3 +49,17 @@ def partitions(spark: SparkSession) -> int:
 def text_bytes(df: DataFrame, text: str) -> int:
     """Bytes of all texts: one number."""
     return df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
+
+
+def join_spread(rows: DataFrame, counted: DataFrame, on: list[str], by: list[str], n: str = "n") -> DataFrame:
+    """rows joined with counted, which has one row a key (no nulls in it) and in `n` about how many of rows have it.
+
+    A key with more than an even task's share of the rows is dealt by a hash of `by` to as many tasks as it has such shares. There are no more of
+    these keys than tasks, so their list is broadcast, and counted's rows of them are repeated no more than twice as often as there are tasks.
+    """
+    share = counted.agg((F.sum(n) / F.lit(partitions(rows.sparkSession))).alias("share")).scalar()
+    salts = F.ceil(F.col(n) / share).cast("int")
+    hot = counted.filter(F.col(n) > share).select(*on, salts.alias("_salts"))
+    left = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*by), "_salts"), F.lit(0).cast("long"))).drop("_salts")
+    right = counted.withColumn("_salt", F.explode(F.when(F.col(n) > share, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0))).cast("array<long>"))).drop(n)
+    return left.join(right, [*on, "_salt"]).drop("_salt")

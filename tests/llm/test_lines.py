@@ -1,6 +1,8 @@
 import random
+import time
 
 from loomwork.llm import lines
+from pyspark.sql import functions as F
 
 from .helpers import ODD, docs
 
@@ -52,3 +54,35 @@ def test_long_lines_that_repeat_alone(spark):
     got = {r.doc_id: (r.text, r.n_removed) for r in lines.remove_repeated_runs(docs(spark, rows), long_words=50).collect()}
     assert got == {1: (long, 0), 2: ("own\nother", 1), 3: ("", 1), 4: ("\n\n".join(half), 0), 5: ("x\ny", 2), 6: (half[0], 0), 7: (f"{half[1]}\n{half[0]}", 0), 8: (f"{long} more", 1)}
     assert {r.doc_id: r.n_removed for r in lines.remove_repeated_runs(docs(spark, rows)).collect()} == dict.fromkeys(range(1, 9), 0)
+
+
+def test_anchors_are_the_first_minima_of_windows(spark):
+    rnd = random.Random(11)
+    texts = [(i, "\n".join(rnd.choice("abcdef") for _ in range(rnd.randint(0, 12)))) for i in range(40)]
+    for n in (1, 2, 3, 5):
+        table = docs(spark, texts).selectExpr("doc_id", "text", "transform(split(text, '\n'), x -> xxhash64(x)) AS hashes")
+        table = table.withColumn("a", lines._anchors(F.transform("hashes", lambda x: F.struct(x.alias("hash"), F.lit(0).alias("words"))), n, None))
+        for r in table.collect():
+            want = {}
+            for i in range(len(r.hashes) - n + 1):
+                window = r.hashes[i : i + n]
+                p = i + window.index(min(window))
+                want.setdefault(p, set()).add((p - i, n))
+            assert {a.p: {(w.o, w.size) for w in a.windows} for a in r.a} == want
+            assert all(a.f == r.hashes[a.p] and [x for x in a.near if x is not None] == r.hashes[max(0, a.p - n + 1) : a.p + n] for a in r.a)
+
+
+def test_frequent_lines_and_runs(dealt):
+    rnd = random.Random(12)
+    part = lambda: rnd.choice([["menu", f"own {rnd.random()}"], ["top", "menu", "end"], [f"own {rnd.random()}"], ["menu"]])
+    rows = [(i, "\n".join(x for _ in range(6) for x in part())) for i in range(300)]
+    for n in (1, 2, 3):
+        got = lines.remove_repeated_runs(docs(dealt, rows), min_lines=n).collect()
+        assert sorted(((str(r.doc_id), r.text, r.n_lines, r.n_removed) for r in got), key=repr) == brute(rows, n)
+
+
+def test_many_lines(spark):
+    text = "\n".join(f"line {i}" for i in range(80_000))
+    began = time.perf_counter()
+    got = {r.doc_id: r.n_removed for r in lines.remove_repeated_runs(docs(spark, [(1, text), (2, text)])).collect()}
+    assert got == {1: 0, 2: 80_000} and time.perf_counter() - began < 20
