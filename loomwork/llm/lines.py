@@ -51,32 +51,29 @@ def _windows(n: int, long_words: int | None) -> list[tuple[int, int]]:
     return [(o, size) for size in range(1 if long_words else n, n + 1) for o in range(size)]
 
 
-def _reach(near: Column, n: int, step: int) -> Column:
+def _reach(n: int, step: int) -> Column:
     """How many lines in a row, to the right or left of the middle one, don't take the minimum from it: of equal lines the first has it."""
-    middle, out = F.get(near, F.lit(n - 1)), F.lit(n - 1)
+    out = F.lit(n - 1)
     for k in reversed(range(1, n)):
-        other = F.get(near, F.lit(n - 1 + step * k))
-        out = F.when((other["hash"] > middle["hash"]) if step < 0 else (other["hash"] >= middle["hash"]), out).otherwise(k - 1)
+        other = F.get("near", F.lit(n - 1 + step * k))
+        out = F.when((other > F.col("f")) if step < 0 else (other >= F.col("f")), out).otherwise(k - 1)
     return out
 
 
-def _anchor(near: Column, place: Column, n: int, long_words: int | None) -> Column:
-    """A line's place, hash and the hashes around it, and the windows that have their minimum there."""
-
-    def chosen(left: Column, right: Column) -> Column:
-        of = lambda o, size: F.aggregate(F.slice(near, n - o, size), F.lit(0), lambda sum_, x: sum_ + x["words"])
-        fits = lambda o, size: (F.lit(o) <= left) & (F.lit(size - 1 - o) <= right) & ((of(o, size) >= long_words) if size < n else F.lit(True))
-        all_ = [F.when(fits(o, size), F.struct(F.lit(o).alias("o"), F.lit(size).alias("size"))) for o, size in _windows(n, long_words)]
-        return F.filter(F.array(*all_), lambda w: w.isNotNull())
-
-    windows = let(_reach(near, n, -1), lambda left: let(_reach(near, n, 1), lambda right: chosen(left, right)))
-    return F.struct(place.alias("p"), F.get(near, F.lit(n - 1))["hash"].alias("f"), F.transform(near, lambda x: x["hash"]).alias("near"), windows.alias("windows"))
+def _chosen(n: int, long_words: int | None) -> Column:
+    """The windows that have their minimum in the middle line, which reaches `back` lines to the left and `on` to the right."""
+    words = lambda o, size: sum((F.get("words", F.lit(n - 1 + k)) for k in range(-o, size - o)), F.lit(0))
+    fits = lambda o, size: (F.col("back") >= o) & (F.col("on") >= size - 1 - o) & ((words(o, size) >= long_words) if size < n else F.lit(True))
+    return F.array_compact(F.array(*(F.when(fits(o, size), F.struct(F.lit(o).alias("o"), F.lit(size).alias("size"))) for o, size in _windows(n, long_words))))
 
 
-def _anchors(lines: Column, n: int, long_words: int | None) -> Column:
-    """Of lines (hash, words) those that are the minimum of some window."""
-    around = lambda i: F.array(*(F.get(lines, i + k) for k in range(1 - n, n)))
-    return F.filter(F.transform(lines, lambda x, i: _anchor(around(i), i, n, long_words)), lambda a: F.size(a["windows"]) > 0)
+def anchors(docs: DataFrame, n: int, long_words: int | None) -> DataFrame:
+    """Of docs (k, h, lines: their hashes and words) each line p that is the minimum f of some window, the hashes near it, and those windows."""
+    around = lambda lines, i, part: F.array(*(F.get(lines, i + k)[part] for k in range(1 - n, n)))
+    words = lambda lines, i: around(lines, i, "words") if long_words else F.lit(None).cast("array<int>")
+    each = let(F.col("lines"), lambda lines: F.transform(lines, lambda _, i: F.struct(i.alias("p"), around(lines, i, "hash").alias("near"), words(lines, i).alias("words"))))
+    rows = docs.select("k", "h", F.inline(each)).withColumn("f", F.get("near", F.lit(n - 1)))
+    return rows.withColumns({"back": _reach(n, -1), "on": _reach(n, 1)}).select("k", "h", "p", "f", "near", _chosen(n, long_words).alias("windows")).filter(F.size("windows") > 0)
 
 
 def _alike(n: int, step: int) -> Column:
@@ -90,11 +87,10 @@ def _alike(n: int, step: int) -> Column:
 
 def repeated_runs(docs: DataFrame, n: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """Of docs (k, h, text; h tells apart texts of one k): k, h and runs, each the place among lines that count at which a run begins that has occurred before, and its lines."""
-    hashed = lambda raw: F.transform(F.filter(F.transform(raw, _trimmed), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("hash"), (_words(x) if long_words else F.lit(0)).alias("words")))
-    found = let(F.split("text", "\n", -1), lambda raw: let(hashed(raw), lambda x: _anchors(x, n, long_words)))
-    anchors = docs.filter("text IS NOT NULL").select("k", "h", F.inline(found))
-    prints = anchors.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1")
-    met = join_spread(anchors, prints, ["f"], ["k", "h", "p"]).select("k", "h", "p", "near", F.inline("windows"))
+    hashed = F.transform(F.filter(F.transform(F.split("text", "\n", -1), _trimmed), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("hash"), (_words(x) if long_words else F.lit(0)).alias("words")))
+    found = anchors(docs.filter("text IS NOT NULL").select("k", "h", hashed.alias("lines")), n, long_words)
+    prints = found.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1")
+    met = join_spread(found, prints, ["f"], ["k", "h", "p"]).select("k", "h", "p", "near", F.inline("windows"))
     met = met.withColumn("lines", F.slice("near", F.lit(n) - F.col("o"), F.col("size")))
     place = F.struct("k", "h", "p", "near")
     firsts = met.groupBy("lines").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")

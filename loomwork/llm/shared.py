@@ -56,10 +56,13 @@ def join_spread(rows: DataFrame, counted: DataFrame, on: list[str], by: list[str
 
     A key with more than an even task's share of the rows is dealt by a hash of `by` to as many tasks as it has such shares. There are no more of
     these keys than tasks, so their list is broadcast, and counted's rows of them are repeated no more than twice as often as there are tasks.
+    counted is worked out once and kept.
     """
-    share = counted.agg((F.sum(n) / F.lit(partitions(rows.sparkSession))).alias("share")).scalar()
-    salts = F.ceil(F.col(n) / share).cast("int")
-    hot = counted.filter(F.col(n) > share).select(*on, salts.alias("_salts"))
+    counted = kept(counted)
+    share = max(1, (counted.agg(F.sum(n).alias("n")).first()["n"] or 0) // partitions(rows.sparkSession))
+    hot = counted.filter(F.col(n) > share).select(*on, F.ceil(F.col(n) / share).cast("long").alias("_salts"))
+    if hot.isEmpty():
+        return rows.join(counted.drop(n), on)
     left = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*by), "_salts"), F.lit(0).cast("long"))).drop("_salts")
-    right = counted.withColumn("_salt", F.explode(F.when(F.col(n) > share, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0))).cast("array<long>"))).drop(n)
+    right = counted.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))).drop(n, "_salts")
     return left.join(right, [*on, "_salt"]).drop("_salt")

@@ -2,7 +2,6 @@ import random
 import time
 
 from loomwork.llm import lines
-from pyspark.sql import functions as F
 
 from .helpers import ODD, docs
 
@@ -60,16 +59,19 @@ def test_anchors_are_the_first_minima_of_windows(spark):
     rnd = random.Random(11)
     texts = [(i, "\n".join(rnd.choice("abcdef") for _ in range(rnd.randint(0, 12)))) for i in range(40)]
     for n in (1, 2, 3, 5):
-        table = docs(spark, texts).selectExpr("doc_id", "text", "transform(split(text, '\n'), x -> xxhash64(x)) AS hashes")
-        table = table.withColumn("a", lines._anchors(F.transform("hashes", lambda x: F.struct(x.alias("hash"), F.lit(0).alias("words"))), n, None))
+        table = docs(spark, texts).selectExpr("doc_id AS k", "0L AS h", "transform(split(text, '\n'), x -> struct(xxhash64(x) AS hash, 0 AS words)) AS lines")
+        found = {}
+        for a in lines.anchors(table, n, None).collect():
+            found.setdefault(a.k, []).append(a)
         for r in table.collect():
-            want = {}
-            for i in range(len(r.hashes) - n + 1):
-                window = r.hashes[i : i + n]
+            hashes, want = [x.hash for x in r.lines], {}
+            for i in range(len(hashes) - n + 1):
+                window = hashes[i : i + n]
                 p = i + window.index(min(window))
                 want.setdefault(p, set()).add((p - i, n))
-            assert {a.p: {(w.o, w.size) for w in a.windows} for a in r.a} == want
-            assert all(a.f == r.hashes[a.p] and [x for x in a.near if x is not None] == r.hashes[max(0, a.p - n + 1) : a.p + n] for a in r.a)
+            got = found.get(r.k, [])
+            assert {a.p: {(w.o, w.size) for w in a.windows} for a in got} == want
+            assert all(a.f == hashes[a.p] and [x for x in a.near if x is not None] == hashes[max(0, a.p - n + 1) : a.p + n] for a in got)
 
 
 def test_frequent_lines_and_runs(dealt):
