@@ -7,6 +7,9 @@ by how much nearer the best is. Two vectors meet if any of their buckets agree,
 at exactly the threshold meet with probability TARGET (nearer pairs meet oftener). Every pair that meets is verified
 by its cosine in double precision, so none below the threshold is ever linked.
 
+Buckets of one table whose codes begin alike are one home, as many rotations being the beginning as leave about HOME_ROWS vectors
+or fewer in it. A vector is sent to each of its homes once, with its codes up to that table, however many buckets it has there.
+
 Equal vectors are one class, compared once. A pair that meets several times counts where it meets first. What comes
 out of a bucket are counts and a label for each member, not pairs.
 
@@ -27,7 +30,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import frugal, objects
@@ -43,6 +46,8 @@ TARGET = 0.9995
 SEED = 20
 #: Rows that a task takes at a time, about.
 GROUP_ROWS = 20_000
+#: Vectors of one home, about; a home of four times as many is taken bucket by bucket.
+HOME_ROWS = 1 << 17
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -65,6 +70,7 @@ class CrossPolytope:
         top = min(TOP, self.width)
         self.choices = np.array(list(itertools.product(range(top), repeat=rotations)))
         self.top = top
+        self.kind = "<i4" if (2 * self.width) ** rotations < 1 << 31 else "<i8"
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         """For each unit vector and table the probed buckets, nearest first: an array of rows x tables x probes."""
@@ -144,46 +150,89 @@ def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _verify(kind: str, tables: int, threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """For each bucket (or pair of its blocks) of a group: of each member that has links, their number and a label."""
+class _Found:
+    """Links found among rows of one task: of each row their number, and a label by bucket."""
+
+    def __init__(self, df: pd.DataFrame, kind: str, code_kind: str, probes: int, threshold: float):
+        self.node, self.size, self.threshold = df["node"].to_numpy(dtype=object), df["n_copies"].to_numpy(), threshold
+        self.x, self.core = _vectors(df["vec"], kind), pd.factorize(df["core"])[0]  # -1 for none
+        width = max(map(len, df["codes"]), default=0)  # rows of earlier tables have fewer codes
+        self.codes = np.frombuffer(b"".join(c.ljust(width, b"\xff") for c in df["codes"]), code_kind).reshape(len(df), -1, probes)
+        self.out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def compare(self, left: np.ndarray, right: np.ndarray, table: int, code: int) -> None:
+        """Pairs of rows that meet here first; left and right are the same rows, or none is in both."""
+        same = left is right
+        a, b = np.nonzero(self.x[left] @ self.x[right].T >= self.threshold)
+        if same:
+            a, b = a[a < b], b[a < b]
+        a, b = left[a], right[b]
+        other = (self.core[a] != self.core[b]) | (self.core[a] < 0)  # links within a core are counted without being looked at
+        a, b = a[other], b[other]
+        if len(a):
+            first = np.concatenate([_first_meeting(self.codes[a[k : k + 50_000]], self.codes[b[k : k + 50_000]], table, code) for k in range(0, len(a), 50_000)])
+            a, b = a[first], b[first]
+        if not len(a):
+            return
+        rows, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        count = np.zeros(len(rows), np.int64)
+        np.add.at(count, at, np.concatenate([self.size[b], self.size[a]]))
+        label = _labels(len(rows), at[: len(a)], at[len(a) :])
+        self.out.append((self.node[rows], count, self.node[rows[label]]))
+
+    def frame(self) -> pd.DataFrame:
+        if not self.out:
+            return pd.DataFrame({"node": objects([]), "n": np.zeros(0, np.int64), "label": objects([])})
+        nodes, n, labels = (np.concatenate(x) for x in zip(*self.out))
+        return pd.DataFrame({"node": objects(nodes), "n": n, "label": objects(labels)})
+
+
+def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal keys begin and end."""
+    n = len(keys[0])
+    if not n:
+        return []
+    new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+    at = np.flatnonzero(new)
+    return list(zip(at.tolist(), [*at[1:].tolist(), n]))
+
+
+def _verify_homes(kind: str, code_kind: str, probes: int, threshold: float, space: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """For all buckets of some homes, which are whole here: of each member that has links, their number and a label. Buckets above BLOCK are left to _verify_blocks."""
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["home", "node"], kind="stable", ignore_index=True)
+        found, home = _Found(df, kind, code_kind, probes, threshold), df["home"].to_numpy()
+        for lo, hi in _runs(home):
+            table, lead = divmod(int(home[lo]), space)
+            code = found.codes[lo:hi, table]
+            row, probe = np.nonzero(code % space == lead)
+            value = code[row, probe]
+            order = np.argsort(value, kind="stable")
+            row, value = row[order] + lo, value[order]
+            for i, j in _runs(value):
+                if 1 < j - i <= BLOCK:
+                    members = row[i:j]
+                    found.compare(members, members, table, int(value[i]))
+        return found.frame()
+
+    return run
+
+
+def _verify_blocks(kind: str, code_kind: str, probes: int, threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The same for buckets, or pairs of their blocks, that are dealt out on their own."""
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["t", "code", "i", "j", "node"], kind="stable", ignore_index=True)
-        x = _vectors(df["vec"], kind)
-        codes = np.frombuffer(b"".join(df["codes"]), np.int64).reshape(len(df), tables, -1)
-        keys = df[["t", "code", "i", "j"]].to_numpy(dtype=object)
-        cut = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
-        core = pd.factorize(df["core"])[0]  # -1 for none
-        node, size, block = df["node"].to_numpy(dtype=object), df["n_copies"].to_numpy(), df["block"].to_numpy(dtype=object)
-        out = []
-        for lo, hi in zip(cut, [*cut[1:], len(df)]):
-            if hi - lo < 2:
-                continue
-            t, code, bi, bj = keys[lo]
+        found = _Found(df, kind, code_kind, probes, threshold)
+        t, code, i, j, block = (df[c].to_numpy() for c in ("t", "code", "i", "j", "block"))
+        for lo, hi in _runs(t, code, i, j):
             rows = np.arange(lo, hi)
-            left, right = (rows, rows) if bi == bj else (rows[block[lo:hi] == bi], rows[block[lo:hi] == bj])
-            a, b = np.nonzero(x[left] @ x[right].T >= threshold)
-            if bi == bj:
-                a, b = a[a < b], b[a < b]
-            a, b = left[a], right[b]
-            other = (core[a] != core[b]) | (core[a] < 0)  # links within a core are counted without being looked at
-            a, b = a[other], b[other]
-            if not len(a):
-                continue
-            first = np.concatenate([_first_meeting(codes[a[k : k + 50_000]], codes[b[k : k + 50_000]], t, code) for k in range(0, len(a), 50_000)])
-            a, b = a[first], b[first]
-            if not len(a):
-                continue
-            count = np.zeros(hi - lo, np.int64)
-            np.add.at(count, a - lo, size[b])
-            np.add.at(count, b - lo, size[a])
-            label = _labels(hi - lo, a - lo, b - lo)
-            some = np.flatnonzero(count)
-            out.append((node[lo + some], count[some], node[lo + label[some]]))
-        if not out:
-            return pd.DataFrame({"node": objects([]), "n": np.zeros(0, np.int64), "label": objects([])})
-        nodes, n, labels = (np.concatenate(x) for x in zip(*out))
-        return pd.DataFrame({"node": objects(nodes), "n": n, "label": objects(labels)})
+            if i[lo] == j[lo]:
+                found.compare(rows, rows, int(t[lo]), int(code[lo]))
+            else:
+                found.compare(rows[block[lo:hi] == i[lo]], rows[block[lo:hi] == j[lo]], int(t[lo]), int(code[lo]))
+        return found.frame()
 
     return run
 
@@ -194,20 +243,20 @@ def _sent(family: CrossPolytope, kind: str):
             if len(df):
                 x = np.stack(df["v"].to_numpy()).astype(kind)
                 codes = family.codes(unit(x.astype(np.float64)))
-                yield pd.DataFrame({"node": df["node"].astype(object), "vec": [row.tobytes() for row in x], "n_copies": df["n_copies"], "codes": [c.tobytes() for c in codes], "buckets": list(codes.reshape(len(df), -1))})
+                yield pd.DataFrame({"node": df["node"].astype(object), "vec": [row.tobytes() for row in x], "n_copies": df["n_copies"], "codes": [c.tobytes() for c in codes.astype(family.kind)], "buckets": list(codes.reshape(len(df), -1))})
 
     return run
 
 
-def _cores(rows: DataFrame, big: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """node and core of vectors within half the threshold's angle of a pivot, the least node of a big bucket; two with one core link for certain. Of several pivots the least counts."""
+def _cores(rows: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """node and core of vectors within half the threshold's angle of a pivot, the least node of a big bucket (rows are those of big buckets); two with one core link for certain. Of several pivots the least counts."""
     least = float(np.sqrt((1 + threshold) / 2)) + 1e-9
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series((_vectors(a, kind) * _vectors(b, kind)).sum(axis=1) >= least)
 
-    inside = rows.select("t", "code", "node", "vec").join(big.select("t", "code"), ["t", "code"])
+    inside = rows.select("t", "code", "node", "vec")
     pivots = inside.groupBy("t", "code").agg(F.min(F.struct("node", "vec")).alias("p")).select("t", "code", F.col("p.node").alias("core"), F.col("p.vec").alias("pivot"))
     return inside.join(pivots, ["t", "code"]).filter(near("vec", "pivot")).groupBy("node").agg(F.min("core").alias("core"))
 
@@ -226,32 +275,51 @@ def _dealt(rows: DataFrame, met: DataFrame) -> DataFrame:
 
 def _class_links(classes: DataFrame, dim: int, kind: str, threshold: float, target: float) -> DataFrame:
     """node, n and label for classes of vectors of one length."""
-    family = plan(dim, classes.count(), threshold, target)
-    probes = min(family.probes, len(family.choices))
+    n = classes.count()
+    family = plan(dim, n, threshold, target)
+    probes, codes = min(family.probes, len(family.choices)), 4 if family.kind == "<i4" else 8
+    lead = next(k for k in range(family.rotations + 1) if k == family.rotations or n / (2 * family.width) ** k <= HOME_ROWS / 2)
+    space = (2 * family.width) ** lead
     sent = kept(classes.mapInPandas(frugal(_sent(family, kind)), "node string, vec binary, n_copies long, codes binary, buckets array<long>"))
     table = F.floor(F.col("at") / probes).cast("int").alias("t")
     sizes = sent.select(F.posexplode("buckets").alias("at", "code")).groupBy(table, "code").agg(F.count("*").alias("n"))
-    met = kept(sizes.filter("n > 1"))
-    total = met.agg(F.coalesce(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK)), F.lit(0)).alias("n")).first()["n"]
-    spread = lambda df: df.select("node", "vec", "n_copies", "codes", "core", F.posexplode("buckets").alias("at", "code")).withColumn("t", table).drop("at")
-    big, links = met.filter(F.col("n") > BLOCK), None
-    rows = spread(sent.withColumn("core", F.lit(None).cast("string")))
-    if not big.isEmpty():
-        cores = kept(_cores(rows, big, kind, threshold))
-        rows = spread(sent.join(cores, "node", "left"))
+    big, links = kept(sizes.filter(F.col("n") > BLOCK)), None  # one in BLOCK of the buckets' rows at most
+    homes = F.array_distinct(F.transform("buckets", lambda c, at: F.floor(at / probes) * space + F.pmod(c, F.lit(space))))
+    homed = kept(sent.select(F.explode(homes).alias("home")).groupBy("home").agg(F.count("*").alias("n")))
+    wide = homed.filter(F.col("n") > 4 * HOME_ROWS).select("home")
+    rows = sent.withColumn("core", F.lit(None).cast("string"))
+    some_big = not big.isEmpty()
+    if some_big:
+        cores = kept(_cores(_spread(sent, table).join(big.select("t", "code"), ["t", "code"]), kind, threshold))
+        rows = sent.join(cores, "node", "left")
         members = cores.join(sent.select("node", "n_copies"), "node")
         whole = members.groupBy("core").agg(F.sum("n_copies").alias("s"))
         links = members.join(whole, "core").select("node", (F.col("s") - F.col("n_copies")).alias("n"), F.col("core").alias("label"))
-    one = F.lit("#")
-    columns = ["t", "code", "i", "j", "block", "node", "core", "vec", "n_copies", "codes"]
-    dealt = rows.join(met.filter(F.col("n") <= BLOCK).select("t", "code"), ["t", "code"]).withColumns({"i": one, "j": one, "block": one}).select(*columns)
-    if links is not None:
-        dealt = dealt.unionByName(_dealt(rows, big).select(*columns))
-    grouped = dealt.withColumn("g", F.expr(f"pmod(xxhash64(t, code, i, j), {max(1, total // GROUP_ROWS)})"))
-    found = grouped.groupBy("g").applyInPandas(_verify(kind, family.tables, threshold), "node string, n long, label string")
+    sums = homed.agg(F.count("*").alias("homes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    groups = max(1, sums["rows"] // GROUP_ROWS)
+    homely = rows.select("node", "vec", "n_copies", "codes", "core", F.explode(homes).alias("home")).withColumn("codes", F.expr(f"substring(codes, 1, cast((home div {space} + 1) * {probes * codes} as int))"))
+    some_wide = not wide.isEmpty()
+    if some_wide:
+        homely = homely.join(wide, "home", "left_anti")
+    group = F.col("home") if sums["homes"] <= 4 * groups else F.pmod(F.xxhash64("home"), F.lit(groups))
+    schema = "node string, n long, label string"
+    found = homely.groupBy(group.alias("g")).applyInPandas(_verify_homes(kind, family.kind, probes, threshold, space), schema)
+    if some_big or some_wide:
+        columns = ["t", "code", "i", "j", "block", "node", "core", "vec", "n_copies", "codes"]
+        spread = _spread(rows, table).withColumn("codes", F.expr(f"substring(codes, 1, (t + 1) * {probes * codes})"))
+        own = spread.withColumn("home", F.col("t") * space + F.pmod("code", F.lit(space))).join(wide, "home", "left_semi").join(big.select("t", "code"), ["t", "code"], "left_anti")
+        dealt = own.withColumns(dict.fromkeys(("i", "j", "block"), F.lit("#"))).select(*columns).unionByName(_dealt(spread, big).select(*columns))
+        total = big.agg(F.coalesce(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK)), F.lit(0)).alias("n")).first()["n"] + sums["rows"] * some_wide
+        grouped = dealt.groupBy(F.expr(f"pmod(xxhash64(t, code, i, j), {max(1, total // GROUP_ROWS)})").alias("g"))
+        found = found.unionByName(grouped.applyInPandas(_verify_blocks(kind, family.kind, probes, threshold), schema))
     return found if links is None else found.unionByName(links)
 
 
+def _spread(rows: DataFrame, table: Column) -> DataFrame:
+    """A row for each bucket of each vector."""
+    return rows.select(*(c for c in rows.columns if c != "buckets"), F.posexplode("buckets").alias("at", "code")).withColumn("t", table).drop("at")
+
+
 def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
     """key, n_links (other vectors linked directly), component_id (the smallest key reachable by links, its own included) and kept (key = component_id), one row per row."""
     spark = rows.sparkSession
