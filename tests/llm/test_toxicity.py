@@ -69,3 +69,44 @@ def test_odd_rows(spark):
     none = toxicity.score(table, toxicity.learn(table, labels.limit(0))).collect()
     assert {r.score for r in none} == {0.0}
     assert toxicity.score(docs(spark, []), toxicity.learn(table, labels.limit(0))).count() == 0
+
+
+def test_scores_against_a_plain_forward_pass():
+    """The same network, one window and one number at a time."""
+    rnd, h = random.Random(6), toxicity.HIDDEN
+    net = toxicity.train([made(rnd, k % 3 == 0).encode() for k in range(60)], np.arange(60) % 3 == 0, 0.3, epochs=2)
+    texts = ["", "one", "It's ÜBER-nice, idiot!", made(rnd, True, 90), made(rnd, False, 33)]
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    one = lambda x: 1 / (1 + np.exp(-x))
+
+    def words(text):
+        low = "".join(c if ord(c) > 127 else c.lower() if c.isalnum() else " " for c in text).split()
+        return [w.encode() for w in low]
+
+    def embedded(word):
+        number = int(toxicity.span_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0] % np.uint64(toxicity.WORDS))
+        around = b"\0" + word + b"\0"
+        grams = [((around[k] << 16 | around[k + 1] << 8 | around[k + 2]) * 0x9E3779B1 % (1 << 32)) >> 20 for k in range(len(word))]
+        return np.concatenate([p["word"][number], sum(p["gram"][g] for g in grams) / len(grams)])
+
+    def passed(side, xs):
+        now, out = np.zeros(h), []
+        for x in xs:
+            a, b = x @ p[f"in_{side}"] + p[f"bias_{side}"], now @ p[f"rec_{side}"]
+            z, r = one(a[:h] + b[:h]), one(a[h : 2 * h] + b[h : 2 * h])
+            now = z * now + (1 - z) * np.tanh(a[2 * h :] + r * b[2 * h :])
+            out.append(now)
+        return out
+
+    def logit(xs):
+        states = [np.concatenate(s) for s in zip(passed("f", xs), passed("b", xs[::-1])[::-1])]
+        worth = np.array([np.tanh(s @ p["att"] + p["att_b"]) @ p["att_v"] for s in states])
+        share = np.exp(worth - worth.max())
+        return (share / share.sum()) @ np.array(states) @ p["out"] + p["out_b"][0]
+
+    (s,) = text_slices(pa.array(texts), 1 << 24)
+    for text, got in zip(texts, net.scores(s)):
+        xs = [embedded(w) for w in words(text)]
+        starts = range(0, max(1, len(xs) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)
+        want = one(net.scale * max(logit(xs[k : k + toxicity.WINDOW]) for k in starts) + net.shift) if xs else 0.0
+        assert abs(got - want) < 1e-4
