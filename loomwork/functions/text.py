@@ -45,14 +45,10 @@ def _map(pairs: dict[str, str]) -> Column:
 
 
 def _looked_up(tag: Column, known: dict[str, str]) -> Column:
-    """A tag's parts as known in lower case; null if one isn't."""
-    parts = F.transform(F.split(tag, "[,+]"), lambda p: F.try_element_at(_map(known), F.lower(F.trim(p))))
-    return F.when(F.forall(parts, lambda p: p.isNotNull()), parts)
-
-
-def _first_of(tags_: Column, known: dict[str, str]) -> Column:
-    """The first tag whose parts are all known, in their known form; null if there's none."""
-    return F.get(F.filter(F.transform(tags_, lambda x: _looked_up(x, known)), lambda x: x.isNotNull()), F.lit(0))
+    """The parts of a tag, between commas, as known in lower case; an empty array unless all are known."""
+    parts = F.filter(F.transform(F.split(tag, ","), lambda p: F.try_element_at(_map(known), F.lower(F.trim(p)))), lambda p: p.isNotNull())
+    given = F.filter(F.transform(F.split(tag, ","), lambda p: F.trim(p)), lambda p: p != "")
+    return F.when(F.size(parts) == F.size(given), parts).otherwise(F.array().cast("array<string>"))
 
 
 def alnum(c: Column) -> Column:
@@ -66,32 +62,40 @@ def tags(name: Column) -> Column:
 
 
 def parsed_name(name: Column) -> Column:
-    """title, regions, languages, revision, version, disc, prerelease and unlicensed of a release's name, by its tags.
+    """title, regions, languages, revision, disc, prerelease and unlicensed of a release's name, by its tags; case doesn't matter.
 
-    A tag is one of regions, or of languages, if all its parts are, whatever their case; Rev takes a number, or a letter as its place in the alphabet;
-    v1.2 is 12 (tenths, halves to even). Without a language tag the first region's language holds, or EN. The title is the name without tags.
+    A tag whose parts, between commas, are all regions adds these, and so do languages. Rev takes a number, or a letter as its place in the
+    alphabet, or anything else as 1; v1.2 is revision 12 (tenths, halves to even), and one that is no number is 0. Of several revisions or discs the last
+    holds; a disc with more in its tag (of 2) is none. Without a language tag there are no languages (see default_language). The title is the
+    name without tags, trimmed, each run of blanks one.
     """
-    t = tags(name)
-    regions = F.coalesce(_first_of(t, {r.lower(): r for r in REGION_LANGUAGE}), F.array().cast("array<string>"))
-    default = F.coalesce(F.try_element_at(_map(REGION_LANGUAGE), F.get(regions, F.lit(0))), F.lit("EN"))
-    languages = F.coalesce(_first_of(t, {x.lower(): x.upper() for x in LANGUAGES}), F.array(default))
-    first = lambda pattern: F.get(F.filter(F.transform(t, lambda x: F.regexp_extract(x, pattern, 1)), lambda x: x != ""), F.lit(0))
-    rev = first(r"^Rev ([0-9]+|[A-Za-z])$")
-    revision = F.coalesce(F.when(rev.rlike("^[0-9]+$"), rev.try_cast("int")), F.ascii(F.upper(rev)) - 64, F.lit(0))
-    version = F.coalesce(F.bround(first(r"^v([0-9]+(?:\.[0-9]+)?)$").try_cast("double") * 10).cast("int"), F.lit(0))
-    starts = lambda words: F.exists(t, lambda x: x.rlike(f"^(?:{words})"))
+    t = F.filter(F.transform(tags(name), lambda x: F.trim(x)), lambda x: x != "")
+    all_of = lambda known: F.flatten(F.transform(t, lambda x: _looked_up(x, known)))
+    last = lambda pattern, value: F.coalesce(F.try_element_at(F.filter(F.transform(F.filter(t, lambda x: x.rlike(pattern)), value), lambda x: x.isNotNull()), F.lit(-1)), F.lit(0))
+    rev = r"(?i)^(?:Rev\s+([0-9A-Za-z]+)|v([0-9][0-9.]*))$"
+
+    def revision(x: Column) -> Column:
+        r, v = F.regexp_extract(x, rev, 1), F.regexp_extract(x, rev, 2)
+        lettered = F.when(F.length(r) == 1, F.ascii(F.upper(r)) - 64).otherwise(1)
+        return F.when(r != "", F.coalesce(r.try_cast("int"), lettered)).otherwise(F.coalesce(F.bround(v.try_cast("double") * 10).cast("int"), F.lit(0)))
+
+    some = lambda pattern: F.exists(t, lambda x: x.rlike(pattern))
     return F.struct(
-        F.trim(F.regexp_replace(F.regexp_replace(name, r"\s*\([^()]*\)", ""), r"\s+", " ")).alias("title"),
-        regions.alias("regions"),
-        languages.alias("languages"),
-        revision.cast("int").alias("revision"),
-        version.alias("version"),
-        F.coalesce(first(r"^Dis[ck] ([0-9]+)").try_cast("int"), F.lit(0)).alias("disc"),
-        starts("Beta|Proto|Demo|Sample|Preview|Alpha").alias("prerelease"),
-        starts("Unl|Pirate|Hack|Aftermarket").alias("unlicensed"),
+        F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"\([^()]*\)", ""), r"^\s+|\s+$", ""), r"\s{2,}", " ").alias("title"),
+        all_of({r.lower(): r for r in REGION_LANGUAGE}).alias("regions"),
+        all_of({x.lower(): x.upper() for x in LANGUAGES}).alias("languages"),
+        last(rev, revision).cast("int").alias("revision"),
+        last(r"(?i)^Disc\s+\d+$", lambda x: F.regexp_extract(x, r"(\d+)$", 1).try_cast("int")).cast("int").alias("disc"),
+        some("(?i)^(?:beta|proto|demo|sample|alpha|preview)").alias("prerelease"),
+        some("(?i)^unl|aftermarket|pirate").alias("unlicensed"),
     )
 
 
+def default_language(region: Column) -> Column:
+    """The language of a region's releases, EN for one that isn't known."""
+    return F.coalesce(F.try_element_at(_map({k.lower(): v for k, v in REGION_LANGUAGE.items()}), F.lower(region)), F.lit("EN"))
+
+
 def tagged_name(name: Column) -> Column:
     """A stricter reading of the same tags: title before the first parenthesis, the first region tag only, languages if a tag has two or more, disc of how many, the version as written, and flags."""
     t = tags(name)
@@ -194,10 +198,24 @@ def arrhenius(celsius: Column, reference: float = 25.0, energy_ev: float = 0.7)
     return F.exp(F.lit(energy_ev / boltzmann) * (F.lit(1 / (reference + 273.15)) - 1 / (celsius + 273.15)))
 
 
+#: Endings of files that a build for debugging leaves, and what folders or files of one have in their names.
+DEBUG_ENDINGS = (".sym", ".map", ".pdb", ".cvd", ".ndb", ".dbg", ".elf.map")
+DEBUG_NAMES = ("debug", "devkit", "dev-kit", "internal", "proto", "prototype", "qa", "_build", "sandbox")
+
+
 def residue(path: Column) -> Column:
-    """Kinds of development residue in a path: a source or debug file by its extension, a development folder; none, one or both."""
-    low = F.lower(F.translate(path, "\\", "/"))
-    return F.array_compact(F.array(F.when(low.rlike(r"\.(pdb|map|obj|bak|tmp|log|sym|elf|lst|psd|xcf|c|cpp|h|asm)$"), "file"), F.when(low.rlike(r"(^|/)(debug|src|source|test|tests|dev|build|unused|old)/"), "folder")))
+    """Kinds of development residue in a path, without its version (;1) and whatever its case: a file by its ending, a folder or file by what its name has in it; none, one or both."""
+    low = F.trim(F.lower(F.translate(F.substring_index(path, ";", 1), "\\", "/")))
+    ends = [F.endswith(low, F.lit(e)) for e in DEBUG_ENDINGS]
+    names = low.rlike("|".join(DEBUG_NAMES))
+    return F.array_compact(F.array(F.when(_any(ends), "file"), F.when(names, "name")))
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
 
 
 def rebuild_path(layout: str, system: Column, game: Column, name: Column) -> Column:

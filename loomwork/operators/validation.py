@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .statistics import byte_vote
+
 
 def _finding(rows: DataFrame, target: str, check: str, severity: int, detail: Column) -> DataFrame:
     return rows.select(F.col(target).alias("target"), F.lit(check).alias("check"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))
@@ -125,29 +129,71 @@ def attestation_summary(log: DataFrame, target: str, agrees: str) -> DataFrame:
     return out.withColumn("corroborated", (F.col("n") >= 2) & (F.col("agree") == F.col("n")))
 
 
-def provenance_merge(reads: DataFrame, holes: DataFrame | None = None) -> DataFrame:
-    """The merged content of each sector (disc, lba) from sources (source, content, valid: true, false, or null where it can't be checked), with method and source.
+_SECTOR = ["disc", "lba"]
+
+
+def _voted(reads: DataFrame, check: Callable[[Column], Column]) -> DataFrame:
+    """disc, lba, voted (byte by byte, the first source's among equals) and vote_valid."""
+    return byte_vote(reads, _SECTOR, "content", "source").withColumnRenamed("content", "voted").withColumn("vote_valid", check(F.col("voted")))
 
-    Known holes of a source (disc, lba, source) and null contents are left out. Then: single if one source is left; agreed if all
-    contents are equal; validated if exactly one content is valid; otherwise voted: the content of most sources, the first source's among equals.
-    Equal contents count as one candidate. Sectors without any content are none.
+
+def provenance_merge(reads: DataFrame, check: Callable[[Column], Column], holes: DataFrame | None = None, confirmed: DataFrame | None = None) -> DataFrame:
+    """The merged content of each sector (disc, lba) from sources (source, content), with method and source. check gives of a content true, false, or null where it can't be checked.
+
+    Where a span of a source is confirmed from outside (disc, first, last, source) that source's content holds: confirmed; the first source's, if
+    several are. Elsewhere known holes of a source (disc, lba, source) and null contents are left out. Then: single if one source is left; agreed if all contents are equal;
+    verified by the first source whose content is valid; otherwise the sources vote byte by byte: vote_verified, vote_best_effort
+    if the result can't be checked, unrecovered (with the result) if it is invalid. Sectors without any content are unrecovered, without content.
+    Only sectors whose sources differ and of which none is valid are taken apart into bytes.
     """
-    sectors = reads.select("disc", "lba").distinct()
+    sectors = reads.select(*_SECTOR).distinct()
     good = reads.filter("content IS NOT NULL")
     if holes is not None:
-        good = good.join(holes.select("disc", "lba", "source").distinct(), ["disc", "lba", "source"], "left_anti")
-    each = good.groupBy("disc", "lba", "content").agg(F.count("*").alias("n"), F.min("source").alias("s"), F.bool_or("valid").alias("v"))
-    best = each.groupBy("disc", "lba").agg(
-        F.sum("n").alias("sources"),
-        F.count("*").alias("kinds"),
-        F.count_if("v").alias("valids"),
-        F.min(F.struct((-F.col("n")).alias("m"), "s", "content")).alias("voted"),
-        F.min(F.when(F.col("v"), F.struct("s", "content"))).alias("checked"),
-    )
-    method = F.when(F.col("sources").isNull(), "none").when(F.col("sources") == 1, "single").when(F.col("kinds") == 1, "agreed").when(F.col("valids") == 1, "validated").otherwise("voted")
-    out = sectors.join(best, ["disc", "lba"], "left").withColumn("method", method)
-    pick = lambda c: F.when(F.col("method") == "validated", F.col(f"checked.{c}")).otherwise(F.col(f"voted.{c}"))
-    return out.select("disc", "lba", pick("content").alias("content"), "method", pick("s").alias("source"))
+        good = good.join(holes.select(*_SECTOR, "source").distinct(), [*_SECTOR, "source"], "left_anti")
+    valid = F.struct("source", "content")
+    best = good.groupBy(*_SECTOR).agg(F.count("*").alias("n"), F.count_distinct("content").alias("kinds"), F.min(valid).alias("one"), F.min(F.when(check(F.col("content")), valid)).alias("checked"))
+    split = best.filter("kinds > 1 AND checked IS NULL").select(*_SECTOR)
+    votes = _voted(good.join(split, _SECTOR, "left_semi"), check)
+    out = sectors.join(best, _SECTOR, "left").join(votes, _SECTOR, "left")
+    if confirmed is None:
+        out = out.withColumn("sure", F.lit(None).cast(out.schema["one"].dataType))
+    else:
+        spans = confirmed.select(F.col("disc").alias("_d"), F.col("source").alias("_s"), "first", "last")
+        sure = reads.join(spans, F.expr("disc = _d AND source = _s AND lba BETWEEN first AND last")).filter("content IS NOT NULL").groupBy(*_SECTOR).agg(F.min(valid).alias("sure"))
+        out = out.join(sure, _SECTOR, "left")
+    voted = F.when(F.col("vote_valid"), "vote_verified").when(F.col("vote_valid").isNull(), "vote_best_effort").otherwise("unrecovered")
+    method = F.when(F.col("sure").isNotNull(), "confirmed").when(F.col("n").isNull(), "unrecovered").when(F.col("n") == 1, "single").when(F.col("kinds") == 1, "agreed").when(F.col("checked").isNotNull(), "verified").otherwise(voted)
+    pick = lambda c: F.coalesce(F.col(f"sure.{c}"), F.when(F.col("kinds") == 1, F.col(f"one.{c}")), F.col(f"checked.{c}"))
+    return out.select(*_SECTOR, F.coalesce(pick("content"), "voted").alias("content"), method.alias("method"), pick("source").alias("source"))
+
+
+def reconstruct(reads: DataFrame, check: Callable[[Column], Column], repair: Callable[[Column], Column]) -> DataFrame:
+    """The content of each sector (disc, lba) from reads (source, content) by a ladder, with the rung it stands on. check is as for provenance_merge; repair gives a content mended by its own parity, or null.
+
+    agreed: all contents are equal and not invalid; verified_copy: the first valid one; repaired_copy: the first that can be mended; vote_verified and
+    vote_best_effort: what the reads vote for byte by byte is valid, or can't be checked; repaired_vote: it can be mended; unrecovered otherwise, with the
+    vote, or the one content that all give. Null contents are left out; sectors with nothing else aren't there.
+    """
+    good = reads.filter("content IS NOT NULL").withColumn("valid", check(F.col("content"))).withColumn("mended", F.when(~F.coalesce("valid", F.lit(True)), repair(F.col("content"))))
+    first = lambda c, x: F.min(F.when(c, F.struct("source", F.col(x).alias("content"))))
+    best = good.groupBy(*_SECTOR).agg(F.count_distinct("content").alias("kinds"), F.bool_or("valid").alias("any_valid"), F.bool_or(~F.col("valid")).alias("bad"), first(F.lit(True), "content").alias("one"), first(F.col("valid"), "content").alias("checked"), first(F.col("mended").isNotNull(), "mended").alias("mended"))
+    split = best.filter("kinds > 1 AND checked IS NULL AND mended IS NULL").select(*_SECTOR)
+    votes = _voted(good.select(*_SECTOR, "source", "content").join(split, _SECTOR, "left_semi"), check)
+    out = best.join(votes, _SECTOR, "left").withColumn("mended_vote", F.when(~F.col("vote_valid"), repair(F.col("voted"))))
+    same = F.col("kinds") == 1
+    ladder = [
+        (same & ~F.coalesce("bad", F.lit(False)), "agreed", F.col("one.content")),
+        (F.col("checked").isNotNull(), "verified_copy", F.col("checked.content")),
+        (F.col("mended").isNotNull(), "repaired_copy", F.col("mended.content")),
+        (same, "unrecovered", F.col("one.content")),
+        (F.col("vote_valid"), "vote_verified", F.col("voted")),
+        (F.col("vote_valid").isNull(), "vote_best_effort", F.col("voted")),
+        (F.col("mended_vote").isNotNull(), "repaired_vote", F.col("mended_vote")),
+    ]
+    rung, content = F.when(ladder[0][0], ladder[0][1]), F.when(ladder[0][0], ladder[0][2])
+    for c, name, value in ladder[1:]:
+        rung, content = rung.when(c, name), content.when(c, value)
+    return out.select(*_SECTOR, content.otherwise(F.col("voted")).alias("content"), rung.otherwise("unrecovered").alias("rung"))
 
 
 def provenance_runs(merged: DataFrame) -> DataFrame:

@@ -15,12 +15,17 @@ NAMES = """SELECT p_partkey AS k, concat('Part ', p_partkey, ' (', CASE p_partke
 
 @query(
     """SELECT k, concat('Part ', k) AS title, CASE k % 4 WHEN 0 THEN 'USA,Europe' WHEN 1 THEN 'Japan' WHEN 2 THEN 'France' ELSE 'World' END AS regions,
- CASE WHEN k % 3 = 0 THEN 'EN,FR' WHEN k % 3 = 1 THEN 'DE' ELSE CASE k % 4 WHEN 1 THEN 'JA' WHEN 2 THEN 'FR' ELSE 'EN' END END AS languages,
- CASE k % 5 WHEN 0 THEN k % 7 WHEN 1 THEN 2 ELSE 0 END AS revision, CASE WHEN k % 6 = 0 THEN 12 ELSE 0 END AS version, CASE WHEN k % 8 = 0 THEN 2 ELSE 0 END AS disc, k % 9 = 0 AS prerelease, k % 9 = 1 AS unlicensed FROM names""",
-    names=NAMES,
+ CASE k % 3 WHEN 0 THEN 'EN,FR' WHEN 1 THEN 'DE' ELSE '' END AS languages, CASE k % 4 WHEN 1 THEN 'JA' WHEN 2 THEN 'FR' ELSE 'EN' END AS default_language,
+ CASE WHEN k % 6 = 0 THEN 12 ELSE CASE k % 5 WHEN 0 THEN k % 7 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END END AS revision, CASE WHEN k % 8 = 0 THEN 2 ELSE 0 END AS disc,
+ k % 9 IN (0, 2) AS prerelease, k % 9 IN (1, 3, 4) AS unlicensed FROM names""",
+    names="""SELECT p_partkey AS k, concat('  Part  ', p_partkey, '(', CASE p_partkey % 4 WHEN 0 THEN 'usa, Europe' WHEN 1 THEN 'Japan' WHEN 2 THEN 'FRANCE' ELSE 'World' END, ')',
+  CASE p_partkey % 3 WHEN 0 THEN ' (En,Fr)' WHEN 1 THEN ' (de)' ELSE ' ()' END, CASE p_partkey % 5 WHEN 0 THEN concat(' (Rev ', p_partkey % 7, ')') WHEN 1 THEN ' (rev  b)' WHEN 2 THEN ' (Rev AB)' ELSE '' END,
+  CASE p_partkey % 6 WHEN 0 THEN ' (v1.2)' ELSE '' END, CASE p_partkey % 8 WHEN 0 THEN ' (Disc 2)' WHEN 1 THEN ' (Disc 2 of 3)' ELSE '' END,
+  CASE p_partkey % 9 WHEN 0 THEN ' (BETA 1)' WHEN 1 THEN ' (unl)' WHEN 2 THEN ' (Prototype)' WHEN 3 THEN ' (Old Pirate)' WHEN 4 THEN ' (Aftermarket)' WHEN 5 THEN ' (Hack)' ELSE '' END) AS name FROM part""",
 )
 def f1_parsed_name(names: DataFrame) -> DataFrame:
     out = names.select("k", text.parsed_name(F.col("name")).alias("p")).select("k", "p.*")
+    out = out.withColumn("default_language", text.default_language(F.get("regions", F.lit(0))))
     return out.withColumn("regions", F.array_join("regions", ",")).withColumn("languages", F.array_join("languages", ","))
 
 
@@ -68,11 +73,11 @@ def f15_digest_of(vals: DataFrame) -> DataFrame:
 
 
 @query(
-    "SELECT path, kind FROM (SELECT path, 'file' AS kind FROM paths WHERE regexp_matches(lower(path), '[.](pdb|obj)$') UNION ALL SELECT path, 'folder' FROM paths WHERE regexp_matches(lower(path), '(^|/)(debug|src)/'))",
-    paths="SELECT concat(CASE WHEN p_partkey % 3 = 0 THEN 'Debug/' WHEN p_partkey % 3 = 1 THEN 'a/SRC/' ELSE 'a/' END, 'f', p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '.PDB' WHEN p_partkey % 4 = 1 THEN '.obj' ELSE '.dat' END) AS path FROM part",
+    "SELECT k, unnest(CASE WHEN k % 3 < 2 THEN CASE WHEN k % 4 < 2 THEN ['file', 'name'] ELSE ['name'] END WHEN k % 4 < 2 THEN ['file'] ELSE [] END) AS kind FROM paths",
+    paths="SELECT p_partkey AS k, concat(CASE WHEN p_partkey % 3 = 0 THEN 'My_Debug/' WHEN p_partkey % 3 = 1 THEN 'a\\\\QA2\\\\' ELSE 'src/test/' END, 'f', p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '.PDB;1' WHEN p_partkey % 4 = 1 THEN '.elf.map' WHEN p_partkey % 4 = 2 THEN '.log' ELSE '.obj' END) AS path FROM part",
 )
 def p7_residue(paths: DataFrame) -> DataFrame:
-    return paths.select("path", F.explode(text.residue(F.col("path"))).alias("kind"))
+    return paths.select("k", F.explode(text.residue(F.col("path"))).alias("kind"))
 
 
 @query("SELECT k FROM due WHERE NOT done AND (not_before IS NULL OR not_before <= TIMESTAMP '1995-06-01 00:00:00')", due="SELECT o_orderkey AS k, o_orderstatus = 'F' AS done, CASE WHEN o_orderkey % 4 > 0 THEN o_orderdate END AS not_before FROM orders")

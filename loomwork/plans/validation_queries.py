@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import validation
@@ -83,20 +83,40 @@ def v10_attestations(att: DataFrame) -> DataFrame:
     return validation.attestation_summary(att, "g", "ok")
 
 
-READS = "SELECT l_suppkey AS disc, l_partkey AS lba, l_orderkey * 10 + l_linenumber AS source, CASE WHEN l_quantity > 3 THEN l_returnflag END AS content, CASE WHEN l_discount > 0.03 THEN l_tax > 0.05 END AS valid FROM lineitem"
+READS = """SELECT l_suppkey AS disc, l_partkey AS lba, l_orderkey * 10 + l_linenumber AS source, CASE WHEN l_quantity > 3 THEN concat(CASE WHEN l_partkey % 7 = 0 THEN 'FF' WHEN l_returnflag = 'R' THEN '0A' ELSE '0B' END,
+ CASE WHEN l_linenumber % 3 = 0 THEN '11' ELSE '12' END, CASE WHEN l_tax > 0.04 THEN '77' ELSE '78' END, CASE WHEN l_quantity > 40 THEN '0A' WHEN l_quantity > 30 THEN '0B' ELSE '0C' END) END AS content FROM lineitem"""
 KNOWN = "SELECT l_suppkey AS disc, l_partkey AS lba, l_orderkey * 10 + l_linenumber AS source FROM lineitem WHERE l_orderkey % 17 = 0"
-MERGE = """WITH g AS (SELECT r.* FROM reads r WHERE content IS NOT NULL AND NOT EXISTS (SELECT 1 FROM holes h WHERE h.disc = r.disc AND h.lba = r.lba AND h.source = r.source)),
- e AS (SELECT disc, lba, content, count(*) AS n, min(source) AS s, coalesce(bool_or(valid), false) AS v FROM g GROUP BY ALL),
- b AS (SELECT disc, lba, sum(n) AS ns, count(*) AS k, count(*) FILTER (WHERE v) AS vs FROM e GROUP BY ALL),
- o AS (SELECT *, row_number() OVER (PARTITION BY disc, lba ORDER BY n DESC, s, content) AS r FROM e),
- m AS (SELECT s.disc, s.lba, CASE WHEN ns IS NULL THEN 'none' WHEN ns = 1 THEN 'single' WHEN k = 1 THEN 'agreed' WHEN vs = 1 THEN 'validated' ELSE 'voted' END AS method FROM (SELECT DISTINCT disc, lba FROM reads) s LEFT JOIN b ON b.disc = s.disc AND b.lba = s.lba),
- done AS (SELECT m.disc, m.lba, CASE WHEN method = 'validated' THEN x.content ELSE o.content END AS content, method, CASE WHEN method = 'validated' THEN x.s ELSE o.s END AS source
-  FROM m LEFT JOIN o ON o.disc = m.disc AND o.lba = m.lba AND o.r = 1 LEFT JOIN e x ON method = 'validated' AND x.v AND x.disc = m.disc AND x.lba = m.lba)"""
+CONFIRMED = "SELECT l_suppkey AS disc, l_partkey AS first, l_partkey + 1 AS last, l_orderkey * 10 + l_linenumber AS source FROM lineitem WHERE l_orderkey % 40 = 1"
+#: In SQL, of a content c: valid if its first and last bytes are equal, unknown if it begins with FF; mended by setting the last byte if the second is 12.
+VALID = "(CASE WHEN c[1:2] <> 'FF' THEN c[1:2] = c[7:8] END)"
+MENDED = "(CASE WHEN c[1:2] <> 'FF' AND c[3:4] = '12' THEN c[1:6] || c[1:2] END)"
+VOTE = f"""spot AS (SELECT disc, lba, i, content[2 * i - 1:2 * i] AS b, count(*) AS n, min(source) AS s FROM g, range(1, 5) t(i) GROUP BY ALL), win AS (SELECT *, row_number() OVER (PARTITION BY disc, lba, i ORDER BY n DESC, s) AS r FROM spot),
+ vote AS (SELECT disc, lba, c, {VALID} AS vv, {MENDED} AS vm FROM (SELECT disc, lba, string_agg(b, '' ORDER BY i) AS c FROM win WHERE r = 1 GROUP BY disc, lba))"""
+MERGE = f"""WITH g AS (SELECT r.*, content AS c FROM reads r WHERE content IS NOT NULL AND NOT EXISTS (SELECT 1 FROM holes h WHERE h.disc = r.disc AND h.lba = r.lba AND h.source = r.source)), {VOTE},
+ b AS (SELECT disc, lba, count(*) AS n, count(DISTINCT content) AS k, min(source) AS s1, arg_min(content, source) AS c1, min(source) FILTER (WHERE {VALID}) AS s2, arg_min(content, source) FILTER (WHERE {VALID}) AS c2 FROM g GROUP BY ALL),
+ f AS (SELECT r.disc, r.lba, min(r.source) AS s3, arg_min(r.content, r.source) AS c3 FROM reads r JOIN confirmed f ON f.disc = r.disc AND f.source = r.source AND r.lba BETWEEN f.first AND f.last WHERE r.content IS NOT NULL GROUP BY ALL),
+ done AS (SELECT disc, lba, CASE WHEN s3 IS NOT NULL THEN c3 WHEN k = 1 THEN c1 WHEN s2 IS NOT NULL THEN c2 ELSE vote.c END AS content, CASE WHEN s3 IS NOT NULL THEN 'confirmed' WHEN n IS NULL THEN 'unrecovered' WHEN n = 1 THEN 'single' WHEN k = 1 THEN 'agreed'
+  WHEN s2 IS NOT NULL THEN 'verified' WHEN vv THEN 'vote_verified' WHEN vv IS NULL THEN 'vote_best_effort' ELSE 'unrecovered' END AS method, CASE WHEN s3 IS NOT NULL THEN s3 WHEN k = 1 THEN s1 ELSE s2 END AS source
+  FROM (SELECT DISTINCT disc, lba FROM reads) LEFT JOIN b USING (disc, lba) LEFT JOIN vote USING (disc, lba) LEFT JOIN f USING (disc, lba))"""
 
 
-@query(f"{MERGE} SELECT * FROM done", reads=READS, holes=KNOWN)
-def v12_provenance_merge(reads: DataFrame, holes: DataFrame) -> DataFrame:
-    return validation.provenance_merge(reads, holes)
+def _check(c: Column) -> Column:
+    byte = lambda k: F.substring(F.hex(c), 2 * k + 1, 2)
+    return F.when(byte(0) != "FF", byte(0) == byte(3))
+
+
+def _mend(c: Column) -> Column:
+    h = F.hex(c)
+    return F.when((F.substring(h, 1, 2) != "FF") & (F.substring(h, 3, 2) == "12"), F.unhex(F.concat(F.substring(h, 1, 6), F.substring(h, 1, 2))))
+
+
+def _bytes(reads: DataFrame) -> DataFrame:
+    return reads.withColumn("content", F.unhex("content"))
+
+
+@query(f"{MERGE} SELECT * FROM done", reads=READS, holes=KNOWN, confirmed=CONFIRMED)
+def v12_provenance_merge(reads: DataFrame, holes: DataFrame, confirmed: DataFrame) -> DataFrame:
+    return validation.provenance_merge(_bytes(reads), _check, holes, confirmed).withColumn("content", F.hex("content"))
 
 
 @query(
@@ -104,9 +124,21 @@ def v12_provenance_merge(reads: DataFrame, holes: DataFrame) -> DataFrame:
  q AS (SELECT *, sum(n) OVER (PARTITION BY disc ORDER BY lba) AS run FROM r) SELECT disc, method, source, min(lba) AS "first", max(lba) AS "last" FROM q GROUP BY disc, run, method, source""",
     reads=READS,
     holes=KNOWN,
+    confirmed=CONFIRMED,
+)
+def v12_provenance_runs(reads: DataFrame, holes: DataFrame, confirmed: DataFrame) -> DataFrame:
+    return validation.provenance_runs(validation.provenance_merge(_bytes(reads), _check, holes, confirmed))
+
+
+@query(
+    f"""WITH g AS (SELECT *, content AS c FROM reads WHERE content IS NOT NULL), x AS (SELECT *, {VALID} AS v, CASE WHEN NOT {VALID} THEN {MENDED} END AS m FROM g), {VOTE},
+ b AS (SELECT disc, lba, count(DISTINCT content) AS k, coalesce(bool_or(NOT v), false) AS bad, min(content) AS c1, arg_min(content, source) FILTER (WHERE v) AS c2, arg_min(m, source) FILTER (WHERE m IS NOT NULL) AS c3 FROM x GROUP BY ALL)
+ SELECT disc, lba, CASE WHEN k = 1 AND NOT bad THEN 'agreed' WHEN c2 IS NOT NULL THEN 'verified_copy' WHEN c3 IS NOT NULL THEN 'repaired_copy' WHEN k = 1 THEN 'unrecovered' WHEN vv THEN 'vote_verified' WHEN vv IS NULL THEN 'vote_best_effort' WHEN vm IS NOT NULL THEN 'repaired_vote' ELSE 'unrecovered' END AS rung,
+ CASE WHEN k = 1 AND NOT bad THEN c1 WHEN c2 IS NOT NULL THEN c2 WHEN c3 IS NOT NULL THEN c3 WHEN k = 1 THEN c1 WHEN vv THEN c WHEN vv IS NULL THEN c ELSE coalesce(vm, c) END AS content FROM b JOIN vote USING (disc, lba)""",
+    reads=READS,
 )
-def v12_provenance_runs(reads: DataFrame, holes: DataFrame) -> DataFrame:
-    return validation.provenance_runs(validation.provenance_merge(reads, holes))
+def v13_reconstruct(reads: DataFrame) -> DataFrame:
+    return validation.reconstruct(_bytes(reads), _check, _mend).withColumn("content", F.hex("content"))
 
 
 @query(
