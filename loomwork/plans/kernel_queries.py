@@ -14,7 +14,7 @@ TEXTS = "SELECT doc_id AS k, source AS g, text FROM documents"
 
 @query(None, texts=TEXTS)
 def f5_fuzzy_hash(texts: DataFrame) -> DataFrame:
-    return texts.select("k", kernels.byte_function(kernels.fuzzy_hash, "string")(F.col("text").cast("binary")).alias("fuzzy"))
+    return texts.select("k", kernels.fuzzy(F.col("text").cast("binary")).alias("fuzzy"))
 
 
 @query(None, texts=TEXTS)

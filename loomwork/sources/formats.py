@@ -275,13 +275,17 @@ def sections(spark: SparkSession, path: str) -> DataFrame:
 
 
 def checksum_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of binary checksum databases: ord, disc ids id1, id2 and cddb (hexadecimal), and for each track confidence, crc and crc2; little-endian: a byte for the number of tracks, three ids of four bytes, nine bytes a track. A record that is cut off ends its file."""
+    """Records of binary checksum databases: ord, disc ids id1, id2 and cddb (hexadecimal), and for each track confidence, crc and crc2; little-endian: a byte for the number of tracks, three ids of four bytes, nine bytes a track. Fewer than 13 bytes at the end are padding; a record whose tracks are cut off, none or over 99 is an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             for at, b in zip(df["path"], df["content"]):
                 rows, k, n = [], 0, 0
-                while k + 13 <= len(b) and k + 13 + 9 * b[k] <= len(b):
+                while k + 13 <= len(b):
+                    if not 1 <= b[k] <= 99:
+                        raise ValueError(f"{at}: {b[k]} tracks at byte {k}, so it is no checksum record")
+                    if k + 13 + 9 * b[k] > len(b):
+                        raise ValueError(f"{at}: cut off inside a record's tracks")
                     ids = [b[k + i : k + i + 4][::-1].hex() for i in (1, 5, 9)]
                     for t in range(b[k]):
                         r = b[k + 13 + 9 * t : k + 22 + 9 * t]
