@@ -312,7 +312,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     index = kept(files.mapInPandas(frugal(_read(folder, False)), schema))
     known = index.filter("record_type = 'response'").select("page_id", "payload_digest", "payload_bytes")
     asked = index.filter("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest", "payload_bytes").distinct()
-    if not asked.join(known, ["page_id", "payload_digest", "payload_bytes"], "left_anti").isEmpty():
+    if not asked.join(known.hint("merge"), ["page_id", "payload_digest", "payload_bytes"], "left_anti").isEmpty():
         raise ValueError("a revisit refers to no response of its digest and length")
     return files.mapInPandas(frugal(_read(folder, True)), schema + ", payload binary") if payloads else index
 
