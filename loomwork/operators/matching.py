@@ -116,6 +116,30 @@ def best_overlap(items: DataFrame, catalog: DataFrame, key: str, group: str, val
     return best.select(F.col("k").alias(key), F.col("b.g").alias(group), (-F.col("b.s")).alias("shared"))
 
 
+def resolved(items: DataFrame, catalog: DataFrame, key: str, group: str, value: str, hints: DataFrame | None = None) -> DataFrame:
+    """The group that each key belongs to. A key with a hint (key, hint) takes the group that it names, whatever its case, or else the first by name that has it within, or none.
+
+    Others take the group of most shared values (best_overlap), or where none is shared the only group that the catalog has, if it has one. Hints and
+    groups meet by the hint's first three letters, or all of fewer, so that no key is compared with every group.
+    """
+    keys = items.select(F.col(key).alias("k")).distinct()
+    best = best_overlap(items, catalog, key, group, value).select(F.col(key).alias("k"), F.col(group).alias("best"))
+    names = catalog.select(F.col(group).alias("g")).filter("g IS NOT NULL").distinct()
+    sole = names.agg(F.count("*").alias("n"), F.min("g").alias("g")).select(F.when(F.col("n") == 1, F.col("g"))).scalar()
+    out = keys.join(best, "k", "left")
+    if hints is None:
+        return out.select(F.col("k").alias(key), F.coalesce("best", sole).alias(group))
+    asked = hints.select(F.col(key).alias("k"), F.lower("hint").alias("h")).filter("h <> ''")
+    low = names.withColumn("l", F.lower("g"))
+    exact = asked.join(low, F.col("h") == F.col("l")).groupBy("k").agg(F.min("g").alias("exact"))
+    grams = "array_distinct(flatten(transform(sequence(1, greatest(length(l), 1)), i -> array(substring(l, i, 1), substring(l, i, 2), substring(l, i, 3)))))"
+    met = asked.withColumn("gram", F.substring("h", 1, 3)).join(low.withColumn("gram", F.explode(F.expr(grams))), "gram").filter(F.contains("l", "h"))
+    part = met.groupBy("k").agg(F.min("g").alias("part"))
+    told = asked.select("k").distinct().join(exact, "k", "left").join(part, "k", "left").select("k", F.coalesce("exact", "part").alias("named"), F.lit(True).alias("hinted"))
+    out = out.join(told, "k", "left")
+    return out.select(F.col("k").alias(key), F.when(F.col("hinted"), F.col("named")).otherwise(F.coalesce("best", sole)).alias(group))
+
+
 def trait_diff(first: DataFrame, second: DataFrame, name: str = "name", value: str = "value") -> DataFrame:
     """Traits of two bags (one row a name): same, differs, only_first or only_second."""
     a = first.select(F.col(name).alias("a"), F.col(value).alias("av"))

@@ -50,6 +50,51 @@ def modal_gap(rows: DataFrame, group: str, position: str, share: float = 0.7, to
     return out.withColumn("periodic", F.col("share") >= share)
 
 
+#: Damage patterns: the largest gap within a lesion, the shortest and thinnest burst, and how many sectors a periodic one has at least.
+LINK_GAP, LEAST_BURST, SOLID, LEAST_PERIODIC = 128, 3, 0.85, 5
+
+
+def _spacing(spots: DataFrame, by: list[str]) -> DataFrame:
+    """Of sorted positions p: ones (the share of gaps of 1) and periodic: the commonest gap (the smaller of equals) is above 1 and 70 in 100 gaps are within a tenth of it, or 1."""
+    gaps = spots.select(*by, (F.col("p") - F.lag("p").over(Window.partitionBy(*by).orderBy("p"))).alias("gap")).filter("gap IS NOT NULL").groupBy(*by, "gap").agg(F.count("*").alias("n"))
+    mode = gaps.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("m"), "gap")).alias("b")).select(*by, F.col("b.gap").alias("mode"))
+    near = F.abs(F.col("gap") - F.col("mode")) <= F.greatest(F.lit(1), F.floor(F.col("mode") / 10))
+    out = gaps.join(mode, by).groupBy(*by, "mode").agg((F.sum(F.when(near, F.col("n")).otherwise(0)) / F.sum("n")).alias("share"), (F.sum(F.when(F.col("gap") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("ones"), F.sum("n").alias("gaps"))
+    return out.select(*by, "ones", "gaps", ((F.col("mode") > 1) & (F.col("share") >= 0.7)).alias("periodic"))
+
+
+def lesions(bad: DataFrame, group: str, position: str) -> DataFrame:
+    """Lesions of failing positions (from 0; repeats count once): first, last, n and kind. A lesion's gaps are at most LINK_GAP.
+
+    A near-solid one is a burst, an evenly spaced one periodic, and others scatter. If all scattered positions of a group are evenly spaced
+    together, they are one periodic lesion.
+    """
+    one = bad.select(F.col(group).alias("g"), F.col(position).cast("long").alias("p")).filter("p >= 0").distinct()
+    w = Window.partitionBy("g").orderBy("p")
+    marked = one.withColumn("_n", F.when(F.col("p") - F.lag("p").over(w) <= LINK_GAP, 0).otherwise(1)).withColumn("c", F.sum("_n").over(w)).drop("_n")
+    each = marked.groupBy("g", "c").agg(F.min("p").alias("first"), F.max("p").alias("last"), F.count("*").alias("n"))
+    span = F.col("last") - F.col("first") + 1
+    kind = F.when(F.col("n") == 1, "scatter").when((span >= LEAST_BURST) & ((F.col("ones") >= 0.9) | (F.col("n") / span >= SOLID)), "burst").when((F.col("n") >= LEAST_PERIODIC) & F.col("periodic"), "periodic").otherwise("scatter")
+    each = each.join(_spacing(marked, ["g", "c"]), ["g", "c"], "left").withColumn("kind", kind).select("g", "c", "first", "last", "n", "kind")
+    loose = marked.join(each.filter("kind = 'scatter'").select("g", "c"), ["g", "c"], "left_semi")
+    comb = _spacing(loose, ["g"]).filter((F.col("gaps") >= LEAST_PERIODIC - 1) & F.col("periodic")).select("g", F.lit(True).alias("comb"))
+    told = each.join(comb, "g", "left").withColumn("comb", F.coalesce("comb", F.lit(False)) & (F.col("kind") == "scatter"))
+    out = told.groupBy("g", F.when(~F.col("comb"), F.col("c")).alias("c"), F.when(F.col("comb"), "periodic").otherwise(F.col("kind")).alias("kind")).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    return out.select(F.col("g").alias(group), "first", "last", "n", "kind")
+
+
+def damage_verdict(bad: DataFrame, group: str, position: str) -> DataFrame:
+    """Of each group its failing positions, the longest run of neighbours, and a verdict: mixed if both physical (burst, scatter) and periodic lesions have a twentieth of them, otherwise the kind that has most."""
+    some = bad.filter(F.col(position) >= 0)
+    has = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0))
+    sums = lesions(some, group, position).groupBy(group).agg(F.sum("n").alias("bad"), has("burst").alias("x"), has("scatter").alias("y"), has("periodic").alias("z"))
+    longest = islands(some, group, position).groupBy(group).agg(F.max("length").alias("longest"))
+    physical = F.col("x") + F.col("y")
+    mixed = (physical > 0) & (F.col("z") > 0) & (physical >= 0.05 * F.col("bad")) & (F.col("z") >= 0.05 * F.col("bad"))
+    verdict = F.when(mixed, "mixed").when(F.col("z") > physical, "periodic").when(F.col("x") >= F.col("y"), "burst").otherwise("scatter")
+    return sums.join(longest, group).select(group, "bad", "longest", verdict.alias("verdict"))
+
+
 def coverage_sweep(regions: DataFrame, group: str, start: str, end: str, owner: str) -> DataFrame:
     """Gaps and overlaps of half-open regions in order of start: each is compared with the furthest-reaching earlier one, which other names."""
     w = Window.partitionBy(group).orderBy("s", "e", "o").rowsBetween(Window.unboundedPreceding, -1)
@@ -114,6 +159,27 @@ def silence(samples: DataFrame, group: str, order: str, level: str, window: int,
     return quiet.filter(F.col("length") >= least)
 
 
+def audio_tracks(samples: DataFrame, group: str, order: str, level: str, window: int, threshold: float, least: int, least_track: int) -> DataFrame:
+    """Tracks between silences (see silence): start and end trimmed to the loud samples, and pregap_start, where the silence before begins.
+
+    What is shorter than least_track is no track of its own but lengthens the one before; the first always is one. Samples are reduced to a row a window first.
+    """
+    loud = F.abs(level) >= threshold
+    w = samples.groupBy(F.col(group).alias("g"), F.floor(F.col(order) / window).alias("w")).agg(F.max(F.abs(level)).alias("p"), F.min(F.when(loud, F.col(order))).alias("lo"), F.max(F.when(loud, F.col(order))).alias("hi"))
+    quiet = w.withColumn("q", F.col("p") < threshold)
+    quiet = quiet.withColumn("r", F.col("w") - F.row_number().over(Window.partitionBy("g", "q").orderBy("w")))
+    run = Window.partitionBy("g", "q", "r")
+    gaps = quiet.withColumn("gap", F.col("q") & (F.count("*").over(run) >= least)).withColumn("begins", F.col("gap") & (F.row_number().over(run.orderBy("w")) == 1))
+    cut = gaps.withColumn("seg", F.sum(F.col("begins").cast("int")).over(Window.partitionBy("g").orderBy("w")))
+    segs = cut.groupBy("g", "seg").agg(F.min("lo").alias("a"), (F.max("hi") + 1).alias("b"), F.min(F.when(F.col("gap"), F.col("w") * window)).alias("before")).filter("a IS NOT NULL")
+    by = Window.partitionBy("g").orderBy("seg")
+    own = (F.col("b") - F.col("a") >= least_track) | (F.row_number().over(by) == 1)
+    told = segs.withColumn("_own", own.cast("long")).withColumn("track", F.sum("_own").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.min(F.struct("seg", "a", "before"))
+    out = told.groupBy("g", "track").agg(first.alias("f"), F.max("b").alias("end"))
+    return out.select(F.col("g").alias(group), "track", F.col("f.a").alias("start"), "end", F.when(F.col("f.seg") == 0, F.col("f.a")).otherwise(F.col("f.before")).alias("pregap_start"))
+
+
 def chain_check(log: DataFrame, group: str, seq: str, previous: str, digest: str, payload: list[str]) -> DataFrame:
     """Of each chain, whether numbers run from 0, each link names the digest before it, and each digest is the SHA-256 of number, payload and previous digest, joined by line feeds."""
     w = Window.partitionBy(group).orderBy(seq)

@@ -16,16 +16,32 @@ def best_of_family(titles: DataFrame, family: list[str], order: list[Column], un
 
 
 def first_seen(files: DataFrame, digest: str, order: list[Column], verified: Column | None = None) -> DataFrame:
-    """files with is_duplicate: a verified file whose digest came before; without a digest, or unverified, never."""
+    """files with is_duplicate: a verified file whose digest came before; without a digest, or unverified, never. Files without a digest aren't ordered."""
     w = Window.partitionBy(digest).orderBy(*order)
-    may = F.col(digest).isNotNull() & (F.lit(True) if verified is None else F.coalesce(verified, F.lit(False)))
-    return files.withColumn("is_duplicate", may & (F.row_number().over(w) > 1))
+    known = files.filter(F.col(digest).isNotNull())
+    may = F.lit(True) if verified is None else F.coalesce(verified, F.lit(False))
+    return known.withColumn("is_duplicate", may & (F.row_number().over(w) > 1)).unionByName(files.filter(F.col(digest).isNull()).withColumn("is_duplicate", F.lit(False)))
 
 
 def keep_best(copies: DataFrame, group: str, rank: Column, order: str) -> DataFrame:
-    """copies with keep: the best by rank of each group, the first by order among equals; rows without a group all stay."""
+    """copies with keep: the best by rank of each group, the first by order among equals; rows without a group all stay, and aren't ordered."""
     w = Window.partitionBy(group).orderBy(rank.desc_nulls_last(), order)
-    return copies.withColumn("keep", F.col(group).isNull() | (F.row_number().over(w) == 1))
+    known = copies.filter(F.col(group).isNotNull()).withColumn("keep", F.row_number().over(w) == 1)
+    return known.unionByName(copies.filter(F.col(group).isNull()).withColumn("keep", F.lit(True)))
+
+
+def first_wins(tables: list[DataFrame], keys: list[str], order: list[str]) -> DataFrame:
+    """All rows of several tables of one schema, of equal keys the first by order; reduced before it is shuffled."""
+    all_ = tables[0]
+    for t in tables[1:]:
+        all_ = all_.unionByName(t)
+    return all_.groupBy(*keys).agg(F.min_by(F.struct("*"), F.struct(*order)).alias("_r")).select("_r.*")
+
+
+def capped(rows: DataFrame, group: str, order: list[str], n: int, nth: str = "nth") -> DataFrame:
+    """The first n rows of each group with their place; each task keeps no more than n of a group before the shuffle."""
+    w = Window.partitionBy(group).orderBy(*order)
+    return rows.withColumn(nth, F.row_number().over(w)).filter(F.col(nth) <= n)
 
 
 def latest(rows: DataFrame, entity: str, time: str, tie: str) -> DataFrame:
@@ -54,6 +70,7 @@ def priority(rows: DataFrame, urgency: Column, eta: str, name: str) -> DataFrame
 
 
 def urgent_top(rows: DataFrame, score: str, name: str, k: int, urgent_from: float) -> DataFrame:
-    """The k rows of the highest scores, or all urgent ones if these are more."""
-    n = max(k, rows.filter(F.col(score) >= urgent_from).count())
-    return rows.orderBy(F.col(score).desc_nulls_last(), name).limit(n)
+    """The k rows of the highest scores, or all urgent ones if these are more; only k rows are ever ordered."""
+    urgent = F.coalesce(F.col(score) >= urgent_from, F.lit(False))
+    best = rows.orderBy(F.col(score).desc_nulls_last(), name).limit(k)
+    return rows.filter(urgent).unionByName(best.filter(~urgent))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runs import longest_run
+
 DAYS_A_YEAR = 365.25
 
 
@@ -48,10 +50,11 @@ def scan_summary(samples: DataFrame, group: list[str], metrics: list[str], grade
     return out.withColumn("grade", graded(F.col(f"max_{grade_by}"), steps, otherwise))
 
 
-def error_report(samples: DataFrame, group: str, value: str) -> DataFrame:
-    """Average, maximum, total and the discrete 95th percentile (the value at place ceil(0.95 n)) of each group."""
+def error_report(samples: DataFrame, group: str, value: str, order: str | None = None) -> DataFrame:
+    """Average, maximum, total and the discrete 95th percentile (the value at place ceil(0.95 n)) of each group, and with order the longest run of values above 0."""
     v = F.col(value)
-    return samples.groupBy(group).agg(F.avg(v).alias("average"), F.max(v).alias("maximum"), F.sum(v).alias("total"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"))
+    out = samples.groupBy(group).agg(F.avg(v).alias("average"), F.max(v).alias("maximum"), F.sum(v).alias("total"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"))
+    return out.join(longest_run(samples, group, [order], v > 0).withColumnRenamed("longest", "burst"), group) if order else out
 
 
 def linear_fit(rows: DataFrame, group: str, x: Column, y: Column) -> DataFrame:

@@ -148,9 +148,13 @@ def a4_scan_summary(ev: DataFrame) -> DataFrame:
     return statistics.scan_summary(ev, ["g", "d"], ["v"], "v", [(50, "good"), (90, "fair")], "poor")
 
 
-@query("SELECT g, avg(v) AS average, max(v) AS maximum, sum(v) AS total, quantile_disc(v, 0.95) AS p95 FROM ev GROUP BY g", ev="SELECT user_id % 50 AS g, floor(value * 10) AS v FROM events")
+@query(
+    """WITH r AS (SELECT g, v > 0 AS c, sum(CASE WHEN v > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY g ORDER BY o) AS r FROM ev), b AS (SELECT g, max(n) AS burst FROM (SELECT g, r, count(*) FILTER (WHERE c) AS n FROM r GROUP BY g, r) GROUP BY g)
+ SELECT g, avg(v) AS average, max(v) AS maximum, sum(v) AS total, quantile_disc(v, 0.95) AS p95, any_value(burst) AS burst FROM ev JOIN b USING (g) GROUP BY g""",
+    ev="SELECT user_id % 50 AS g, event_id AS o, CAST(greatest(floor(value * 10) - 200, 0) AS DOUBLE) AS v FROM events",
+)
 def a5_error_report(ev: DataFrame) -> DataFrame:
-    return statistics.error_report(ev, "g", "v")
+    return statistics.error_report(ev, "g", "v", "o")
 
 
 FIT = """SELECT g, n, slope, my - slope * mx AS intercept, r2, CASE WHEN n > 2 AND sxx > 0 THEN sqrt(greatest(syy - slope * sxy, 0) / (n - 2) / sxx) END AS slope_se FROM
