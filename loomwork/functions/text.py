@@ -222,3 +222,29 @@ def rebuild_path(layout: str, system: Column, game: Column, name: Column) -> Col
     """Where a matched file goes: flat, by game, or by system and game."""
     parts = {"flat": [name], "game": [game, name], "system": [system, game, name]}[layout]
     return F.concat_ws("/", *(safe_name(p) for p in parts))
+
+
+def places(content: Column, needle: bytes) -> Column:
+    """Places, from 0, of all occurrences of a needle in binary content, overlapping ones too."""
+    n = len(needle)
+    starts = F.when(F.octet_length(content) >= n, F.sequence(F.lit(0), F.octet_length(content) - n)).otherwise(F.array().cast("array<int>"))
+    return F.filter(starts, lambda i: F.substring(content, i + 1, F.lit(n)) == F.lit(needle)) if n else F.array().cast("array<int>")
+
+
+def layout_hash(tracks: Column) -> Column:
+    """SHA-256 of a layout, an array of tracks (number, is_data, units): their number, then each in order with its kind and length."""
+    ordered = F.array_sort(F.transform(tracks, lambda t: F.struct(t["number"].alias("number"), t["is_data"].alias("is_data"), t["units"].alias("units"))))
+    each = F.transform(ordered, lambda t: F.concat(t["number"].cast("string"), F.when(t["is_data"], "D").otherwise("A"), t["units"].cast("string"), F.lit(";")))
+    return F.sha2(F.concat(F.size(tracks).cast("string"), F.lit(";"), F.array_join(each, "")), 256)
+
+
+def best_shift(a: Column, b: Column, most: int = 4, tolerance: int = 1) -> Column:
+    """shift and share: the shift of at most so many places under which two envelopes agree best, within the tolerance, and the share of the places that overlap which do; the first of equals, 1 for two empty ones."""
+
+    def at(d: Column) -> Column:
+        pairs = F.filter(F.transform(a, lambda x, i: F.struct(x.alias("x"), F.when(i + d >= 0, F.get(b, i + d)).alias("y"))), lambda p: p["y"].isNotNull())
+        return F.struct(F.coalesce(F.size(F.filter(pairs, lambda p: F.abs(p["x"] - p["y"]) <= tolerance)) / F.nullif(F.size(pairs), F.lit(0)), F.lit(0.0)).alias("share"), (-d).alias("back"))
+
+    best = F.array_max(F.transform(F.sequence(F.lit(-most), F.lit(most)), at))
+    none = (F.size(a) == 0) & (F.size(b) == 0)
+    return F.struct(F.when(none | (best["share"] == 0), 0).otherwise(-best["back"]).alias("shift"), F.when(none, 1.0).otherwise(best["share"]).alias("share"))

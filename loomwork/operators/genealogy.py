@@ -23,16 +23,27 @@ def authenticity(members: DataFrame) -> DataFrame:
     return members.withColumn("standing", standing)
 
 
-def fused(first: DataFrame, second: DataFrame, third: DataFrame, key: str, verdict: str) -> DataFrame:
-    """Verdicts of up to three reports for each key: how many there are, agreed (all equal), and the one that most of them give (the first by name among equals)."""
-    each = first.select(key, verdict).unionByName(second.select(key, verdict)).unionByName(third.select(key, verdict)).filter(F.col(verdict).isNotNull())
-    n = each.groupBy(key, verdict).agg(F.count("*").alias("n"))
-    best = n.groupBy(key).agg(F.sum("n").alias("reports"), (F.count("*") == 1).alias("agreed"), F.min(F.struct((-F.col("n")).alias("m"), F.col(verdict).alias("v"))).alias("b"))
-    return best.select(key, "reports", "agreed", F.col("b.v").alias(verdict))
-
-
-def related_ids(a: Column, b: Column, least: int = 3) -> Column:
-    """Whether two volume names are one, but for case and marks, or one begins the other with at least so many letters."""
+def protection_standing(catalog: DataFrame, bands: DataFrame, headers: DataFrame, key: str) -> DataFrame:
+    """What three optional reports say together of each key: schemes that a catalogue finds in files (key, scheme, likely), the verdict of its damage
+    patterns (key, verdict), and whether its headers play tricks (key, tricks).
+
+    corroborated if there are likely schemes and a physical sign (a periodic or mixed verdict, or tricks), files_only or physical_only with one of them, otherwise
+    none. schemes are the distinct likely ones in order.
+    """
+    found = catalog.filter("likely").groupBy(key).agg(F.array_sort(F.collect_set("scheme")).alias("schemes"))
+    band = bands.groupBy(key).agg(F.bool_or(F.col("verdict").isin("periodic", "mixed")).alias("band"))
+    trick = headers.groupBy(key).agg(F.bool_or("tricks").alias("trick"))
+    keys = catalog.select(key).unionByName(bands.select(key)).unionByName(headers.select(key)).distinct()
+    out = keys.join(found, key, "left").join(band, key, "left").join(trick, key, "left")
+    files = F.col("schemes").isNotNull()
+    physical = F.coalesce("band", F.lit(False)) | F.coalesce("trick", F.lit(False))
+    standing = F.when(files & physical, "corroborated").when(files, "files_only").when(physical, "physical_only").otherwise("none")
+    return out.select(key, standing.alias("standing"), F.coalesce("schemes", F.array().cast("array<string>")).alias("schemes"), physical.alias("physical"))
+
+
+def related_ids(a: Column, b: Column) -> Column:
+    """Whether two volume names are related, but for case and marks: equal, one begins the other, or they begin with four letters in common that are at least 60 in 100 of the shorter."""
     x, y = alnum(a), alnum(b)
     short = F.least(F.length(x), F.length(y))
-    return F.coalesce((x == y) & (x != "") | (short >= least) & (F.startswith(x, y) | F.startswith(y, x)), F.lit(False))
+    common = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), short), lambda n: F.substring(x, F.lit(1), n) == F.substring(y, F.lit(1), n))), F.lit(0))
+    return F.coalesce((x != "") & (y != "") & (F.startswith(x, y) | F.startswith(y, x) | (common >= 4) & (common >= F.floor(short * 0.6))), F.lit(False))

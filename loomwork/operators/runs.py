@@ -116,6 +116,22 @@ def pad_merge(ranges: DataFrame, group: str, start: str, end: str, worst: str, p
     return marked.groupBy(group, "island").agg(F.min("s").alias("first"), F.max("e").alias("last"), F.max("w").alias("worst"), F.count("*").alias("n")).drop("island")
 
 
+def reread_plan(sectors: DataFrame, group: str, position: str, state: str, pad: int = 2) -> DataFrame:
+    """Ranges to read again: runs of sectors whose state isn't 0 (clean), grown by pad on both sides within the group's sectors (from 0) and merged where they touch: start, sectors and worst, and the passes that
+    the group's worst state asks for: 3, 5 or 7 for states 1, 2 and above."""
+    bad = sectors.filter(F.col(state) > 0).select(F.col(group).alias("g"), F.col(position).alias("p"), F.col(state).alias("s"))
+    run = F.col("p") - F.row_number().over(Window.partitionBy("g").orderBy("p"))
+    each = bad.withColumn("r", run).groupBy("g", "r").agg(F.min("p").alias("a"), (F.max("p") + 1).alias("b"), F.max("s").alias("worst"))
+    size = sectors.groupBy(F.col(group).alias("g")).agg((F.max(position) + 1).alias("n"), F.max(state).alias("all"))
+    grown = each.join(size, "g").select("g", "all", "worst", F.greatest(F.col("a") - pad, F.lit(0)).alias("a"), F.least(F.col("b") + pad, F.col("n")).alias("b"))
+    w = Window.partitionBy("g").orderBy("a", "b")
+    new = F.when(F.col("a") <= F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
+    told = grown.withColumn("_n", new).withColumn("i", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    passes = F.when(F.col("all") == 1, 3).when(F.col("all") == 2, 5).otherwise(7)
+    out = told.groupBy("g", "i", "all").agg(F.min("a").alias("start"), F.max("b").alias("b"), F.max("worst").alias("worst"))
+    return out.select(F.col("g").alias(group), "start", (F.col("b") - F.col("start")).alias("sectors"), "worst", passes.alias("passes"))
+
+
 def paint(lesions: DataFrame, group: str, start: str, end: str, rank: str) -> DataFrame:
     """Each position of closed ranges with the highest rank that covers it."""
     spots = lesions.select(group, F.explode(F.sequence(F.col(start), F.col(end))).alias("position"), F.col(rank).alias("rank"))
@@ -187,3 +203,19 @@ def chain_check(log: DataFrame, group: str, seq: str, previous: str, digest: str
     ok = (F.col(seq) == F.row_number().over(w) - 1) & (F.coalesce(previous, F.lit("")) == F.coalesce(F.lag(digest).over(w), F.lit(""))) & (F.col(digest) == F.sha2(text, 256))
     marked = log.select(group, F.col(seq).alias("s"), F.coalesce(ok, F.lit(False)).alias("ok"))
     return marked.groupBy(group).agg(F.bool_and("ok").alias("valid"), F.min(F.when(~F.col("ok"), F.col("s"))).alias("first_bad"))
+
+
+def chained(new: DataFrame, last: DataFrame, group: str, order: str, payload: list[str]) -> DataFrame:
+    """New entries of chains as chain_check takes them: seq, previous and digest go on from the last entry of each (group, seq, digest), or from 0. The new entries of a chain are folded in order, so a batch's must be of bounded number."""
+    text = F.concat_ws("\n", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in payload))
+    rows = new.select(F.col(group).alias("g"), F.struct(F.col(order).alias("o"), text.alias("t"), F.struct(*payload).alias("row")).alias("e"))
+    each = rows.groupBy("g").agg(F.array_sort(F.collect_list("e")).alias("es")).join(last.select(F.col(group).alias("g"), F.col("seq").cast("long").alias("s"), F.col("digest").alias("d")), "g", "left")
+    start = F.struct(F.coalesce(F.col("s") + 1, F.lit(0).cast("long")).alias("seq"), F.coalesce("d", F.lit("")).alias("digest"), F.array().cast(f"array<struct<seq:bigint,previous:string,digest:string,row:{new.select(F.struct(*payload).alias('r')).schema['r'].dataType.simpleString()}>>").alias("out"))
+
+    def step(acc: Column, e: Column) -> Column:
+        digest = F.sha2(F.concat_ws("\n", acc["seq"].cast("string"), e["t"], acc["digest"]), 256)
+        entry = F.struct(acc["seq"].alias("seq"), acc["digest"].alias("previous"), digest.alias("digest"), e["row"].alias("row"))
+        return F.struct((acc["seq"] + 1).alias("seq"), digest.alias("digest"), F.concat(acc["out"], F.array(entry)).alias("out"))
+
+    folded = each.select("g", F.explode(F.aggregate("es", start, step)["out"]).alias("x"))
+    return folded.select(F.col("g").alias(group), "x.seq", "x.previous", "x.digest", "x.row.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kernels import byte_function, crc16
 from .runs import longest_run
 
 DAYS_A_YEAR = 365.25
@@ -174,3 +175,81 @@ def session_rollup(tracks: DataFrame, group: list[str], is_data: str, start: str
     """Kind of each session by its tracks (data, audio or mixed), first and last address, and length."""
     kind = F.when(F.bool_and(is_data), "data").when(~F.bool_or(is_data), "audio").otherwise("mixed")
     return tracks.groupBy(*group).agg(kind.alias("kind"), F.min(start).alias("first"), F.max(F.col(start) + F.col(length) - 1).alias("last"), F.sum(length).alias("sectors"), F.count("*").alias("tracks"))
+
+
+def speed_fingerprint(rows: DataFrame, group: str, position: str, value: str, buckets: int = 64) -> DataFrame:
+    """A number of 16 bits that the shape of each group's curve has: means of equal buckets of position (its span counts both ends), as bytes of the largest value, halves to even, an empty bucket 0, under CRC-16, inverted; 0 if no value is above 0."""
+    w = Window.partitionBy(group)
+    at = F.floor((F.col(position) - F.min(position).over(w)) * buckets / (F.max(position).over(w) - F.min(position).over(w) + 1))
+    means = rows.select(group, at.alias("_b"), F.col(value).alias("_v"), F.max(value).over(w).alias("_m")).groupBy(group, "_b").agg(F.avg("_v").alias("_v"), F.max("_m").alias("_m"))
+    byte = F.bround(F.col("_v") / F.col("_m") * 255).cast("int")
+    curve = means.groupBy(group).agg(F.max("_m").alias("_m"), F.map_from_entries(F.collect_list(F.struct(F.col("_b").cast("int"), F.greatest(F.lit(0), F.least(F.lit(255), byte))))).alias("_c"))
+    bytes_ = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda k: F.lpad(F.hex(F.coalesce(F.try_element_at("_c", k), F.lit(0))), 2, "0")), ""))
+    return curve.select(group, F.when(F.col("_m") > 0, byte_function(lambda b: crc16(b, inverted=True), "int")(bytes_)).otherwise(0).alias("fingerprint"))
+
+
+def weighted_sums(rows: DataFrame, group: str, place: str, word: str, skip_head: int = 0, skip_tail: int = 0) -> DataFrame:
+    """v1 and v2 of each group's 32-bit words: their products with their place (from 1), low halves alone, and low and high halves, summed modulo 2**32; the first skip_head and last skip_tail places don't count."""
+    n = F.count("*").over(Window.partitionBy(group))
+    some = rows.withColumn("_n", n).filter((F.col(place) > skip_head) & (F.col(place) <= F.col("_n") - skip_tail)) if skip_tail else rows.filter(F.col(place) > skip_head)
+    product = F.col(word).cast("long") * F.col(place)
+    low, high = product.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(product, 32)
+    whole = lambda c: F.sum(c.cast("decimal(20,0)"))
+    cut = lambda c: F.pmod(c, F.lit(1 << 32)).cast("long")
+    return some.groupBy(group).agg(cut(whole(low)).alias("v1"), cut(whole(low) + whole(high)).alias("v2"))
+
+
+def offset_sums(rows: DataFrame, group: str, place: str, word: str, length: int) -> DataFrame:
+    """start and v1 of each run of `length` words that begins there, its places counted from 1: from running sums, so a step costs the same however long the run is."""
+    w = Window.partitionBy(group).orderBy(place)
+    total = lambda c: F.sum(c.cast("decimal(38,0)")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    v, p = F.col(word).cast("decimal(20,0)"), F.col(place).cast("decimal(18,0)")
+    sums = rows.select(group, place, total(v).alias("_a"), total(v * p).alias("_b"))
+    last = lambda c: F.lead(c, length - 1).over(w) - F.coalesce(F.lag(c).over(w), F.lit(0))
+    out = sums.select(group, F.col(place).alias("start"), last("_a").alias("_a"), last("_b").alias("_b")).filter("_a IS NOT NULL")
+    return out.select(group, "start", F.pmod(F.col("_b") - (F.col("start") - 1) * F.col("_a"), F.lit(1 << 32)).cast("long").alias("v1"))
+
+
+def disc_ids(offsets: DataFrame, disc: str, order: str, offset: str) -> DataFrame:
+    """id1, id2 and cddb of each disc from its tracks' offsets in sectors, in order, the lead-out's last."""
+    w = Window.partitionBy(disc).orderBy(order)
+    second = F.floor((F.col(offset) + 150) / 75)
+    digits = F.aggregate(F.split(second.cast("string"), ""), F.lit(0), lambda s, c: s + F.coalesce(c.try_cast("int"), F.lit(0)))
+    rows = offsets.withColumns({"_i": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy(disc)), "_s": second, "_d": digits})
+    last = F.col("_i") == F.col("_n")
+    agg = rows.groupBy(disc).agg(F.sum(offset).alias("id1"), F.sum(F.greatest(F.col(offset), F.lit(1)) * F.col("_i")).alias("id2"), F.sum(F.when(~last, F.col("_d")).otherwise(0)).alias("d"), (F.max(F.when(last, F.col("_s"))) - F.max(F.when(F.col("_i") == 1, F.col("_s")))).alias("t"), (F.count("*") - 1).alias("n"))
+    whole = lambda c: F.pmod(F.col(c), F.lit(1 << 32)).cast("long").alias(c)
+    return agg.filter("n > 0").select(disc, whole("id1"), whole("id2"), (F.col("d") % 255 * (1 << 24) + F.col("t") * 256 + F.col("n")).cast("long").alias("cddb"))
+
+
+def dynamics(samples: DataFrame, group: str, channel: str, frame: str, level: str, block: int) -> DataFrame:
+    """Peak, RMS and dynamic range of each group, in dB of full scale 1: the range is, of each channel, the second highest peak of blocks of so many frames over the RMS of their loudest fifth (a block's RMS is that of twice its power), averaged over channels."""
+    db = lambda c: 20 * F.log10(F.greatest(c, F.lit(1e-10)))
+    x = F.col(level).cast("double")
+    blocks = samples.groupBy(group, channel, F.floor(F.col(frame) / block).alias("_b")).agg(F.sum(x * x).alias("_q"), F.count("*").alias("_n"), F.max(F.abs(x)).alias("_p"))
+    blocks = blocks.withColumn("_r", F.sqrt(2 * F.col("_q") / F.col("_n")))
+    one = Window.partitionBy(group, channel)
+    ranked = blocks.withColumns({"_i": F.row_number().over(one.orderBy(F.col("_r").desc(), "_b")), "_j": F.row_number().over(one.orderBy(F.col("_p").desc(), "_b")), "_m": F.count("*").over(one)})
+    top = F.greatest(F.lit(1), F.floor(F.col("_m") / 5))
+    square = F.when(F.col("_i") <= top, F.col("_r") * F.col("_r"))
+    each = ranked.groupBy(group, channel).agg(F.max(F.when(F.col("_j") == F.least(F.lit(2), F.col("_m")), F.col("_p"))).alias("_p2"), F.sqrt(F.avg(square)).alias("_top"), F.sum("_q").alias("_q"), F.sum("_n").alias("_n"), F.max("_p").alias("_p"))
+    return each.groupBy(group).agg(db(F.max("_p")).alias("peak_db"), db(F.sqrt(F.sum("_q") / F.sum("_n"))).alias("rms_db"), F.avg(db(F.col("_p2")) - db(F.col("_top"))).alias("range_db"))
+
+
+def chronology(volumes: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """Of each volume (key, created, modified) whether it has no creation date, was modified before it was created, and how many of its files (key, at) are more than two seconds younger."""
+    late = files.select(F.col(key).alias("_k"), "at").join(volumes.select(key, "created"), F.col("_k") == F.col(key)).filter(F.col("at") > F.col("created") + F.expr("INTERVAL 2 SECONDS")).groupBy("_k").agg(F.count("*").alias("_n"))
+    out = volumes.join(late, F.col(key) == F.col("_k"), "left")
+    return out.select(key, F.col("created").isNull().alias("undated"), F.coalesce(F.col("modified") < F.col("created"), F.lit(False)).alias("modified_first"), F.coalesce("_n", F.lit(0)).alias("files_after"))
+
+
+def open_cases(events: DataFrame, key: str, time: str) -> DataFrame:
+    """Entries of a list of cases from its events (key, time, event: add or attempt, resolved, not_before): first_flagged, attempts, resolved and not_before (the last that was given before the case was resolved). Adding a case that is open replaces it; attempts without a case count for nothing."""
+    w = Window.partitionBy(key).orderBy(time)
+    opened = events.withColumn("_c", F.sum(F.when(F.col("event") == "add", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("_c > 0")
+    done = F.max(F.when(F.col("event") == "attempt", F.col("resolved")).otherwise(False)).over(Window.partitionBy(key, "_c").orderBy(time).rowsBetween(Window.unboundedPreceding, -1))
+    live = opened.withColumn("_d", done).filter(~F.coalesce("_d", F.lit(False)))
+    solved = F.coalesce("resolved", F.lit(False)) & (F.col("event") == "attempt")
+    each = live.groupBy(key, "_c").agg(F.min(time).alias("first_flagged"), F.count_if(F.col("event") == "attempt").alias("attempts"), F.bool_or(solved).alias("resolved"), F.max_by("not_before", F.when(F.col("not_before").isNotNull() & ~solved, F.col(time))).alias("not_before"))
+    newest = F.row_number().over(Window.partitionBy(key).orderBy(F.col("_c").desc())) == 1
+    return each.withColumn("_new", newest).filter(F.col("resolved") | F.col("_new")).drop("_c", "_new")

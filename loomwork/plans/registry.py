@@ -40,4 +40,4 @@ def query(sql: str | None = None, **inputs: str) -> Callable[[Callable[..., Data
     return register
 
 
-from . import collection_queries, kernel_queries, lint_queries, series_queries, text_queries, validation_queries  # noqa: E402, F401
+from . import collection_queries, evidence_queries, kernel_queries, lint_queries, series_queries, source_queries, text_queries, validation_queries  # noqa: E402, F401

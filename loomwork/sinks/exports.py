@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_cell, leaf, rebuild_path
+from ..operators.lineage import cut
+from ..sources.images import opened
 
 
 def catalog_json(entries: DataFrame, folder: str) -> None:
@@ -13,6 +20,37 @@ def catalog_json(entries: DataFrame, folder: str) -> None:
     entries.withColumn("path", F.translate("path", "\\", "/")).write.mode("overwrite").json(folder)
 
 
+def catalog_report(entries: DataFrame, missing: DataFrame, folder: str) -> None:
+    """A catalogue's summary, entries (path, status and more) and missing catalogue rows as JSON lines in folders of those names: counts by status, and of all and missing rows, in the summary."""
+    catalog_json(entries, f"{folder}/entries")
+    missing.write.mode("overwrite").json(f"{folder}/missing")
+    counts = entries.agg(F.count("*").alias("total"), *(F.count_if(F.col("status") == s).alias(n) for s, n in (("verified", "verified"), ("misnamed", "misnamed"), ("duplicate", "duplicates"), ("unknown", "unknown"))))
+    lost = missing.agg(F.count("*").alias("missing"))
+    counts.withColumn("one", F.lit(1)).join(lost.withColumn("one", F.lit(1)), "one").drop("one").coalesce(1).write.mode("overwrite").json(f"{folder}/summary")
+
+
+def put(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes each row's content (binary) as a file of its name (a path below the folder) and gives the names; a file appears under its name once it is whole, an older one goes to name.bak first."""
+    root = opened(folder)[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system = opened(folder)[0]
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                to = f"{root}/{name}"
+                system.create_dir(to.rpartition("/")[0], recursive=True)
+                temp = f"{to}.{uuid.uuid4().hex}.tmp"
+                with system.open_output_stream(temp, compression=None) as out:
+                    out.write(content or b"")
+                if system.get_file_info(to).type != fs.FileType.NotFound:
+                    system.copy_file(to, f"{to}.bak")
+                system.move(temp, to)
+            yield batch.select(["name"])
+
+    some = rows.select("name", F.col("content").cast("binary").alias("content"))
+    return cut(some.mapInArrow(run, "name string"))
+
+
 def catalog_csv(entries: DataFrame, folder: str, columns: list[str]) -> None:
     """Lines of cells, quoted only where they must be, with the header first in every part file."""
     head = ",".join(columns)

@@ -8,6 +8,7 @@ from __future__ import annotations
 import csv
 import re
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,21 +18,64 @@ from pyspark.sql import types as T
 from ..functions.text import msf_sectors
 
 
-def files(spark: SparkSession, path: str, skip: tuple[str, ...] = (), skip_folder: str = "/.git/") -> DataFrame:
-    """path, length, mtime and hashes of all files below a folder, but for names in skip and what lies in skip_folder. Contents above 2 GB don't fit a row, and Spark's reader leaves empty files out."""
+def _contents(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, mtime and content of all files below a folder. Spark's reader leaves empty files out, so those that it lists, but doesn't read, are added; they have no mtime."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    some = raw.select("path", "length", F.col("modificationTime").alias("mtime"), "content")
+    listed = spark.createDataFrame([(unquote(p),) for p in raw.inputFiles()], "path string").withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+    read = raw.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path")).distinct()
+    empty = listed.join(read, "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("mtime"), F.lit(b"").alias("content"))
+    return some.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")).unionByName(empty)
+
+
+def files(spark: SparkSession, path: str, skip: tuple[str, ...] = (), skip_folder: str = "/.git/") -> DataFrame:
+    """path, length, mtime and hashes of all files below a folder, empty ones too, but for names in skip and what lies in skip_folder. Contents above 2 GB don't fit a row (see images.sectors)."""
+    raw = _contents(spark, path)
     name = F.element_at(F.split("path", "/"), -1)
     some = raw.filter(~name.isin(*skip) if skip else F.lit(True)).filter(~F.contains("path", F.lit(skip_folder)))
     crc = F.lower(F.lpad(F.hex(F.crc32("content")), 8, "0"))
-    return some.select("path", name.alias("file_name"), "length", F.col("modificationTime").alias("mtime"), crc.alias("crc32"), F.md5("content").alias("md5"), F.sha1("content").alias("sha1"), F.sha2("content", 256).alias("sha256"))
+    return some.select("path", name.alias("file_name"), "length", "mtime", crc.alias("crc32"), F.md5("content").alias("md5"), F.sha1("content").alias("sha1"), F.sha2("content", 256).alias("sha256"))
 
 
 def head_digest(spark: SparkSession, path: str, n: int = 5000) -> DataFrame:
     """path, file_name, length and MD5 of the first n bytes (all for n = 0) of the files below a folder."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    raw = _contents(spark, path)
     return raw.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", F.md5(F.expr(f"substring(content, 1, {n})") if n else F.col("content")).alias("md5"))
 
 
+def _manifest(text: str) -> Iterator[tuple]:
+    for k, line in enumerate(x.strip() for x in text.split("\n")):
+        if line and not line.startswith("#"):
+            at, _, location = line.partition("\t") if "\t" in line else re.match(r"(.*?)(  )(.*)$", line).groups() if "  " in line else ("", "", "")
+            if not at.strip() or not location.strip():
+                raise ValueError(f"line {k + 1} of the manifest needs a path and a place: {line!r}")
+            place = location.strip()
+            yield k, at.strip().replace("\\", "/"), place, bool(re.match("https?://", place, re.I))
+
+
+def source_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of manifests of files from several places: ord, target (the path that a file gets), place and is_url; target and place stand on a line with a tab or several blanks between them, # begins a comment."""
+    entries = _whole(spark, path, "ord long, target string, place string, is_url boolean", _manifest)
+    return entries.withColumnRenamed("path", "manifest")
+
+
+def staged(entries: DataFrame, available: DataFrame) -> DataFrame:
+    """What a manifest's entries (target, place, is_url) give of the files that are there (path, length): a file gives itself, a folder all below it, and what isn't there is a failure. target, place, length (-1 for a URL, which isn't looked at) and failure.
+
+    Entries meet files by each of the folders above a file, so no entry is compared with every file.
+    """
+    places = entries.select("target", F.regexp_replace("place", "/+$", "").alias("place"), "is_url")
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    met = available.select("path", "length", F.explode(above).alias("at"))
+    found = places.filter("NOT is_url").join(met, F.col("place") == F.col("at"), "left")
+    below = F.substring(F.col("path"), F.length("place") + 2, F.lit(1 << 30))
+    target = F.when(F.col("path").isNull() | (F.col("path") == F.col("place")), F.col("target")).otherwise(F.concat(F.regexp_replace("target", "/+$", ""), F.lit("/"), below))
+    local = found.select(target.alias("target"), F.coalesce("path", "place").alias("place"), "length", F.when(F.col("path").isNull(), "not found").alias("failure"))
+    urls = places.filter("is_url").select("target", "place", F.lit(-1).cast("long").alias("length"), F.lit(None).cast("string").alias("failure"))
+    return local.unionByName(urls)
+
+
 def catalog(spark: SparkSession, path: str) -> DataFrame:
     """Entries of XML catalogues: game, name, size, crc, md5, sha1, clone_of, description, one row a rom of every game or machine.
 
@@ -235,6 +279,25 @@ def dump_log(spark: SparkSession, path: str) -> DataFrame:
     return _whole(spark, path, "ord long, name string, size long, crc string, md5 string, sha1 string", _dump_log)
 
 
+def _hash_blocks(text: str) -> Iterator[tuple]:
+    tracks: dict[int, dict[str, str]] = {}
+    block = None
+    for line in text.splitlines():
+        if m := re.search(r"(CRC32|MD5|SHA1) hash", line, re.I):
+            block = m[1].lower()
+        elif block and (m := re.match(r"\s*Track\s*0*(\d+)\s*:\s*([0-9A-Fa-f]+)\s*$", line)):
+            tracks.setdefault(int(m[1]), {})[block] = m[2].lower()
+    for m in re.finditer(r"Track\s*0*(\d+)\s+(Audio|Data|Mode\s*[12])", text, re.I):
+        tracks.setdefault(int(m[1]), {}).setdefault("kind", "data" if m[2].lower().startswith("mode") else m[2].lower())
+    for number, t in sorted(tracks.items()):
+        yield (number, *(t.get(k) for k in ("kind", "crc32", "md5", "sha1")))
+
+
+def hash_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Tracks of dumping logs that list hashes in a block for each sort, merged by track: track, kind, crc32, md5, sha1; of repeated lines of one sort the last counts."""
+    return _whole(spark, path, "track long, kind string, crc32 string, md5 string, sha1 string", _hash_blocks)
+
+
 def log_fields(spark: SparkSession, path: str) -> DataFrame:
     """field and value of lines `field: value` of logs, in lower case and without blanks at their ends; the first of repeated fields counts."""
     lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
@@ -317,14 +380,63 @@ MAGIC = (
     (0, "7F454C46", "elf"),
     (0, "4D5A", "exe"),
     (257, "7573746172", "tar"),
+    (0, "4D436F6D70724844", "chd"),
+    (0, "4349534F", "cso"),
+    (0, "5A49534F", "zso"),
+    (0, "50532D5820455845", "ps-exe"),
+    (0, "56414770", "vag"),
+    (0, "534E45532D535043373030", "spc"),
+    (0, "56676D20", "vgm"),
+    (0, "4E45534D1A", "nsf"),
+    (0, "4D454449412044455343524950544F52", "mds"),
+    (0, "57424653", "wbfs"),
+    (0, "445644564944454F2D564D47", "ifo"),
+    (0, "445644564944454F2D565453", "ifo"),
+    (0, "564944454F5F4344", "vcd"),
+    (0, "5355504552564344", "vcd"),
+    (0, "5050463330", "ppf"),
+    (0, "5050463230", "ppf"),
+    (0, "5050463130", "ppf"),
+    (0, "5041544348", "ips"),
+    (0, "42505331", "bps"),
+    (0, "52565A01", "rvz"),
+    (0, "57494101", "wia"),
+    (0, "45434D00", "ecm"),
+    (0, "4E45531A", "nes"),
+    (0, "80371240", "n64"),
+    (0, "37804012", "n64"),
+    (0, "40123780", "n64"),
+    (0, "4C594E58", "lynx"),
+    (0, "574F5A31", "woz"),
+    (0, "574F5A32", "woz"),
+    (0, "4743522D31353431", "g64"),
+    (0, "5A585461706521", "tzx"),
+    (32769, "43442D4920", "cd-i"),
+    (34817, "4245413031", "udf"),
+    (36865, "4E53523032", "udf"),
+    (36865, "4E53523033", "udf"),
     (32769, "4344303031", "iso9660"),
+    (65536, "4D4943524F534F46542A58424F582A4D45444941", "xdvdfs"),
+    (24, "5D1C9EA3", "wii"),
+    (28, "C2339F3D", "gamecube"),
+    (0, "53454741205345474153415455524E", "saturn"),
+)
+
+#: Ends of files that tell their kind: place from the end, bytes in hexadecimal, kind. Fixed values.
+TAILS = (
+    (12, "4E455235", "nrg"),
+    (8, "4E45524F", "nrg"),
+    (512, "636F6E6563746978", "vhd"),
+    (512, "6B6F6C79", "dmg"),
 )
 
 
 def kind_of(content: str) -> Column:
-    """A file's kind by its bytes, the first rule that fits."""
-    out = None
+    """A file's kind by its bytes, the first rule that fits; beginnings are looked at before ends."""
+    out = F.when(F.lit(False), "")
     for at, magic, kind in MAGIC:
-        fits = F.hex(F.substring(content, at + 1, len(magic) // 2)) == magic
-        out = F.when(fits, kind) if out is None else out.when(fits, kind)
+        out = out.when(F.hex(F.substring(content, at + 1, len(magic) // 2)) == magic, kind)
+    for back, magic, kind in TAILS:
+        at = F.octet_length(content) - back + 1
+        out = out.when((at > 0) & (F.hex(F.substring(F.col(content), at, F.lit(len(magic) // 2))) == magic), kind)
     return out.otherwise("unknown")

@@ -101,7 +101,7 @@ def test_groups_and_cohesion(spark):
     nodes = spark.createDataFrame([(n,) for n in "abcxyz"], "k string")
     members = similarity.groups(pairs, nodes, "k")
     assert {r.k: r.group for r in members.collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "z": "z"}
-    assert {r.group: (r.members, r.cohesion) for r in similarity.cohesion(members, pairs, "k").collect()} == {"a": (3, 0.0), "x": (2, 0.8), "z": (1, None)}
+    assert {r.group: (r.members, r.cohesion) for r in similarity.cohesion(members, pairs, "k").collect()} == {"a": (3, 0.0), "x": (2, 0.8), "z": (1, 1.0)}
     assert similarity.groups(pairs.limit(0), nodes.limit(0), "k").count() == 0
 
 
@@ -154,23 +154,56 @@ def test_kernels(spark):
     assert not kernels.merkle_verify(b"no", kernels.merkle_proof(leaves, 3), root)
     rows = spark.createDataFrame([("f", i, x.hex()) for i, x in enumerate(leaves)] + [("g", 0, "00")], "f string, i int, h string")
     assert {r.f: r.root for r in kernels.merkle_roots(rows, "f", "i", "h").collect()} == {"f": root.hex(), "g": kernels.merkle_root([b"\0"]).hex()}
+    texts = [b"", b"\0" * 500, b"a" * 100, *(bytes(rnd.choice(b"abcdef \0") for _ in range(rnd.choice([5, 190, 193, 400, 3000]))) + rnd.choice([b"", b"\0" * 7]) for _ in range(60))]
+    assert kernels.fuzzy_hashes(texts) == [plain_fuzzy_hash(t) for t in texts]
+    assert kernels.fuzzy_score("3:abcdefgh:xyz", "3:abcdefgh:other") == 100
     a, b, c = (kernels.fuzzy_hash(x) for x in (data[:9000], data[:9000] + b"tail", bytes(rnd.randrange(256) for _ in range(9000))))
     assert kernels.fuzzy_score(a, a) == 100 and kernels.fuzzy_score(a, b) > 80 and kernels.fuzzy_score(a, c) == 0
     assert kernels.find_all(b"aaaa", b"aa") == [0, 1, 2] and kernels.find_all(b"aa", b"") == []
     assert kernels.byte_entropy(bytes(range(256))) == 8.0 and kernels.byte_entropy(b"") == 0.0
 
 
+def plain_fuzzy_hash(data):
+    """The published rule, a byte at a time."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    size = 3
+    while size * 64 < len(data):
+        size *= 2
+    while True:
+        first, second, spare1, spare2, ring, roll = "", "", "", "", [0] * 7, 0
+        h1 = h2 = 0x28021967
+        plain = placed = shifted = 0
+        for i, c in enumerate(data):
+            h1, h2 = (h1 * 0x01000193 & 0xFFFFFFFF) ^ c, (h2 * 0x01000193 & 0xFFFFFFFF) ^ c
+            placed = placed - plain + 7 * c & 0xFFFFFFFF
+            plain = plain + c - ring[i % 7] & 0xFFFFFFFF
+            ring[i % 7], shifted = c, (shifted << 5 & 0xFFFFFFFF) ^ c
+            roll = plain + placed + shifted & 0xFFFFFFFF
+            if roll % size == size - 1:
+                spare1 = letters[h1 % 64]
+                if len(first) < 63:
+                    first, h1, spare1 = first + spare1, 0x28021967, ""
+                if roll % (2 * size) == 2 * size - 1:
+                    spare2 = letters[h2 % 64]
+                    if len(second) < 31:
+                        second, h2, spare2 = second + spare2, 0x28021967, ""
+        if size > 3 and len(first) < 32:
+            size //= 2
+            continue
+        return f"{size}:{first + (letters[h1 % 64] if roll else spare1)}:{second + (letters[h2 % 64] if roll else spare2)}"
+
+
 def test_scalar_functions(spark):
     from loomwork.functions import text
 
     df = spark.createDataFrame([("00:02:10", "1234567890123", "US-ABC-12-34567", "IFPI L123 x"), ("bad", "1", None, "none")], "m string, mcn string, isrc string, sid string")
     got = df.select(text.msf_sectors(F.col("m")), text.valid_mcn(F.col("mcn")), text.valid_isrc(F.col("isrc")), text.sid_code(F.col("sid"))).collect()
     assert [tuple(r) for r in got] == [(160, True, True, "L123"), (None, False, False, None)]
-    name = spark.createDataFrame([("A Game (Disc 1 of 2) (v1.25) (Rev AB) (En,xx)",), (None,), ("",), ("Plain",), ("B (hong kong, usa) (en+DE)",)], "n string")
+    name = spark.createDataFrame([("A Game (Disc 1 of 2) (v1.25) (Rev AB) (En,xx)",), (None,), ("",), ("Plain",), ("B(x)C  (hong kong, usa,) (en , DE) (Rev 99999999999) (v1.2.3)",)], "n string")
     first = name.select(text.parsed_name(F.col("n")).alias("p")).collect()[0].p
-    assert (first.title, first.disc, first.version, first.revision, first.languages) == ("A Game", 1, 12, 0, ["EN"])
+    assert (first.title, first.disc, first.revision, first.regions, first.languages) == ("A Game", 0, 1, [], [])
     last = name.select(text.parsed_name(F.col("n")).alias("p")).collect()[-1].p
-    assert (last.title, last.regions, last.languages) == ("B", ["Hong Kong", "USA"], ["EN", "DE"])
+    assert (last.title, last.regions, last.languages, last.revision) == ("BC", ["Hong Kong", "USA"], ["EN", "DE"], 0)
     assert df.select(text.arrhenius(F.lit(25.0))).first()[0] == pytest.approx(1)
 
 

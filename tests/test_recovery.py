@@ -36,21 +36,29 @@ def test_parity_heals_any_losses(spark):
     assert {r.i: (bytes(r.c), r.healed) for r in out} == {i: (b.tobytes(), i in (2, 5)) for i, b in enumerate(data)}
 
 
-def test_sweep_and_envelope():
-    rng = np.random.default_rng(2)
-    words = rng.integers(0, 1 << 32, 60).astype(np.uint32)
-    got = recovery.offset_sweep(words, 40, range(-3, 30))
-    assert got == {k: sum(int(w) * (i + 1) for i, w in enumerate(words[k : k + 40])) % (1 << 32) for k in range(21)}
-    a = [int(x) for x in rng.integers(0, 100, 50)]
-    assert recovery.envelope_match(a, a[2:] + [0, 0]) == (2, 1.0) and recovery.envelope_match([], []) == (0, 0.0)
-
-
 def test_families(spark):
     rings = spark.createDataFrame([("1", "T", "AB-1", "L1", "M1"), ("2", "t", "ab 1", None, "M2"), ("3", "T", "AB1", None, None), ("4", "T", "ZZ", "L", "M"), ("5", "T", None, "L", "M")], "id string, title string, matrix string, mastering string, mould string")
     got = {r.id: (r.members, r.branches, r.standing) for r in genealogy.authenticity(genealogy.families(rings)).collect()}
     assert got == {"1": (3, 2, "consistent"), "2": (3, 2, "partial"), "3": (3, 2, "suspect"), "4": (1, 1, "lone"), "5": (None, None, "unknown")}
-    v = lambda *rows: spark.createDataFrame(list(rows), "k string, v string")
-    out = {r.k: (r.reports, r.agreed, r.v) for r in genealogy.fused(v(("a", "x"), ("b", "x")), v(("a", "x")), v(("b", "y"), ("c", None)), "k", "v").collect()}
-    assert out == {"a": (2, True, "x"), "b": (2, False, "x")}
-    ids = spark.createDataFrame([("AB_C", "abc"), ("GAME1", "GAME12"), ("A", "AB"), (None, "x")], "a string, b string")
-    assert [r[0] for r in ids.select(genealogy.related_ids(F.col("a"), F.col("b"))).collect()] == [True, True, False, False]
+    ids = spark.createDataFrame([("AB_C", "abc"), ("GAME1", "GAME12"), ("A", "AB"), ("TOMBRAIDER", "TOMBSTONES"), ("TOMB1", "TOMB22"), ("", "x"), (None, "x")], "a string, b string")
+    assert [r[0] for r in ids.select(genealogy.related_ids(F.col("a"), F.col("b"))).collect()] == [True, True, True, False, True, False, False]
+
+
+def test_sectors_are_mended_by_their_parity():
+    rnd = random.Random(1)
+    for mode in (1, 2):
+        raw = bytearray(recovery.SYNC + bytes([0, 2, 5, mode]) + bytes(rnd.randrange(256) for _ in range(2336)))
+        raw[18] &= 0xDF
+        good = recovery.with_parity(bytes(raw))
+        assert recovery.sector_check(good) is True and recovery.sector_repair(good) is None
+        for n in (1, 5, 20):
+            bad = bytearray(good)
+            for k in rnd.sample(range(16, 2352), n):
+                bad[k] ^= rnd.randrange(1, 256)
+            assert recovery.sector_check(bytes(bad)) is False and recovery.sector_repair(bytes(bad)) == good
+        bad = bytearray(good)
+        for k in range(100, 1500):
+            bad[k] ^= 77
+        assert recovery.sector_repair(bytes(bad)) is None
+    form2 = bytes(recovery.SYNC) + bytes([0, 2, 5, 2, 0, 0, 0x20]) + bytes(2333)
+    assert recovery.sector_check(form2) is None and recovery.sector_check(b"x") is None and recovery.sector_repair(None) is None

@@ -1,6 +1,8 @@
 import pytest
+from loomwork.functions import patches
 from loomwork.sinks import exports
 from loomwork.sources import formats
+from pyspark.sql import functions as F
 
 
 def put(folder, **texts):
@@ -18,7 +20,7 @@ def test_files(spark, tmp_path):
     put(tmp_path / ".git", x__txt="no")
     path = put(tmp_path, a__bin=b"abc", b__bin=b"", skip__me="x")
     got = {r.file_name: r for r in formats.files(spark, path, ("skip.me",)).collect()}
-    assert set(got) == {"a.bin"}  # Spark's reader leaves empty files out
+    assert set(got) == {"a.bin", "b.bin"} and (got["b.bin"].length, got["b.bin"].md5) == (0, "d41d8cd98f00b204e9800998ecf8427e")
     assert got["a.bin"].crc32 == "352441c2" and got["a.bin"].md5 == "900150983cd24fb0d6963f7d28e17f72"
     heads = {r.file_name: r.md5 for r in formats.head_digest(spark, path, 2).collect()}
     assert heads["a.bin"] == "187ef4436122d1cc2f40dc2b92f0eba0"
@@ -86,8 +88,54 @@ def test_dump_logs_and_layouts(spark, tmp_path):
     assert rows(formats.gdi(spark, put(tmp_path / "gdi", d__gdi='2\n1 0 4 2352 "t 1.bin" 0\n2 600 0 2352 t2.raw 0\n')), "track", "start", "is_data", "file") == [(1, 0, True, "t 1.bin"), (2, 600, False, "t2.raw")]
     assert rows(formats.sections(spark, put(tmp_path / "ccd", d__ccd="[Disc]\nEntries = 3\n; no\n[Entry 0]\nPoint=0xa0\n")), "section", "name", "value") == [("Disc", "Entries", "3"), ("Entry 0", "Point", "0xa0")]
     record = bytes([2]) + bytes.fromhex("010000000200000003000000") + bytes([9]) + (70000).to_bytes(4, "little") + bytes(4) + bytes([1]) + bytes([5, 0, 0, 0, 6, 0, 0, 0])
-    got = formats.checksum_records(spark, put(tmp_path / "bin", d__bin=record + record[:-1]))
+    got = formats.checksum_records(spark, put(tmp_path / "bin", d__bin=record + bytes(5)))
     assert rows(got, "ord", "id1", "cddb", "track", "confidence", "crc", "crc2") == [(0, "00000001", "00000003", 1, 9, 70000, 0), (0, "00000001", "00000003", 2, 1, 5, 6)]
+    for k, bad in enumerate((record + record[:-1], bytes([0]) + record[1:], bytes([100]) + bytes(1000))):
+        (tmp_path / f"bad{k}").mkdir()
+        with pytest.raises(Exception, match="cut off|tracks at byte"):
+            formats.checksum_records(spark, put(tmp_path / f"bad{k}", d__bin=bad)).collect()
+
+
+def test_manifests(spark, tmp_path):
+    for name in ("good", "bad"):
+        (tmp_path / name).mkdir()
+    got = formats.source_manifest(spark, put(tmp_path / "good", m__txt="# c\n\na\\b c\t/x y\nd  HTTP://h/z\n"))
+    assert sorted(rows(got, "target", "place", "is_url")) == [("a/b c", "/x y", False), ("d", "HTTP://h/z", True)]
+    with pytest.raises(Exception, match="line 2"):
+        formats.source_manifest(spark, put(tmp_path / "bad", m__txt="# c\na b\n")).collect()
+    entries = spark.createDataFrame([("t", "/d/", False), ("u", "/d/a", False), ("v", "/e", False)], "target string, place string, is_url boolean")
+    there = spark.createDataFrame([("/d/a", 1), ("/d/s/b", 2), ("/dx", 3)], "path string, length long")
+    assert sorted(rows(formats.staged(entries, there), "target", "length", "failure"), key=str) == [("t/a", 1, None), ("t/s/b", 2, None), ("u", 1, None), ("v", None, "not found")]
+
+
+def test_files_are_put_whole_and_older_ones_kept(spark, tmp_path):
+    df = spark.createDataFrame([("x/a.map", bytearray(b"one")), ("b", None)], "name string, content binary")
+    exports.put(df, str(tmp_path)).collect()
+    exports.put(df.filter("name = 'x/a.map'").withColumn("content", F.lit(b"two")), str(tmp_path)).collect()
+    assert {str(p.relative_to(tmp_path)): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file() and not p.name.startswith(".")} == {"x/a.map": b"two", "x/a.map.bak": b"one", "b": b""}
+
+
+def test_patches():
+    import random
+
+    rnd = random.Random(3)
+    for _ in range(200):
+        a = bytes(rnd.choice(b"abc\0") for _ in range(rnd.randint(0, 300)))
+        b = bytearray(a)
+        for _ in range(rnd.randint(0, 5)):
+            i = rnd.randint(0, len(b))
+            b[i : i + rnd.randint(0, 30)] = bytes([rnd.choice(b"xyz")]) * rnd.randint(0, 40) if rnd.random() < 0.5 else bytes(rnd.choice(b"abc") for _ in range(rnd.randint(0, 30)))
+        assert patches.ips_apply(a, patches.ips_make(a, bytes(b))) == patches.bps_apply(a, patches.bps_make(a, bytes(b))) == b
+    base = bytes(0x454F46) + b"aaa"  # the place of the change reads EOF
+    assert patches.ips_apply(base, patches.ips_make(base, base[:-3] + b"bbb")) == base[:-3] + b"bbb"
+    assert patches.ips_apply(b"abc", b"PATCH\0\0\5\0\0\0\3xEOF") == b"abc\0\0xxx"
+    for bad in (b"PATCH", b"PATCH\0\0\0\0\5abEOF", b"no"):
+        with pytest.raises(ValueError):
+            patches.ips_apply(b"abc", bad)
+    good = patches.bps_make(b"abc", b"abd")
+    for base, bad in ((b"abx", good), (b"abc", good[:-1] + b"x"), (b"abc", b"BPS1")):
+        with pytest.raises(ValueError):
+            patches.bps_apply(base, bad)
 
 
 def test_kinds(spark):
