@@ -121,10 +121,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return prints.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of docs, with all their columns: of each component the document that names it; rows that repeat key and text count as one, rows without a key all stay."""
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", found: DataFrame | None = None) -> DataFrame:
+    """Rows of docs, with all their columns: of each component the document that names it; rows that repeat key and text count as one, rows without a key all stay. found: key and component_id, near_duplicates of docs unless given."""
     names = docs.columns
-    found = near_duplicates(docs, key, text)
+    found = near_duplicates(docs, key, text) if found is None else found
     stay = found.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("stays")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("h"), F.octet_length(text).alias("n"))
     first = rows.filter("k IS NOT NULL").join(stay, F.col("k") == F.col("stays"), "left_semi").groupBy("k", "h", "n").agg(F.first("row").alias("row"))

@@ -9,24 +9,30 @@ from tokenizers import Tokenizer
 from .test_decontamination import TRAIN
 from .test_language import SYLLABLES, made
 from .test_lines import brute
-from .test_simhash import fingerprint, groups
+from .test_near_copies import alike, plain
+from .test_simhash import groups
+
+
+def edited(rnd, lang, text):
+    """Most lines of a text with a word changed in each, so that no line repeats."""
+    return "\n".join(" ".join([made(lang, rnd, 1), *line.split(" ")[1:]]) for line in text.split("\n"))
 
 
 def test_against_brute_force(spark, tmp_path):
     rnd = random.Random(9)
     langs = {i: rnd.choice(list(SYLLABLES)) for i in range(60)}
     rows = [(i, "\n".join(made(k, rnd, 12) for _ in range(6))) for i, k in langs.items()]
-    rows += [(100, rows[3][1]), (101, rows[3][1] + " x"), (102, "\n".join(["own one", *rows[5][1].split("\n")[1:5], "own two"])), (103, made("aa", rnd, 50) + " " + TRAIN), (104, None), (105, "12 34"), (106, "")]
+    rows += [(100, rows[3][1]), (101, rows[3][1] + " x"), *((110 + k, edited(rnd, langs[k], rows[k][1])) for k in range(10)), (102, "\n".join(["own one", *rows[5][1].split("\n")[1:5], "own two"])), (103, made("aa", rnd, 50) + " " + TRAIN), (104, None), (105, "12 34"), (106, "")]
     table = spark.createDataFrame([(i, t, langs.get(i), "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     table.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, TRAIN)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     left = [(i, t) for i, t in rows if language.letters_of(t or "").any()]
     left = [(int(i), t) for i, t, _, _ in brute(left, 3)]
-    prints = {i: fingerprint(t) for i, t in left}
-    name = groups(sorted(set(prints.values())), lambda a, b: (a ^ b).bit_count() <= 2)
+    sets = {i: plain(t) for i, t in left}
+    name = groups(sorted(sets), lambda a, b: alike(sets[a], sets[b]))
     firsts = {}
-    for i, f in sorted(prints.items()):
-        firsts.setdefault(name[f], i)
+    for i, g in sorted(name.items()):
+        firsts.setdefault(g, i)
     want = {i: t for i, t in left if i in firsts.values() and i != 103}
     theirs = Tokenizer.from_file(BYTE_BPE)
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
