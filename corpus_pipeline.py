@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, decontamination, language, lines, simhash
+from loomwork.llm import bpe, decontamination, language, lines, near_copies, simhash
 from loomwork.llm.batches import table
 from loomwork.llm.queries import BYTE_BPE
 
@@ -34,8 +34,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8; one document of each group stays."""
-    return simhash.one_of_each(docs)
+    """Operator 8's masks, over five-word shingles at a similarity of 0.8 or more; one document of each group stays."""
+    return simhash.one_of_each(docs, found=near_copies.groups(docs))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
