@@ -196,17 +196,21 @@ def manifest_check(manifest: DataFrame, found: DataFrame, key: str = "path", dig
     return met.select(key, F.col("_p").isNotNull().alias("found"), F.when(F.col("_p").isNotNull(), F.col(digest).eqNullSafe(F.col("_h"))).alias("matches"))
 
 
+#: The longest mark of a path's end, in letters: what file systems allow a path.
+MOST_SUFFIX = 4096
+
+
 def signature_match(files: DataFrame, marks: DataFrame) -> DataFrame:
     """Products whose marks (product, kind, mark, strong) files (path) carry: kind file or directory (a whole path part), extension, or string of the path's end.
 
-    confidence is high with a strong mark, medium with two others, low with one. Suffix marks join by their length, so every kind is an equi-join.
+    confidence is high with a strong mark, medium with two others, low with one. Suffix marks join by their length, so every kind is an equi-join; a suffix is of MOST_SUFFIX letters at most, longer than paths are.
     """
     path = F.lower(F.translate("path", "\\", "/"))
     parts = files.select(path.alias("p")).distinct().withColumn("parts", F.split("p", "/"))
     leaf = F.element_at("parts", -1)
     probes = parts.select(F.explode(F.array_union(F.array(F.struct(F.lit("file").alias("kind"), leaf.alias("m")), F.struct(F.lit("extension").alias("kind"), F.when(leaf.contains("."), F.substring_index(leaf, ".", -1)).alias("m"))), F.transform(F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))), lambda x: F.struct(F.lit("directory").alias("kind"), x.alias("m"))))).alias("x")).select("x.*")
-    lengths = marks.filter("kind = 'suffix'").select(F.length("mark").alias("n")).distinct()
-    ends = parts.select("p").crossJoin(F.broadcast(lengths)).select(F.lit("suffix").alias("kind"), F.expr("right(p, n)").alias("m"))  # as many rows a path as suffix marks have lengths
+    lengths = sorted(r["n"] for r in marks.filter("kind = 'suffix'").select(F.length("mark").alias("n")).distinct().filter(f"n BETWEEN 1 AND {MOST_SUFFIX}").collect())  # MOST_SUFFIX numbers at most
+    ends = parts.select(F.lit("suffix").alias("kind"), F.explode(F.array(*(F.expr(f"right(p, {n})") for n in lengths)) if lengths else F.array().cast("array<string>")).alias("m"))
     met = probes.unionByName(ends).distinct().join(marks.select("product", "kind", F.lower("mark").alias("m"), "strong"), ["kind", "m"])
     each = met.groupBy("product").agg(F.count_if("strong").alias("n_strong"), F.count_if(~F.col("strong")).alias("n_other"))
     return each.select("product", "n_strong", "n_other", F.when(F.col("n_strong") > 0, "high").when(F.col("n_other") > 1, "medium").otherwise("low").alias("confidence"))

@@ -163,6 +163,64 @@ def test_kernels(spark):
     assert kernels.byte_entropy(bytes(range(256))) == 8.0 and kernels.byte_entropy(b"") == 0.0
 
 
+def test_chunks_by_the_plain_rule():
+    import random
+
+    from loomwork.functions import kernels
+
+    rnd = random.Random(4)
+    assert [int(n) for n in kernels.gear(0)[:3]] == [0xE220A8397B1DCDAF, 0x6E789E6AA1B965F4, 0x06C45D188009454F]  # the generator's published first numbers from 0
+
+    def plain(c, data):
+        out, at = [], 0
+        while at < len(data):
+            d = data[at : at + c.most]
+            end, h = len(d), 0
+            for i in range(c.least, len(d) if len(data) - at > c.least else 0):
+                h = (2 * h + int(c.gear[d[i]])) % (1 << 64)
+                if not h & int(c.strict if i < min(c.average, len(d)) else c.loose):
+                    end = i
+                    break
+            at += end
+            out.append(at)
+        return out
+
+    for k in range(40):
+        c = kernels.Chunker(*rnd.choice([(128, 512, 2048), (16, 64, 200), (2048, 8192, 65536)]))
+        data = bytes(rnd.randrange(256) for _ in range(rnd.choice([0, 5, 16, 17, 129, 3000, 20000])))
+        assert c.cuts(data) == plain(c, data)
+
+
+def test_trees_and_bins_by_plain_rules():
+    import random
+
+    import pandas as pd
+    from loomwork.operators import similarity
+
+    rnd = random.Random(5)
+    for _ in range(30):
+        names = [f"n{i}" for i in range(rnd.randint(2, 9))]
+        d = {(a, b): rnd.choice([0.1, 0.25, 0.5, 0.75]) for i, a in enumerate(names) for b in names[i + 1 :] if rnd.random() < 0.6}
+        got = similarity._upgma(pd.DataFrame([(a, b, x) for (a, b), x in d.items()], columns=["a", "b", "distance"]))
+        members, want = {n: [n] for n in {x for p in d for x in p}}, []
+        while len(members) > 1:
+            far = lambda a, b: sum(d.get((min(x, y), max(x, y)), 1.0) for x in members[a] for y in members[b]) / len(members[a]) / len(members[b])
+            h, a, b = min((round(far(a, b), 9), a, b) for a in members for b in members if a < b)
+            members[a] += members.pop(b)
+            want.append((a, b, h / 2, len(members[a])))
+        assert [(r.left, r.right, r.leaves) for r in got.itertuples()] == [(a, b, n) for a, b, _, n in want]
+        assert got["height"].tolist() == pytest.approx([h for _, _, h, _ in want], abs=1e-8)
+        items = pd.DataFrame([(f"i{k}", rnd.randint(1, 120)) for k in range(rnd.randint(1, 40))], columns=["item", "size"])
+        free, bins = [], {}
+        for item, size in sorted(items.itertuples(index=False), key=lambda x: (-x[1], x[0])):
+            k = next((i for i, f in enumerate(free) if f >= size + 3), len(free)) if size + 3 <= 100 else None
+            if k is not None:
+                free += [100] * (k == len(free))
+                free[k] -= size + 3
+            bins[item] = None if k is None else k + 1
+        assert {r.item: None if pd.isna(r.bin) else r.bin for r in similarity._packed(100, 3)(items).itertuples()} == bins
+
+
 def plain_fuzzy_hash(data):
     """The published rule, a byte at a time."""
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
