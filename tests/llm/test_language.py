@@ -70,3 +70,16 @@ def test_nothing_to_learn_from(spark):
     assert own == () and {r.lang_pred for r in language.predict(table, own).collect()} == {"und"}
     assert language.in_learned_language(table, own).count() == len(ODD) - 3
     assert language.predict(docs(spark, []), own).count() == 0
+
+
+def test_what_the_pipeline_s_rule_drops_at_each_size(spark):
+    """Texts in no learned language go from LEAST_LETTERS letters on, whatever their length; shorter ones, which can't be told, and texts in a learned language stay."""
+    rnd = random.Random(5)
+    own = samples(rnd)
+    drawn = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzçéè") for _ in range(n))
+    sizes = (1, 5, 20, 39, 40, 41, 80, 400, 20_000)
+    rows = [(i, drawn(n)) for i, n in enumerate(sizes)] + [(100 + i, "".join(chr(0x4E00 + rnd.randrange(900)) for _ in range(n))) for i, n in enumerate(sizes)]
+    rows += [(200 + 10 * i + k, made(lang, rnd, n)) for i, n in enumerate((1, 2, 10, 40, 400)) for k, lang in enumerate(SYLLABLES)]
+    stay = {r.doc_id for r in language.in_learned_language(docs(spark, rows), own).collect()}
+    few = {i for i, n in enumerate(sizes) if n < language.LEAST_LETTERS}
+    assert stay == few | {100 + i for i in few} | {i for i, _ in rows if i >= 200}
