@@ -83,8 +83,10 @@ def v10_attestations(att: DataFrame) -> DataFrame:
     return validation.attestation_summary(att, "g", "ok")
 
 
+#: A source reads a sector once; orders may repeat a line's number.
 READS = """SELECT l_suppkey AS disc, l_partkey AS lba, l_orderkey * 10 + l_linenumber AS source, CASE WHEN l_quantity > 3 THEN concat(CASE WHEN l_partkey % 7 = 0 THEN 'FF' WHEN l_returnflag = 'R' THEN '0A' ELSE '0B' END,
- CASE WHEN l_linenumber % 3 = 0 THEN '11' ELSE '12' END, CASE WHEN l_tax > 0.04 THEN '77' ELSE '78' END, CASE WHEN l_quantity > 40 THEN '0A' WHEN l_quantity > 30 THEN '0B' ELSE '0C' END) END AS content FROM lineitem"""
+ CASE WHEN l_linenumber % 3 = 0 THEN '11' ELSE '12' END, CASE WHEN l_tax > 0.04 THEN '77' ELSE '78' END, CASE WHEN l_quantity > 40 THEN '0A' WHEN l_quantity > 30 THEN '0B' ELSE '0C' END) END AS content
+ FROM (SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber, max(l_quantity) AS l_quantity, max(l_tax) AS l_tax, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY l_suppkey, l_partkey, l_orderkey, l_linenumber) AS li"""
 KNOWN = "SELECT l_suppkey AS disc, l_partkey AS lba, l_orderkey * 10 + l_linenumber AS source FROM lineitem WHERE l_orderkey % 17 = 0"
 CONFIRMED = "SELECT l_suppkey AS disc, l_partkey AS first, l_partkey + 1 AS last, l_orderkey * 10 + l_linenumber AS source FROM lineitem WHERE l_orderkey % 40 = 1"
 #: In SQL, of a content c: valid if its first and last bytes are equal, unknown if it begins with FF; mended by setting the last byte if the second is 12.
