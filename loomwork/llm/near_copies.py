@@ -3,7 +3,7 @@
 SimHash fingerprints can't reach so far: texts at a similarity of 0.8 differ in about 10 of 64 bits, and masks that cover 10 bits make 2,047 tables.
 So the masks of the SimHash operator (`simhash.masks`) go, besides over the bits of a fingerprint, over min-wise samples of the shingles, of which texts at 0.8 share 8 in 10:
 GROUPS groups of seven samples have seven tables each, and each pair that differs in two samples of a group or fewer meets in one of its tables,
-for certain. At 0.8 that fails in all four groups once in some 2,000 pairs.
+for certain. At just 0.8 that fails in all groups, and with the fingerprint, once in some 300 pairs; nearer pairs meet oftener, and a group of several copies is held together by any of its pairs.
 
 Documents of equal sets are one class. Classes that meet in a bucket are candidates: all pairs of a bucket of up to SMALL classes, and in larger ones each class with
 three pivots. Candidates whose samples or sizes are too far apart for the similarity are put aside, and the others are compared by their whole sets. What is similar is
@@ -25,17 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import TextSlice, frugal, id_text, mixed, objects, span_hashes, text_slices, window_hashes, word_spans
+from .batches import TextSlice, frugal, id_text, mixed, span_hashes, text_slices, window_hashes, word_spans
 from .components import components
 from .shared import join_spread, kept
 from .simhash import _LOWER, _signed, masks
 
 WORDS = 5
 SIMILARITY = 0.8
-GROUPS = 4
+GROUPS = 3
 SMALL = 16
 #: Classes that a task holds of each side where those left apart meet the others of a bucket.
 BLOCK = 2048
+#: Classes whose list, 16 bytes each, is broadcast at most.
+FEW_CLASSES = 500_000
 SEED = 8
 #: Samples of a group, one for each vector of three bits but zero, and what each of its tables keeps.
 _KEPT = [[i for i in range(7) if m >> i & 1] for m in masks()]
@@ -72,7 +74,7 @@ def signatures(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Of each row two sums that name its set, its samples, and its keys in all tables: those of the groups, then those of its fingerprint."""
     size = np.diff(first)
     some = np.flatnonzero(size)
-    names = np.stack([_sums(mixed(h ^ np.uint64(k)), first, np.add, some) for k in (1, 2)], axis=1)
+    names = _names(h, first)
     seeds = mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64) + np.uint64(SEED << 32))
     samples = np.stack([_sums(mixed(h ^ x), first, np.minimum, some) for x in seeds], axis=1)
     keys = []
@@ -89,33 +91,57 @@ def signatures(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
         bits = np.unpackbits(h[lo:hi].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones[part] = np.add.reduceat(bits, first[:-1][part] - lo, axis=0, dtype=np.int64)
     prints = np.packbits(ones * 2 > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    keys += [prints & np.uint64(m) for m in masks()]
+    keys += [mixed((prints & np.uint64(m)) ^ mixed(np.array([7 * GROUPS + t + 1], np.uint64))) for t, m in enumerate(masks())]
     return names, samples, np.stack(keys, axis=1)
 
 
-def sets_of(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """key, class (16 bytes), size, keys of tables, samples (the lower four bytes of each) and the whole set (eight bytes a hash, in order), one row per row of docs."""
-    fields = [("key", pa.int64()), ("class", pa.binary()), ("size", pa.int64()), ("tables", pa.list_(pa.int64())), ("samples", pa.binary()), ("hashes", pa.binary())]
+def _names(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Two sums that name each row's set."""
+    some = np.flatnonzero(np.diff(first))
+    return np.stack([_sums(mixed(h ^ np.uint64(k)), first, np.add, some) for k in (1, 2)], axis=1)
+
+
+def _binary(rows) -> pa.Array:
+    return pa.array([r.tobytes() for r in rows], pa.binary())
+
+
+def signatures_of(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """key, class (16 bytes), id (its first eight as a number), size, keys of tables, and samples (the lower four bytes of each), one row per row of docs."""
+    fields = [("key", pa.int64()), ("class", pa.binary()), ("id", pa.int64()), ("size", pa.int64()), ("tables", pa.list_(pa.int64())), ("samples", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in text_slices(batch.column(1)):
                 h, first = shingles(s, words)
                 names, samples, tables = signatures(h, first)
-                size, low = np.diff(first), samples.astype("<u4")
+                size = np.diff(first)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(size, tables.shape[1], 0))]).astype(np.int32)), pa.array(tables[size > 0].view(np.int64).ravel()))
-                binary = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.rows), binary(names), pa.array(size.astype(np.int64)), lists, binary(low), pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], schema=pa.schema(fields))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.rows), _binary(names), pa.array(np.ascontiguousarray(names[:, 0]).view(np.int64)), pa.array(size.astype(np.int64)), lists, _binary(samples.astype("<u4"))], schema=pa.schema(fields))
+
+    return id_text(docs, key, text).mapInArrow(frugal(run), "key long, class binary, id long, size long, tables array<long>, samples binary")
+
 
-    return id_text(docs, key, text).mapInArrow(frugal(run), "key long, class binary, size long, tables array<long>, samples binary, hashes binary")
+def sets_of(docs: DataFrame, some: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
+    """class and hashes, the whole set (eight bytes a shingle, in order), of some classes, from the texts themselves: so sets of classes that meet none are never stored. The list of classes is broadcast up to FEW_CLASSES of them, and joined beyond."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in text_slices(batch.column(0)):
+                h, first = shingles(s, words)
+                yield pa.RecordBatch.from_arrays([_binary(_names(h, first)), pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], names=["class", "hashes"])
+
+    whole = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(frugal(run), "class binary, hashes binary")
+    some = kept(some)
+    met = whole.join(F.broadcast(some) if some.count() <= FEW_CLASSES else some, "class", "left_semi")
+    return kept(met.groupBy("class").agg(F.first("hashes").alias("hashes")))
 
 
 def meetings(nodes: DataFrame) -> DataFrame:
-    """class, t, k, m of all rows of buckets of m classes, two at least, and three pivots x, y, z of the bucket: its first classes by three orders, so that buckets of much the same classes have the same."""
-    rows = nodes.select("class", F.posexplode("tables").alias("t", "k"))
-    third = F.min(F.struct(F.xxhash64("class"), "class")).getField("class")
-    buckets = rows.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("class").alias("x"), F.max("class").alias("y"), third.alias("z")).filter("n > 1")
-    return join_spread(rows, buckets.withColumn("m", F.col("n")), ["t", "k"], ["class"])
+    """id, k, m of all rows of buckets k of m classes, two at least, and three pivots x, y, z of the bucket: its first classes by three orders, so that buckets of much the same classes have the same."""
+    rows = nodes.select("id", F.explode("tables").alias("k"))
+    third = F.min(F.struct(F.xxhash64("id").alias("h"), "id")).getField("id")
+    buckets = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y"), third.alias("z")).filter("n > 1")
+    return join_spread(rows, buckets.withColumn("m", F.col("n")), ["k"], ["id"])
 
 
 def _once(pairs: DataFrame) -> DataFrame:
@@ -123,9 +149,9 @@ def _once(pairs: DataFrame) -> DataFrame:
 
 
 def candidates(met: DataFrame, small: int) -> DataFrame:
-    """Pairs a, b of classes that meet: all of buckets of `small` classes or fewer, and each class of larger ones with the pivots. b is the one that many may meet."""
-    stars = met.filter(F.col("m") > small).select(F.col("class").alias("a"), F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("b")).filter("a <> b")
-    lists = met.filter(F.col("m") <= small).groupBy("t", "k").agg(F.array_sort(F.collect_list("class")).alias("l"))
+    """Pairs a, b of ids that meet: all of buckets of `small` classes or fewer, and each class of larger ones with the pivots. b is the one that many may meet."""
+    stars = met.filter(F.col("m") > small).select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("b")).filter("a <> b")
+    lists = met.filter(F.col("m") <= small).groupBy("k").agg(F.array_sort(F.collect_list("id")).alias("l"))
     pairs = lists.select(F.explode(F.expr("flatten(transform(l, x -> transform(filter(l, y -> y < x), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.*")
     return _once(stars.unionByName(pairs))
 
@@ -135,8 +161,8 @@ def _shared(similarity: float) -> float:
     return SAMPLES * similarity - 4.5 * np.sqrt(SAMPLES * similarity * (1 - similarity))
 
 
-def verified(pairs: DataFrame, base: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Those of pairs a, b whose whole sets are similar: first by size and samples, then by the sets themselves. base: class and hashes of all rows; nodes: class, size, and samples."""
+def verified(pairs: DataFrame, docs: DataFrame, text: str, words: int, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Classes a, b of those pairs of ids whose whole sets are similar: first by size and samples, then by the sets themselves. nodes: class, id, size, and samples. Classes that share an id are all compared."""
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -153,13 +179,13 @@ def verified(pairs: DataFrame, base: DataFrame, nodes: DataFrame, similarity: fl
         return pd.Series(out, dtype=bool)
 
     pairs = kept(pairs)
-    side = lambda c: nodes.select(F.col("class").alias(c), F.col("size").alias(f"{c}_size"), F.col("samples").alias(f"{c}_samples"))
+    side = lambda c: nodes.select(F.col("id").alias(c), F.col("class").alias(f"{c}_class"), F.col("size").alias(f"{c}_size"), F.col("samples").alias(f"{c}_samples"))
     often = lambda df: df.groupBy("b").agg(F.count("*").alias("n"))
     both = join_spread(pairs.join(side("a"), "a"), side("b").join(often(pairs), "b"), ["b"], ["a"])
     alike = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-9
-    left = kept(both.filter(alike & near("a_samples", "b_samples")).select("a", "b"))
+    left = kept(both.filter(alike & near("a_samples", "b_samples")).select(F.col("a_class").alias("a"), F.col("b_class").alias("b")))
     some = left.select(F.col("a").alias("class")).unionByName(left.select(F.col("b").alias("class"))).distinct()
-    sets = kept(base.select("class", "hashes").join(some, "class", "left_semi").groupBy("class").agg(F.first("hashes").alias("hashes")))
+    sets = sets_of(docs, some, text, words)
     named = lambda c: sets.select(F.col("class").alias(c), F.col("hashes").alias(f"{c}_hashes"))
     whole = join_spread(left.join(named("a"), "a"), named("b").join(often(left), "b"), ["b"], ["a"])
     return kept(whole.filter(similar("a_hashes", "b_hashes")).select("a", "b"))
@@ -176,49 +202,49 @@ def left_apart(big: DataFrame, nodes: DataFrame, links: DataFrame, similarity: f
 
     Classes left out meet all others of their bucket, in pairs of blocks which are dealt to tasks; those in the pivot's group needn't meet one another.
     """
-    label = kept(_labels(nodes, links))
-    pivots = big.groupBy("x").agg(F.count("*").alias("n")).join(label.withColumnsRenamed({"class": "x", "c": "main"}), "x")
-    members = kept(join_spread(big, pivots, ["x"], ["class", "t"]).join(label, "class").select("t", "k", "class", "c", "m", (F.col("c") != F.col("main")).alias("apart")))
-    rest = members.filter("apart").groupBy("t", "k").agg(F.count("*").alias("r"), F.first("m").alias("n"))
+    label = kept(_labels(nodes, links).join(nodes.select("class", "id"), "class").select("id", "c"))
+    pivots = big.groupBy("x").agg(F.count("*").alias("n")).join(label.withColumnsRenamed({"id": "x", "c": "main"}), "x").groupBy("x").agg(F.max("n").alias("n"), F.min("main").alias("main"))
+    members = kept(join_spread(big, pivots, ["x"], ["id", "k"]).join(label, "id").select("k", "id", "c", "m", (F.col("c") != F.col("main")).alias("apart")))
+    rest = members.filter("apart").groupBy("k").agg(F.count("*").alias("r"), F.first("m").alias("n"))
     if rest.isEmpty():
         return None
-    of = F.col("m") / block, F.col("r") / block
-    many, few = (F.ceil(x).cast("int") for x in of)
-    rows = join_spread(members, rest, ["t", "k"], ["class"]).join(nodes.select("class", "size", "samples"), "class").withColumns({"many": many, "few": few})
-    place = lambda n: F.pmod(F.xxhash64("class", "t"), F.col(n)).cast("int")
+    many, few = (F.ceil(F.col(x) / block).cast("int") for x in ("m", "r"))
+    rows = join_spread(members, rest, ["k"], ["id"]).join(nodes.select("id", "size", "samples"), "id").withColumns({"many": many, "few": few})
+    place = lambda n: F.pmod(F.xxhash64("id", "k"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["t", "k", "i", "j", "class", "c", "size", "samples"]
+    columns = ["k", "i", "j", "id", "c", "size", "samples"]
     left = rows.filter("apart").withColumn("i", place("few")).withColumn("j", every("many")).select(*columns)
     right = rows.withColumn("j", place("many")).withColumn("i", every("few")).select(*columns).toDF(*columns)
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"a": objects([]), "b": objects([])})
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         x, y = (np.frombuffer(b"".join(d["samples"]), "<u4").reshape(-1, SAMPLES) for d in (a, b))
         n, m = a["size"].to_numpy(), b["size"].to_numpy()
         groups, codes = np.unique(np.concatenate([a["c"].to_numpy(dtype=object), b["c"].to_numpy(dtype=object)]), return_inverse=True)
-        out = []
+        own_ids, other_ids, out = a["id"].to_numpy(), b["id"].to_numpy(), []
         for k in range(len(a)):
             same = (y == x[k]).sum(axis=1)
             fits = np.flatnonzero((same >= _shared(similarity)) & (codes[len(a) :] != codes[k]) & (np.minimum(m, n[k]) >= similarity * np.maximum(m, n[k]) - 1e-9))
             fits = fits[np.lexsort((-same[fits], codes[len(a) :][fits]))]
             own = codes[len(a) :][fits]
             nth = np.arange(len(fits)) - np.searchsorted(own, own)
-            out += [(a["class"].iloc[k], b["class"].iloc[i]) for i in fits[nth < 2]]
-        return pd.DataFrame({"a": objects(o[0] for o in out), "b": objects(o[1] for o in out)})
+            out += [(own_ids[k], other_ids[i]) for i in fits[nth < 2]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    by = ["t", "k", "i", "j"]
-    return _once(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, "a binary, b binary"))
+    by = ["k", "i", "j"]
+    return _once(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, "a long, b long"))
 
 
-def links(base: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """Verified pairs a, b that connect all classes that the verified pairs of all buckets connect."""
-    met = meetings(nodes)
-    found = verified(candidates(met, small), base, nodes, similarity)
-    big = kept(met.filter(F.col("m") > small).select("t", "k", "class", "m", "x"))
+def links(docs: DataFrame, text: str, words: int, nodes: DataFrame, similarity: float = SIMILARITY, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """Verified pairs a, b of classes that connect all classes that the verified pairs of all buckets connect."""
+    met = kept(meetings(nodes))
+    check = lambda pairs: verified(pairs, docs, text, words, nodes, similarity)
+    found = check(candidates(met, small))
+    big = met.filter(F.col("m") > small).select("k", "id", "m", "x")
     while not big.isEmpty():
         more = left_apart(big, nodes, found, similarity, block)
-        more = None if more is None else verified(more, base, nodes, similarity)
+        more = None if more is None else check(more)
         if more is None or more.isEmpty():
             break
         found = kept(found.unionByName(more))
@@ -227,9 +253,8 @@ def links(base: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, sma
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
     """key and component_id (the smallest key of its group), one row per row of docs."""
-    base = kept(sets_of(docs, key, text, words))
-    nodes = kept(base.groupBy("class").agg(F.min("key").alias("least"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("tables").alias("tables"), F.first("samples").alias("samples")))
-    label = components(links(base, nodes, similarity, small)).withColumnsRenamed({"node": "class", "component": "c"})
-    named = nodes.select("class", "least", "n").join(label, "class", "left").withColumn("c", F.coalesce("c", "class"))
+    base = kept(signatures_of(docs, key, text, words))
+    nodes = kept(base.groupBy("class").agg(F.min("key").alias("least"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("id", "size", "tables", "samples"))))
+    named = _labels(nodes, links(docs, text, words, nodes, similarity, small)).join(nodes.select("class", "least", "n"), "class")
     named = named.join(named.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("class", "n", "component_id")
     return join_spread(base.select("key", "class"), named, ["class"], ["key"]).select(F.col("key").alias(key), "component_id")
