@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..operators import similarity, statistics
+from ..operators.lineage import cut
 from .registry import query
 
 TEXTS = "SELECT doc_id AS k, source AS g, text FROM documents"
@@ -40,7 +41,7 @@ def g6_first_fit(items: DataFrame) -> DataFrame:
 
 @query(None, sets="SELECT l_suppkey AS k, l_partkey AS e FROM lineitem", nodes="SELECT s_suppkey AS k FROM supplier")
 def g3_upgma(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    pairs = similarity.similar_pairs(sets, "k", "e", 0.08)
+    pairs = cut(similarity.similar_pairs(sets, "k", "e", 0.08))
     group = similarity.groups(pairs, nodes, "k")
     near = pairs.join(group, F.col("a") == F.col("k")).select(F.col("group").alias("g"), "a", "b", (1 - F.col("similarity")).alias("distance"))
     return similarity.upgma(near, "g")

@@ -300,3 +300,35 @@ def test_no_rows_or_bytes_are_left_out(spark, tmp_path):
     assert run("g3_upgma") and run("v1_track_set") and run("v2_layout")
     assert [r.voted for r in run("a9_byte_vote")] == ["78" * 60]
     assert {r.k: r.group for r in run("g2_groups")} == {4: 4, 5: 4, 7: 4, 8: 8}
+
+
+def _sets(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, rng.randrange(60) if rng.random() < 0.8 else rng.randrange(3), rng.randrange(4)) for k in range(40) for _ in range(rng.randrange(1, 25))]
+    rows += rows[:9] + [(None, 1, 1), (41, None, 2), (42, 7, None), (43, None, None)]
+    of = lambda i: {k: {r[i] for r in rows if r[0] == k} - {None} for k in {r[0] for r in rows} - {None}}
+    return spark.createDataFrame(rows, "k long, p long, c long"), of(1), of(2)
+
+
+def _jaccard(x, y):
+    return len(x & y) / len(x | y) if x & y else 0.0
+
+
+def _both(p, c):
+    keys = sorted(p)
+    return {(a, b): 0.6 * _jaccard(p[a], p[b]) + 0.4 * _jaccard(c[a], c[b]) for a in keys for b in keys if a < b}
+
+
+def test_pairs_are_counted_without_rows_of_elements(spark, monkeypatch):
+    """Pairs of low similarities against all pairs in Python, in several blocks, with lists that most keys are in, nulls and repeats; and no join makes a row for each pair and element."""
+    from loomwork.operators import incidence, similarity
+
+    monkeypatch.setattr(incidence, "BLOCK_KEYS", 7)
+    sets, p, _ = _sets(spark)
+    found = similarity.similar_pairs(sets, "k", "p", 0.1)
+    want = {(a, b): x for a in p for b in p if a < b and (x := _jaccard(p[a], p[b])) >= 0.1}
+    assert {(r.a, r.b): r.similarity for r in found.collect()} == want and want
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert similarity.similar_pairs(sets.limit(0), "k", "p", 0.1).count() == 0
