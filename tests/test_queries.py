@@ -355,3 +355,7 @@ def test_cohesion_compares_within_groups_only(spark):
     members = spark.createDataFrame([(k, k % 3) for k in p if k % 2], "k long, group long")
     got = {(r.a, r.b): r.similarity for r in similarity.profile_pairs(sets, sets, "k", "p", "c", 0.0, bonus=0.0, members=members).collect()}
     assert got == pytest.approx({(a, b): x for (a, b), x in _both(p, c).items() if a % 2 and b % 2 and a % 3 == b % 3 and x > 0}) and got
+
+
+def test_jaccard_pairs_query_joins_no_elements(spark):
+    assert "Join" not in registry.QUERIES["j8_jaccard_pairs"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
