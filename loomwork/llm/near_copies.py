@@ -7,7 +7,7 @@ for certain. At just 0.8 that fails in all groups, and with the fingerprint, onc
 
 Documents of equal sets are one class. Classes that meet in a bucket are candidates: all pairs of a bucket of up to SMALL classes, and in larger ones each class with
 three pivots. Candidates whose samples or sizes are too far apart for the similarity are put aside, and the others are compared by their whole sets. What is similar is
-linked, and linked classes are one group. Only classes that this leaves out of the group of a larger bucket's pivot meet all others of the bucket, by samples, until nothing new is linked:
+linked, and linked classes are one group. Only classes that this leaves out of the group of a larger bucket's pivot meet all others of the bucket, the likeliest by samples first, until no pair is left that may link two groups:
 so a group of any size costs a fixed number of rows a class, and its links that aren't needed to hold it together are never made.
 
 Words are runs of other characters than white space, A-Z in lower case; a text of fewer words is one shingle. Shingles with equal 64-bit hashes are taken as equal.
@@ -197,8 +197,9 @@ def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("class").join(label, "class", "left").withColumn("c", F.coalesce("c", "class"))
 
 
-def left_apart(big: DataFrame, nodes: DataFrame, links: DataFrame, similarity: float, block: int) -> DataFrame | None:
-    """More candidates a, b from big buckets: of each class that the links so far leave out of its bucket's first pivot's group, the two likeliest partners of each other group in the bucket, by samples. None if no class is left out.
+def left_apart(big: DataFrame, nodes: DataFrame, links: DataFrame, similarity: float, block: int, done: int = 0) -> DataFrame | None:
+    """More candidates a, b from big buckets: of each class that the links so far leave out of its bucket's first pivot's group, the two likeliest partners of each other group in the bucket, by samples,
+    or after the first `done` of them done + 2 more. None if no class is left out.
 
     Classes left out meet all others of their bucket, in pairs of blocks which are dealt to tasks; those in the pivot's group needn't meet one another.
     """
@@ -226,10 +227,10 @@ def left_apart(big: DataFrame, nodes: DataFrame, links: DataFrame, similarity: f
         for k in range(len(a)):
             same = (y == x[k]).sum(axis=1)
             fits = np.flatnonzero((same >= _shared(similarity)) & (codes[len(a) :] != codes[k]) & (np.minimum(m, n[k]) >= similarity * np.maximum(m, n[k]) - 1e-9))
-            fits = fits[np.lexsort((-same[fits], codes[len(a) :][fits]))]
+            fits = fits[np.lexsort((other_ids[fits], -same[fits], codes[len(a) :][fits]))]
             own = codes[len(a) :][fits]
             nth = np.arange(len(fits)) - np.searchsorted(own, own)
-            out += [(own_ids[k], other_ids[i]) for i in fits[nth < 2]]
+            out += [(own_ids[k], other_ids[i]) for i in fits[(nth >= done) & (nth < 2 * done + 2)]]
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     by = ["k", "i", "j"]
@@ -242,12 +243,15 @@ def links(docs: DataFrame, text: str, words: int, nodes: DataFrame, similarity:
     check = lambda pairs: verified(pairs, docs, text, words, nodes, similarity)
     found = check(candidates(met, small))
     big = met.filter(F.col("m") > small).select("k", "id", "m", "x")
+    done = 0
     while not big.isEmpty():
-        more = left_apart(big, nodes, found, similarity, block)
-        more = None if more is None else check(more)
-        if more is None or more.isEmpty():
+        more = left_apart(big, nodes, found, similarity, block, done)
+        more = None if more is None else kept(more)
+        if more is None or more.isEmpty():  # no partner is left that wasn't compared
             break
-        found = kept(found.unionByName(more))
+        more = check(more)
+        done = 2 * done + 2 if more.isEmpty() else 0
+        found = found if done else kept(found.unionByName(more))
     return found
 
 

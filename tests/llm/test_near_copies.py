@@ -84,3 +84,17 @@ def test_one_large_group_over_many_partitions(dealt):
     texts += [(1000 + i, " ".join(f"y{rnd.randint(0, 10**6)}" for _ in range(50))) for i in range(50)]
     got = {r.doc_id: r.component_id for r in near_copies.groups(docs(dealt, texts)).collect()}
     assert got == {i: 0 if i < 1000 else i for i, _ in texts}
+
+
+def test_no_partner_of_a_class_left_apart_is_passed_over(spark):
+    """Partners past the likeliest two come next, each once, until none is left."""
+    import numpy as np
+
+    from loomwork.llm import near_copies
+
+    samples = bytearray(np.arange(near_copies.SAMPLES, dtype="<u4").tobytes())
+    nodes = spark.createDataFrame([(bytearray([i] * 16), i, 100, samples) for i in range(10)], "class binary, id long, size long, samples binary")
+    links = spark.createDataFrame([(bytearray([i] * 16), bytearray([i + 1] * 16)) for i in range(8)], "a binary, b binary")  # 9 is left apart
+    big = spark.createDataFrame([(1, i, 10, 0) for i in range(10)], "k long, id long, m long, x long")
+    seen = [{min(r) for r in near_copies.left_apart(big, nodes, links, 0.8, 4096, done).collect()} for done in (0, 2, 6, 14)]
+    assert [len(x) for x in seen[:2]] == [2, 4] and not seen[3] and sorted(i for x in seen for i in x) == list(range(9))
