@@ -16,7 +16,8 @@ Benchmarks are held by every task in blocks of at most BLOCK_BYTES of text, and
 
 Rows: null, empty and short texts hit nothing but short items, and null or empty items are never hit; items without a number are left out; repeated items
 count each under its number, and repeated documents each on their own; extra columns are ignored. Items of one whole template whose slots are equal
-to one another at the same places fit the same documents: the smallest number of them stands for all where a text is re-parameterised, and each whose own values are met is named besides.
+to one another at the same places fit the same documents, so only the smallest number of them is held against a text that is re-parameterised; `leaks` then names each of them,
+by itself where its own values are met.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ LEAST = 5
 FEW = 3
 LITERALS = 6
 BLOCK_BYTES = 16 << 20
+#: Rows that are named at once where one item stands for others.
+NAMED = 1 << 18
 
 UNITS = (
     "mm cm m km inch inches ft feet foot yard yards mile miles mg g kg gram grams kilogram kilograms oz ounce ounces lb lbs pound pounds "
@@ -123,7 +126,10 @@ class Benchmark:
         t = Tokens(_slice_of([x[1] for x in items]))
         self.ids = [x[0] for x in items]
         self.first, self.value, self.kinds = t.first, t.value, t.kinds
-        self.leads = self._leads(t)
+        self.lead = self._leads(t)
+        self.leads = self.lead == np.arange(len(items))
+        order = np.argsort(self.lead, kind="stable")
+        self.members = np.split(order, np.searchsorted(self.lead[order], np.arange(1, len(items)))) if items else []
         size = np.diff(t.first)
         item = np.repeat(np.arange(len(items)), size)
         self.tables = {}
@@ -147,15 +153,13 @@ class Benchmark:
 
     @staticmethod
     def _leads(t: Tokens) -> np.ndarray:
-        """Of each item whether it is the first of its whole template with its pattern of equal slots."""
-        seen, out = set(), np.zeros(len(t.first) - 1, bool)
+        """Of each item the first of its whole template with its pattern of equal slots."""
+        seen, out = {}, np.zeros(len(t.first) - 1, np.int64)
         for i, (lo, hi) in enumerate(zip(t.first[:-1], t.first[1:])):
             kind, value, number = t.kinds[1][lo:hi], t.value[lo:hi], {}  # all slots of the other template are among these
             slots = kind != LITERAL
             pattern = tuple(number.setdefault(x, len(number)) for x in zip(kind[slots].tolist(), value[slots].tolist()))
-            key = (*(x[lo:hi].tobytes() for x in t.templates), pattern)
-            out[i] = key not in seen
-            seen.add(key)
+            out[i] = seen.setdefault((*(x[lo:hi].tobytes() for x in t.templates), pattern), i)
         return out
 
     def hits(self, n: int, table: tuple[np.ndarray, np.ndarray, np.ndarray], h: np.ndarray, t: Tokens, row_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -172,9 +176,10 @@ class Benchmark:
         at, place = np.repeat(at, count), places[where].astype(np.int64)
         return at, place, np.searchsorted(self.first, place, side="right") - 1, (t.value[at[:, None] + np.arange(n)] == self.value[place[:, None] + np.arange(n)]).all(axis=1)
 
-    def leaks(self, t: Tokens) -> list[tuple[int, int, str, int, int, int]]:
-        """Row, item, kind, windows met, windows with the item's own values, windows of the item."""
-        found: dict[tuple[int, int], list] = defaultdict(list)
+    def _met(self, t: Tokens) -> tuple[dict, dict, dict]:
+        """Of each row and item any of whose own values are met, or that leads others: kind, windows met and windows with own values of each alignment; of each row and lead those of the items
+        that it stands for, none of whose own values are met; and of each row and lead the items with own values."""
+        found, stood, owners = defaultdict(list), defaultdict(list), defaultdict(set)
         row_of = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first))
         for n, (plain, *typed) in self.tables.items():
             if len(t.value) < n:
@@ -190,13 +195,53 @@ class Benchmark:
             exact = runs(plain, t.value, lambda item, same: same)
             for (r, i, _), own in exact.items():
                 found[r, i].append(("exact", len(own), len(own)))
+                owners[r, int(self.lead[i])].add(i)
             for k, table in enumerate(typed):
-                for key, other in runs(table, t.templates[k], lambda item, same: ~same & self.leads[item]).items():
-                    r, i, shift = key
-                    own = exact.get(key, [])
-                    if self._fits(t, k, n, i, shift, own + other):
-                        found[r, i].append(("exact" if own else "reparameterised", len(own) + len(other), len(own)))
-        return [(r, i, min(x[0] for x in v), max(x[1] for x in v), max(x[2] for x in v), self.n_windows[i]) for (r, i), v in sorted(found.items())]
+                for (r, i, shift), places in runs(table, t.templates[k], lambda item, same: self.leads[item]).items():
+                    if rest := self._fits(t, k, n, i, shift, places):
+                        stood[r, i].append(("reparameterised", len(places), 0))
+                    for j in owners.get((r, i), ()):
+                        by = int(self.first[i] - self.first[j])
+                        own = exact.get((r, j, shift + by), [])
+                        other = sorted({p - by for p in places}.difference(own))
+                        if other and (self._fits(t, k, n, j, shift + by, own + other) if own else rest):
+                            found[r, j].append(("exact" if own else "reparameterised", len(own) + len(other), len(own)))
+        return found, stood, owners
+
+    def leaks(self, t: Tokens) -> list[tuple[int, int, str, int, int, int]]:
+        """Row, item, kind, windows met, windows with the item's own values, windows of the item; one item for all that it stands for and whose own values aren't met."""
+        found, stood, owners = self._met(t)
+        every = {**found, **{k: v for k, v in stood.items() if k[1] not in owners.get(k, ())}}
+        return [(r, i, *self._most(v), self.n_windows[i]) for (r, i), v in sorted(every.items())]
+
+    def pairs(self, t: Tokens) -> Iterator[list[np.ndarray]]:
+        """The columns of leaks, of every item by itself, up to NAMED rows or one row's items of a template at a time."""
+        found, stood, owners = self._met(t)
+        parts, n = [], 0
+        for (r, i), v in found.items():
+            parts.append(([i], r, *self._most(v), self.n_windows[i]))
+        n = len(parts)
+        for (r, i), v in stood.items():
+            own = owners.get((r, i), ())
+            items = self.members[i] if not own else np.setdiff1d(self.members[i], list(own))
+            parts.append((items, r, *self._most(v), self.n_windows[i]))
+            n += len(items)
+            if n >= NAMED:
+                yield self._columns(parts)
+                parts, n = [], 0
+        if n:
+            yield self._columns(parts)
+
+    @staticmethod
+    def _most(v: list[tuple[str, int, int]]) -> tuple[str, int, int]:
+        return min(x[0] for x in v), max(x[1] for x in v), max(x[2] for x in v)
+
+    @staticmethod
+    def _columns(parts: list[tuple]) -> list[np.ndarray]:
+        items, r, *rest = zip(*parts)
+        size = [len(x) for x in items]
+        each = lambda x: np.repeat(np.array(x, object if isinstance(x[0], str) else np.int64), size)
+        return [each(r), np.concatenate(items).astype(np.int64), *map(each, rest)]
 
     def _fits(self, t: Tokens, template: int, n: int, item: int, shift: int, places: list[int]) -> bool:
         """Whether these windows are enough of the item, and slots' values map one to one over all their tokens."""
@@ -231,9 +276,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
             bench = held.value
             for batch in batches:
                 for s in text_slices(batch.column(1)):
-                    if rows := bench.leaks(Tokens(s)):
-                        r, i, *rest = zip(*rows)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.rows).take(pa.array(r)), pa.array([bench.ids[k] for k in i], pa.int64()), *(pa.array(x, f.type) for x, f in zip(rest, list(schema)[2:]))], schema=schema)
+                    for r, i, *rest in bench.pairs(Tokens(s)):
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.rows).take(pa.array(r)), pa.array(np.array(bench.ids, np.int64)[i]), *(pa.array(x, f.type) for x, f in zip(rest, list(schema)[2:]))], schema=schema)
 
         part = id_text(docs, key, text).mapInArrow(frugal(run), f"{key} long, {item} long, kind string, n_windows long, n_exact long, item_windows long")
         out = part if out is None else out.unionByName(part)

@@ -64,6 +64,41 @@ def test_each_item_of_a_template_is_tried():
     assert got == {(0, 2): "reparameterised", (1, 1): "reparameterised", (2, 2): "reparameterised", (2, 3): "exact"}
 
 
+def test_every_item_of_a_template_is_named(spark):
+    text = "every week the old baker sells {} small loaves and then she gives {} warm loaves to the children of her street"
+    values = [(3, 3), (13, 5), (4, 6), (13, 5), (17, 8), (9, 9)]
+    items = spark.createDataFrame([(i, text.format(*v)) for i, v in enumerate(values)], "item_id long, text string")
+    fills = {1: (7, 10), 2: (21, 21), 3: (4, 6), 4: (13, 5), 5: (17, 8)}
+    rows = docs(spark, [(i, text.format(*v)) for i, v in fills.items()])
+    want = {(d, i): "exact" if a == b else "reparameterised" for d, a in fills.items() for i, b in enumerate(values) if (a[0] == a[1]) == (b[0] == b[1])}
+    found = dc.leaks(rows, items).collect()
+    assert {(r.doc_id, r.item_id): r.kind for r in found} == want and len(found) == len(want)
+    assert all((r.n_windows, r.n_exact) == (13, 13 if r.kind == "exact" else 0) for r in found)
+
+
+def test_items_of_one_template_leak_as_each_does_alone(monkeypatch):
+    import random
+
+    rnd = random.Random(5)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    templates = [[rnd.choice(words) if rnd.random() < 0.75 else rnd.randint(0, 2) for _ in range(rnd.randint(3, 25))] for _ in range(6)]
+
+    def made():
+        v = [rnd.choice([1, 2, 3, "four"]) for _ in range(3)]
+        return " ".join(str(v[x]) if isinstance(x, int) else x for x in rnd.choice(templates))
+
+    items = [(i, made()) for i in range(60)]
+    texts = [" ".join([rnd.choice(words)] * rnd.choice([0, 2]) + [made()] + [made()] * rnd.choice([0, 1])) for _ in range(100)]
+    (s,) = text_slices(pa.array(texts), 1 << 24)
+    t = dc.Tokens(s)
+    want = sorted((r, i, *rest) for i, x in items for r, _, *rest in dc.Benchmark([(i, x)]).leaks(t))
+    for named in (dc.NAMED, 7):
+        monkeypatch.setattr(dc, "NAMED", named)
+        bench = dc.Benchmark(items)
+        assert sorted(row for c in bench.pairs(t) for row in zip(*(x.tolist() for x in c))) == want
+    assert len(want) > 2 * len(bench.leaks(t))
+
+
 def test_exact_copies_need_no_literals_and_no_place_in_a_sentence():
     numbers = "3 5 8 13 Maria 21 34 Peter 55 89 144 cm 233"
     bench = dc.Benchmark([(1, "Seven words are in this short item"), (2, numbers), (3, "12 34 56 78 90")])
