@@ -7,8 +7,8 @@ for certain. At just 0.8 that fails in all groups, and with the fingerprint, onc
 
 Documents of equal sets are one class. Classes that meet in a bucket are candidates: all pairs of a bucket of up to SMALL classes, and in larger ones each class with
 three pivots. Candidates whose samples or sizes are too far apart for the similarity are put aside, and the others are compared by their whole sets. What is similar is
-linked, and linked classes are one group. Only classes that this leaves out of the group of a larger bucket's pivot meet all others of the bucket, the likeliest by samples first, until no pair is left that may link two groups:
-so a group of any size costs a fixed number of rows a class, and its links that aren't needed to hold it together are never made.
+linked, and linked classes are one group. Only classes that this leaves out of the group of a larger bucket's pivot meet all others of the bucket: there whole sets are dealt to tasks in blocks, and a task counts what each
+has in common with all others. Only pairs that link two groups leave a task, so no rows are made of the others however many there are, all of it is one round, and a group's links that aren't needed to hold it together are never made.
 
 Words are runs of other characters than white space, A-Z in lower case; a text of fewer words is one shingle. Shingles with equal 64-bit hashes are taken as equal.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .batches import TextSlice, frugal, id_text, mixed, span_hashes, text_slices, window_hashes, word_spans
 from .components import components
-from .shared import join_spread, kept
+from .shared import join_spread, kept, release
 from .simhash import _LOWER, _signed, masks
 
 WORDS = 5
@@ -36,6 +36,8 @@ GROUPS = 3
 SMALL = 16
 #: Classes that a task holds of each side where those left apart meet the others of a bucket.
 BLOCK = 2048
+#: Shingles of all of these together, about, at eight bytes.
+BLOCK_SHINGLES = 1 << 21
 #: Classes whose list, 16 bytes each, is broadcast at most.
 FEW_CLASSES = 500_000
 SEED = 8
@@ -197,15 +199,78 @@ def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("class").join(label, "class", "left").withColumn("c", F.coalesce("c", "class"))
 
 
+def _members(big: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """k, id, c, m, apart of all rows of big buckets: each class's group c, and whether it isn't that of its bucket's first pivot."""
+    label = kept(_labels(nodes, links).join(nodes.select("class", "id"), "class").select("id", "c"))
+    pivots = big.groupBy("x").agg(F.count("*").alias("n")).join(label.withColumnsRenamed({"id": "x", "c": "main"}), "x").groupBy("x").agg(F.max("n").alias("n"), F.min("main").alias("main"))
+    return kept(join_spread(big, pivots, ["x"], ["id", "k"]).join(label, "id").select("k", "id", "c", "m", (F.col("c") != F.col("main")).alias("apart")))
+
+
+def _gathered(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, .. of each of several runs of n."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def linking(a: list[np.ndarray], b: list[np.ndarray], a_groups: np.ndarray, b_groups: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Places in a and b of similar sets (hashes, distinct) of different groups: as few as connect all groups that such pairs connect."""
+    n, m = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+    flat, own = np.concatenate([np.zeros(0, np.uint64), *b]), np.repeat(np.arange(len(b)), m)
+    order = np.argsort(flat, kind="stable")
+    flat, own = flat[order], own[order]
+    group, out = np.arange(max([0, *a_groups, *b_groups]) + 1), []
+    for k, x in enumerate(a):
+        lo = np.searchsorted(flat, x, "left")
+        both = np.bincount(own[_gathered(lo, np.searchsorted(flat, x, "right") - lo)], minlength=len(b))
+        fits = np.flatnonzero((both > 0) & (both >= similarity * (n[k] + m - both) - 1e-9))
+        mine = group[a_groups[k]]
+        others, first = np.unique(group[b_groups[fits]], return_index=True)
+        first = first[others != mine]
+        if len(first):
+            out += [(k, int(i)) for i in fits[first]]
+            group[np.isin(group, others)] = mine
+    return out
+
+
+def linked_apart(big: DataFrame, docs: DataFrame, text: str, words: int, nodes: DataFrame, links: DataFrame, similarity: float, block: int) -> DataFrame | None:
+    """Pairs a, b of classes that connect all that similar pairs of big buckets connect besides the links so far. None if no class is left out of its bucket's pivot's group.
+
+    Classes left out meet all others of their bucket by their whole sets, in pairs of blocks which are dealt to tasks; those in the pivot's group needn't meet one another.
+    """
+    members = kept(_members(big, nodes, links).join(nodes.select("id", "class", "size"), "id"))
+    of = lambda x: F.when(F.col("apart"), x)
+    rest = kept(members.groupBy("k").agg(F.count(of(F.lit(1))).alias("r"), F.sum(of(F.col("size"))).alias("r_size"), F.count("*").alias("n"), F.sum("size").alias("n_size")).filter("r > 0"))
+    if rest.isEmpty():
+        return None
+    blocks = lambda x: F.ceil(F.greatest(F.col(x) / block, F.col(f"{x}_size") / BLOCK_SHINGLES)).cast("int")
+    rows = kept(join_spread(members, rest.select("k", "n", blocks("n").alias("many"), blocks("r").alias("few")), ["k"], ["id"]))
+    sets = sets_of(docs, rows.select("class").distinct(), text, words)
+    release(docs.sparkSession)
+    rows = rows.join(sets, "class")
+    place = lambda n: F.pmod(F.xxhash64("id", "k"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["k", "i", "j", "class", "c", "hashes"]
+    left = rows.filter("apart").withColumn("i", place("few")).withColumn("j", every("many")).select(*columns)
+    right = rows.withColumn("j", place("many")).withColumn("i", every("few")).select(*columns).toDF(*columns)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        names = [x.column("class").to_pylist() for x in (a, b)]
+        sets = [[np.frombuffer(h, np.uint64) for h in x.column("hashes").to_pylist()] for x in (a, b)]
+        code: dict[bytes, int] = {}
+        groups = [np.array([code.setdefault(c, len(code)) for c in x.column("c").to_pylist()], np.int64) for x in (a, b)]
+        found = linking(*sets, *groups, similarity)
+        return pa.table({"a": pa.array([names[0][i] for i, _ in found], pa.binary()), "b": pa.array([names[1][j] for _, j in found], pa.binary())})
+
+    by = ["k", "i", "j"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, "a binary, b binary")
+
+
 def left_apart(big: DataFrame, nodes: DataFrame, links: DataFrame, similarity: float, block: int, done: int = 0) -> DataFrame | None:
-    """More candidates a, b from big buckets: of each class that the links so far leave out of its bucket's first pivot's group, the two likeliest partners of each other group in the bucket, by samples,
+    """Candidates a, b from big buckets by samples alone, without a look at sets: of each class that the links so far leave out of its bucket's first pivot's group, the two likeliest partners of each other group in the bucket,
     or after the first `done` of them done + 2 more. None if no class is left out.
 
     Classes left out meet all others of their bucket, in pairs of blocks which are dealt to tasks; those in the pivot's group needn't meet one another.
     """
-    label = kept(_labels(nodes, links).join(nodes.select("class", "id"), "class").select("id", "c"))
-    pivots = big.groupBy("x").agg(F.count("*").alias("n")).join(label.withColumnsRenamed({"id": "x", "c": "main"}), "x").groupBy("x").agg(F.max("n").alias("n"), F.min("main").alias("main"))
-    members = kept(join_spread(big, pivots, ["x"], ["id", "k"]).join(label, "id").select("k", "id", "c", "m", (F.col("c") != F.col("main")).alias("apart")))
+    members = _members(big, nodes, links)
     rest = members.filter("apart").groupBy("k").agg(F.count("*").alias("r"), F.first("m").alias("n"))
     if rest.isEmpty():
         return None
@@ -240,18 +305,13 @@ def left_apart(big: DataFrame, nodes: DataFrame, links: DataFrame, similarity: f
 def links(docs: DataFrame, text: str, words: int, nodes: DataFrame, similarity: float = SIMILARITY, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """Verified pairs a, b of classes that connect all classes that the verified pairs of all buckets connect."""
     met = kept(meetings(nodes))
-    check = lambda pairs: verified(pairs, docs, text, words, nodes, similarity)
-    found = check(candidates(met, small))
+    found = verified(candidates(met, small), docs, text, words, nodes, similarity)
+    release(docs.sparkSession)
     big = met.filter(F.col("m") > small).select("k", "id", "m", "x")
-    done = 0
-    while not big.isEmpty():
-        more = left_apart(big, nodes, found, similarity, block, done)
-        more = None if more is None else kept(more)
-        if more is None or more.isEmpty():  # no partner is left that wasn't compared
-            break
-        more = check(more)
-        done = 2 * done + 2 if more.isEmpty() else 0
-        found = found if done else kept(found.unionByName(more))
+    more = None if big.isEmpty() else linked_apart(big, docs, text, words, nodes, found, similarity, block)
+    if more is not None:
+        found = kept(found.unionByName(more))
+        release(docs.sparkSession)
     return found
 
 

@@ -98,3 +98,42 @@ def test_no_partner_of_a_class_left_apart_is_passed_over(spark):
     big = spark.createDataFrame([(1, i, 10, 0) for i in range(10)], "k long, id long, m long, x long")
     seen = [{min(r) for r in near_copies.left_apart(big, nodes, links, 0.8, 4096, done).collect()} for done in (0, 2, 6, 14)]
     assert [len(x) for x in seen[:2]] == [2, 4] and not seen[3] and sorted(i for x in seen for i in x) == list(range(9))
+
+
+def test_classes_left_apart_are_linked_in_one_round(spark, monkeypatch):
+    """However many of them there are, and whatever share of them links nothing, no pair is checked outside a task and no round follows."""
+    rnd = random.Random(35)
+    base = [f"w{rnd.randint(0, 9000)}" for _ in range(100)]
+    texts = []
+    for g in range(40):  # a group around each of several changes of one text, most of them below the similarity of one another
+        start = list(base)
+        for _ in range(3):
+            start[rnd.randrange(100)] = f"g{rnd.randint(0, 10**6)}"
+        for k in range(3):
+            t = list(start)
+            t[rnd.randrange(100)] = f"x{rnd.randint(0, 10**6)}"
+            texts.append((10 * g + k, " ".join(t)))
+    checked = []
+    verified = near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda *a: checked.append(1) or verified(*a))
+    sets = [plain(t) for _, t in texts]
+    name = groups(range(len(sets)), lambda a, b: alike(sets[a], sets[b]))
+    got = {r.doc_id: r.component_id for r in near_copies.groups(docs(spark, texts), small=2).collect()}
+    assert got == {i: texts[name[k]][0] for k, (i, _) in enumerate(texts)} and len(set(got.values())) > 1 and checked == [1]
+
+
+def test_links_of_blocks_connect_what_similar_pairs_connect():
+    rnd = random.Random(36)
+    for _ in range(200):
+        pool = [rnd.getrandbits(64) for _ in range(12)]
+        a, b = ([np.array(sorted(rnd.sample(pool, rnd.randint(1, 12))), np.uint64) for _ in range(rnd.randint(1, 9))] for _ in range(2))
+        of = [rnd.randrange(8) for _ in a + b]
+        found = near_copies.linking(a, b, np.array(of[: len(a)]), np.array(of[len(a) :]), 0.6)
+        similar = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if alike(set(x.tolist()), set(y.tolist()), 0.6)}
+        assert set(found) <= similar
+
+        def joined(pairs, of=of, n=len(a)):
+            met = {(of[i], of[n + j]) for i, j in pairs}
+            return groups(range(8), lambda x, y: (x, y) in met or (y, x) in met)
+
+        assert joined(found) == joined(similar) and len(found) < 8
