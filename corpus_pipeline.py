@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from loomwork.llm import bpe, decontamination, language, lines, near_copies, simhash
 from loomwork.llm.batches import table
 from loomwork.llm.queries import BYTE_BPE
+from loomwork.llm.shared import small_batches
 
 #: Words from which one or two lines that repeat are deleted too.
 LONG_WORDS = 50
@@ -23,6 +24,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4, which learns from the same documents as its query does."""
+    small_batches(spark)
     samples = language.learn(docs.filter(~language.held_out("doc_id")))
     return language.in_learned_language(docs, samples)
 
@@ -35,16 +37,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8's masks, over five-word shingles at a similarity of 0.8 or more; one document of each group stays."""
+    small_batches(spark)
     return simhash.one_of_each(docs, found=near_copies.groups(docs))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1."""
+    small_batches(spark)
     return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: doc_id, n_tokens, ids, and whether decoding gives the text back."""
+    small_batches(spark)
     out = bpe.encode(docs.select("doc_id", "text"), BYTE_BPE)
     return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

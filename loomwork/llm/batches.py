@@ -31,20 +31,51 @@ def objects(values) -> pd.Series:
     return pd.Series(list(values), dtype=object)
 
 
-def frugal(run: Callable) -> Callable:
-    """A map over batches after which the worker, which Spark keeps for later tasks, gives back the memory that it freed."""
+#: The one model that this process holds, by what built it and from what.
+_MODEL: dict[tuple[str, str, object], object] = {}
+
+
+def one_model(build: Callable) -> Callable:
+    """build, of one argument, whose result is held until this worker needs another model or none: tables of tens of megabytes of each operator would add up in it."""
+
+    @wraps(build)
+    def held(given):
+        key = (build.__module__, build.__qualname__, given)
+        if key not in _MODEL:
+            drop_model()
+            _MODEL[key] = build(given)
+        return _MODEL[key]
+
+    return held
+
+
+def drop_model(but: Callable | None = None) -> None:
+    """Lets go of the model that is held, unless `but` built it."""
+    if _MODEL and not (but and next(iter(_MODEL))[:2] == (but.__module__, but.__qualname__)):
+        _MODEL.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def frugal(run: Callable, model: Callable | None = None) -> Callable:
+    """A map over batches before which the worker, which Spark keeps for later tasks, drops a model that is not `model`'s (see one_model), and after which it gives back the memory that it freed."""
 
     @wraps(run)
     def mapped(batches: Iterator) -> Iterator:
+        drop_model(model)
         try:
             yield from run(batches)
         finally:
             del batches
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except AttributeError:  # another C library
-                pass
+            give_back()
 
     return mapped
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import frugal, id_text, text_slices
+from .batches import frugal, id_text, one_model, text_slices
 
 NEVER = np.int64(1 << 40)
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
@@ -325,7 +325,7 @@ class Bpe:
         return flat.decode("utf-8", errors="replace").encode("utf-8")
 
 
-@lru_cache(maxsize=1)
+@one_model
 def _built(vocabulary: bytes) -> Bpe:
     return Bpe(vocabulary)
 
@@ -348,7 +348,7 @@ def _mapped(docs: DataFrame, path: str, make: Callable[[Bpe, np.ndarray], list],
                 more = [] if count_only else [pa.array(c) for c in zip(*(make(bpe, ids[first[i] : first[i + 1]]) for i in range(s.rows)))]
                 yield pa.RecordBatch.from_arrays([keys.slice(s.lo, s.rows), n, *more], schema=schema)
 
-    return frugal(run)
+    return frugal(run, _built)
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

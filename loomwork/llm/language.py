@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import TextSlice, frugal, id_text, text_slices
+from .batches import TextSlice, frugal, id_text, one_model, text_slices
 
 SAMPLE_DOCS = 200
 SAMPLE_LETTERS = 20_000
@@ -173,7 +173,7 @@ class Model:
         return [UNKNOWN if n else self.languages[b] for n, b in zip(none, best)], np.where(none, 0.0, 1 / share.sum(axis=0))
 
 
-@lru_cache(maxsize=1)
+@one_model
 def _model(samples: tuple[tuple[str, str], ...]) -> Model:
     return Model(dict(samples))
 
@@ -209,7 +209,7 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], key: str = "d
                 lang, score = model.predict(s)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.rows), pa.array(lang, pa.string()), pa.array(score)], schema=schema)
 
-    return id_text(docs, key, text).mapInArrow(frugal(run), "key long, lang_pred string, score double").withColumnRenamed("key", key)
+    return id_text(docs, key, text).mapInArrow(frugal(run, _model), "key long, lang_pred string, score double").withColumnRenamed("key", key)
 
 
 def in_learned_language(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str = "text", least: int = LEAST_LETTERS) -> DataFrame:
@@ -230,7 +230,7 @@ def in_learned_language(docs: DataFrame, samples: tuple[tuple[str, str], ...], t
                     parts.append(np.array([any(lettered()[ord(c)] for c in s.text(i).decode()) for i in range(s.rows)], bool))
             yield batch.filter(pa.array(np.concatenate(parts)))
 
-    return docs.mapInArrow(frugal(run), docs.schema)
+    return docs.mapInArrow(frugal(run, _model), docs.schema)
 
 
 def held_out(key: str):

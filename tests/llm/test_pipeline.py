@@ -1,8 +1,11 @@
 import random
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
-from loomwork.llm import language
+import pyarrow as pa
+from loomwork.llm import bpe, language
+from loomwork.llm.batches import frugal
 from loomwork.llm.queries import BYTE_BPE
 from tokenizers import Tokenizer
 
@@ -42,3 +45,35 @@ def test_against_brute_force(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == table.columns
+
+
+def test_worker_holds_one_model_and_small_batches(spark):
+    """One worker runs all stages: it drops the model of one operator when another needs its own or none, and no batch is much over the bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    rnd = random.Random(4)
+    text = "\n".join(made("aa", rnd, 12) for _ in range(6))
+    docs = spark.createDataFrame([(i, text + f" {i}", "aa", "s", 1) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    vocabulary = Path(BYTE_BPE).read_bytes()
+
+    def models(batches):
+        from loomwork.llm.batches import _MODEL
+
+        def run(rest, own=None):
+            for b in rest:
+                if own:
+                    own()
+                yield [k[1] for k in _MODEL]
+
+        batches = list(batches)
+        seen = [list(frugal(lambda x, own=own: run(x, own), model)(batches))[-1] for own, model in ((lambda: language._model((("aa", "some text"),)), language._model), (lambda: bpe._built(vocabulary), bpe._built), (None, bpe._built), (None, None))]
+        yield pa.RecordBatch.from_pydict({"names": [",".join(x) for x in seen], "most": [max(b.nbytes for b in batches)] * 4})
+
+    try:
+        corpus_pipeline.language_id(spark, docs, "")
+        wide = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('x', 4000) AS text")
+        got = wide.mapInArrow(models, "names string, most long").collect()
+    finally:
+        spark.conf.set(name, before)
+    assert [r.names for r in got] == ["_model", "_built", "_built", ""]
+    assert got[0].most < 4 << 20
